@@ -15,12 +15,14 @@ from __future__ import annotations
 import os
 import re
 import struct
+import sys
 import uuid
-import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,7 +32,9 @@ MAGIC = b"TFB1"
 BLOCK_IDS = 1 << 20
 SHARD_IDS = 1 << 24
 _SPLIT = re.compile(r"(?<=\S)(?= \S)")  # places that no pre-token of a byte-level tokenizer crosses
-_ODD_SPACE = re.compile(r"\s | \s")
+_ODD_SPACE = re.compile(r"[^\S \n]|\0")
+_ODD_MARK = re.compile(r"(?<![^\W_])[.,]")
+_ODD_ASCII = "\0\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
 # Lengths of the four ids of a control byte.
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + np.uint8(1)
 
@@ -38,8 +42,9 @@ LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.ui
 class Encoder:
     """Encodes texts piece by piece and keeps what it has encoded; equal to encoding the whole text.
 
-    Pieces are cut only before a single space between two characters that are not white space; there,
-    byte-level pre-tokenization always starts a new pre-token, and merges never cross pre-tokens.
+    Byte-level pre-tokenization always starts a new pre-token at a single space between two characters that
+    are not white space, on both sides of a single line break, and before a full stop or comma after a
+    letter or digit; merges never cross pre-tokens. Texts are cut only there.
     """
 
     def __init__(self, path: str):
@@ -48,11 +53,26 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        if self.tokenizer.get_vocab_size() > 65536:
+            raise ValueError("ids must fit two bytes")
+        if sys.byteorder != "little":
+            raise ValueError("needs a little-endian machine")
+        # Byte-level models name the 188 printable bytes by themselves and the others by characters from 256 on.
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.byte_names = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in shown)}
         self.known: dict[str, bytes] = {}
 
-    def _learn(self, pieces: list[str]) -> None:
-        for p, e in zip(pieces, self.tokenizer.encode_batch(pieces, add_special_tokens=False), strict=True):
-            self.known[p] = np.array(e.ids, "<u4").astype("<u2" if max(e.ids, default=0) < 65536 else "<u4").tobytes()
+    def _learn(self, pieces: set[str]) -> None:
+        """A run of letters, with or without a space before it, is one pre-token: the model takes it as it is."""
+        known, tokenize, table = self.known, self.tokenizer.model.tokenize, self.byte_names
+        rest = []
+        for p in pieces:
+            if p.lstrip(" ").isalpha() and p[:2] != "  ":
+                known[p] = array("H", [t.id for t in tokenize(p.encode().decode("latin-1").translate(table))]).tobytes()
+            else:
+                rest.append(p)
+        for p, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            known[p] = array("H", e.ids).tobytes()
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian uint16 (the vocabulary must be under 65,536)."""
@@ -62,13 +82,18 @@ class Encoder:
         for t in texts:
             if not t:
                 cut.append([])
-            elif _ODD_SPACE.search(t):
+            elif "  " in t or "\n " in t or " \n" in t or (any(c in t for c in _ODD_ASCII) if t.isascii() else _ODD_SPACE.search(t)):
                 cut.append(_SPLIT.split(t))
             else:
-                cut.append(t.replace(" ", "\0 ").split("\0") if "\0" not in t else _SPLIT.split(t))
+                t = t.replace(" ", "\0 ")
+                if "\n\n" not in t:
+                    t = t.replace("\n", "\0\n\0")
+                if not _ODD_MARK.search(t):
+                    t = t.replace(",", "\0,").replace(".", "\0.")
+                cut.append(t.split("\0"))
         missing = {p for pieces in cut for p in pieces if p not in known}
         if missing:
-            self._learn(list(missing))
+            self._learn(missing)
         return [b"".join([known[p] for p in pieces]) for pieces in cut]
 
 
@@ -116,18 +141,20 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int = 2, path: str | Non
     path = path or f"{shared_dir(spark)}/tallyfold/tokens-{uuid.uuid4().hex}"
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(1).compress
         encoder, end = Encoder(tokenizer_path), np.array([end_id], "<u2").tobytes()
         for b in batches:
             for i in range(0, b.num_rows, 500):
                 part = b.slice(i, 500)
                 ids = [x + end for x in encoder(part.column(1).to_pylist())]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array([zlib.compress(x, 1) for x in ids], pa.binary())], names=["doc_id", "n", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array([squeeze(x) for x in ids], pa.binary())], names=["doc_id", "n", "ids"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unsqueeze = zstandard.ZstdDecompressor().decompress
         total = np.zeros(1 << 16, np.int64)
         for b in batches:
             for x in b.column(0).to_pylist():
-                total += np.bincount(np.frombuffer(zlib.decompress(x), "<u2"), minlength=1 << 16)
+                total += np.bincount(np.frombuffer(unsqueeze(x), "<u2"), minlength=1 << 16)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["id", "n"])
 
@@ -141,6 +168,7 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int = 2, path: str | Non
     shards = max(1, -(-(encoded.agg(F.sum("n")).first()[0] or 0) // SHARD_IDS))
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unsqueeze = zstandard.ZstdDecompressor().decompress
         ids, ns, held, size, start, shard, k = [], [], [], 0, 0, -1, 0
 
         def row() -> pa.RecordBatch:
@@ -150,7 +178,7 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int = 2, path: str | Non
         for b in batches:
             for s, doc, x in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 shard = s
-                one = np.frombuffer(zlib.decompress(x), "<u2")
+                one = np.frombuffer(unsqueeze(x), "<u2")
                 if ids and size + len(one) > BLOCK_IDS:
                     yield row()
                     ids, ns, held, size, start, k = [], [], [], 0, start + size, k + 1
