@@ -1,4 +1,1062 @@
-"""Queries over the given tables, one per operator, with independent SQL for each."""
+"""Queries over the given tables, one per operator, with independently formulated SQL for each."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tallyfold.functions import stats as st
+from tallyfold.operators import allocation as al
+from tallyfold.operators import expectations as ex
+from tallyfold.operators import forecast as fc
+from tallyfold.operators import holdings as ho
+from tallyfold.operators import performance as pf
+from tallyfold.operators import regime as rg
+from tallyfold.operators import risk as rk
+from tallyfold.operators import temporal as tp
+from tallyfold.operators import validation as va
+from tallyfold.plans import adapter as ad
+from tallyfold.plans.adapter import AS_OF, CUBE, INDEX, PRICES, RAW, TO_HELD, TO_LEDGER, TO_MARKED, TO_NAV, sql, table
+from tallyfold.sources import stores
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(oracle: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def r(df: DataFrame, digits: int = 6, nudge: float = 0.0) -> DataFrame:
+    """Doubles rounded, as the SQL rounds them; sums of money often end in a 5, which a nudge moves off the edge."""
+    return df.select(*[F.round(F.col(c) + nudge if nudge else F.col(c), digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+class Book:
+    """The trade model's tables, each built when asked for."""
+
+    def __init__(self, spark: SparkSession, d: str):
+        self.spark, self.d = spark, d
+        self.trades = ad.raw_trades(spark, d)
+        self.prices = ad.prices(spark, d)
+
+    @property
+    def ledger(self):
+        return ho.accepted(self.trades)
+
+    @property
+    def as_of(self):
+        last = table(self.spark, self.d, "lineitem").agg(F.max(F.col("l_shipdate").cast("date"))).first()[0]
+        return F.lit(str(last)).cast("date")
+
+    @property
+    def held(self):
+        return ho.positions(ho.moves(self.ledger))
+
+    @property
+    def cube(self):
+        return ho.daily_cube(self.held, self.as_of)
+
+    @property
+    def marked(self):
+        return ho.mark_to_market(self.cube, self.prices)
+
+    @property
+    def nav(self):
+        return ho.nav(self.marked, ho.running_cash(ho.cash_delta(self.ledger)))
+
+    @property
+    def last_day(self):
+        return self.marked.where(F.col("date") == self.as_of)
+
+    @property
+    def index(self):
+        li = table(self.spark, self.d, "lineitem")
+        return li.groupBy(F.col("l_shipdate").cast("date").alias("date")).agg((F.sum("l_extendedprice") / F.sum("l_quantity")).alias("close"))
+
+    @property
+    def sectors(self):
+        p = table(self.spark, self.d, "part")
+        return p.groupBy(F.col("p_brand").alias("symbol")).agg(F.min("p_type").alias("sector"), F.min(F.split_part("p_name", F.lit(" "), F.lit(1))).alias("industry"))
+
+
+SECTORS = "sectors as (select p_brand as symbol, min(p_type) as sector, min(split_part(p_name, ' ', 1)) as industry from part group by 1)"
+LAST = "last_day as (select * from marked where date = (select day from as_of))"
+
+# ---- sources, sinks, dimensions
+
+
+@query(sql(PRICES, "select symbol, date, round(close, 6) as close, volume from prices where symbol in ('Brand#11', 'Brand#22', 'Brand#99') and date between '1996-01-01' and '1996-12-31'"))
+def s2_price_window(spark, d):
+    want = spark.createDataFrame([("Brand#11",), ("Brand#22",), ("Brand#99",)], "symbol string")
+    rows, _ = stores.read_prices(ad.prices(spark, d), want, "1996-01-01", "1996-12-31")
+    return r(rows.select("symbol", "date", "close", "volume"))
+
+
+@query("select p_brand || '?' as symbol from part group by 1")
+def s2_missing_tickers(spark, d):
+    want = table(spark, d, "part").select("p_brand").distinct()
+    want = want.select(F.col("p_brand").alias("symbol")).union(want.select(F.concat("p_brand", F.lit("?"))))
+    return stores.read_prices(ad.prices(spark, d), want, "1990-01-01", "2010-01-01")[1]
+
+
+SPLITS = "splits as (select distinct p_brand as symbol, date '1998-06-17' as split_date, cast(case cast(right(p_brand, 1) as integer) % 3 when 0 then 2 when 1 then 5 else 10 end as double) as ratio from part)"
+
+
+def splits(spark, d):
+    digit = F.right("p_brand", F.lit(1)).cast("int") % 3
+    return table(spark, d, "part").select(F.col("p_brand").alias("symbol"), F.lit("1998-06-17").cast("date").alias("split_date"), F.when(digit == 0, 2.0).when(digit == 1, 5.0).otherwise(10.0).alias("ratio")).distinct()
+
+
+@query(sql(SPLITS, "select symbol, split_date, ratio from splits where split_date between date '1998-01-01' and date '1998-12-31'"))
+def s3_split_events(spark, d):
+    return stores.read_splits(splits(spark, d), "1998-01-01", "1998-12-31")
+
+
+TICKERS = """select distinct upper(replace(p_brand, '#', '')) || case when l_suppkey % 2 = 0 then '.NS' else '.BO' end as ticker from lineitem join part on l_partkey = p_partkey"""
+
+
+def tickers(spark, d):
+    li, p = table(spark, d, "lineitem"), table(spark, d, "part")
+    t = F.concat(F.upper(F.replace("p_brand", F.lit("#"), F.lit(""))), F.when(F.col("l_suppkey") % 2 == 0, ".NS").otherwise(".BO"))
+    return li.join(p, li.l_partkey == p.p_partkey).select(t.alias("ticker")).distinct()
+
+
+@query(f"""with t as ({TICKERS}), k as (select upper(replace(p_brand, '#', '')) as asset_name, min(p_type) as sector, min(split_part(p_name, ' ', 1)) as industry from part where p_brand <> 'Brand#11' group by 1)
+select t.ticker, split_part(t.ticker, '.', 1) as asset_name, k.sector, k.industry, case when t.ticker like '%.NS' then 'NSE' else 'BSE' end as exchange, 'INR' as currency from t left join k on k.asset_name = split_part(t.ticker, '.', 1)""")
+def s4_asset_metadata(spark, d):
+    p = table(spark, d, "part").where("p_brand <> 'Brand#11'")
+    known = p.groupBy(F.upper(F.replace("p_brand", F.lit("#"), F.lit(""))).alias("asset_name")).agg(F.min("p_type").alias("sector"), F.min(F.split_part("p_name", F.lit(" "), F.lit(1))).alias("industry"))
+    return va.metadata(tickers(spark, d), known)
+
+
+@query(sql(PRICES, """nw as (select symbol, date, close + 1 as close, volume + 1 as volume from prices where date >= '2001-01-01')
+select symbol, date, round(coalesce(n.close, p.close), 6) as close, coalesce(n.volume, p.volume) as volume from prices p full join nw n using (symbol, date)"""))
+def s8_price_upsert(spark, d):
+    p = ad.prices(spark, d).select("symbol", "date", "close", "volume")
+    new = p.where("date >= '2001-01-01'").select("symbol", "date", (F.col("close") + 1).alias("close"), (F.col("volume") + 1).alias("volume"))
+    return r(stores.upsert(p.withColumn("v", F.lit(1)), new.withColumn("v", F.lit(2)), ["symbol", "date"], "v").drop("v"))
+
+
+@query(sql(RAW, "select portfolio, symbol, date, kind, qty, round(price, 9) as price, max(row_idx) as lineage from raw group by all"))
+def s9_ledger_upsert(spark, d):
+    t = ad.raw_trades(spark, d).withColumn("price", F.round("price", 9))
+    key = ["portfolio", "symbol", "date", "kind", "qty", "price"]
+    return tp.pick_one(t, key, [F.desc("row_idx")]).select(*key, F.col("row_idx").alias("lineage"))
+
+
+@query(sql(*TO_LEDGER, "select portfolio, count(*) as n from ledger where portfolio not in ('BUILDING', 'MACHINERY') group by 1"))
+def s10_cascade_delete(spark, d):
+    gone = spark.createDataFrame([("BUILDING",), ("MACHINERY",)], "portfolio string")
+    return stores.delete_portfolios(Book(spark, d).ledger, gone).groupBy("portfolio").agg(F.count("*").alias("n"))
+
+
+@query("""with e as (select 7 as top), n as (select distinct c_mktsegment as portfolio from customer where c_mktsegment <> 'BUILDING')
+select 7 + row_number() over (order by portfolio) as portfolio_id, portfolio from n""")
+def s11_register(spark, d):
+    old = spark.createDataFrame([(7, "BUILDING")], "portfolio_id long, portfolio string")
+    return stores.register(old, table(spark, d, "customer").select(F.col("c_mktsegment").alias("portfolio")))
+
+
+RUNS = """runs as (select user_id as run_id, min(ts) as started_at, max(case when event_type in ('purchase', 'error') then ts end) as completed_at,
+  max(cast(value as bigint)) as rows_processed from events group by 1)"""
+
+
+def run_log(spark, d):
+    e = table(spark, d, "events")
+    first = e.groupBy(F.col("user_id").alias("run_id")).agg(F.min("ts").alias("at")).withColumn("status", F.lit("RUNNING"))
+    ends = e.where("event_type in ('purchase', 'error')").select(F.col("user_id").alias("run_id"), F.col("ts").alias("at"), F.when(F.col("event_type") == "error", "FAILED").otherwise("SUCCESS").alias("status"), F.concat(F.repeat(F.lit("x"), F.lit(9000)), F.lit("end")).alias("error"))
+    rows = e.select(F.col("user_id").alias("run_id"), F.lit(None).cast("timestamp_ntz").alias("at"), F.col("value").cast("long").alias("rows_processed"))
+    return first.unionByName(ends, allowMissingColumns=True).withColumn("rows_processed", F.lit(None).cast("long")).unionByName(rows, allowMissingColumns=True)
+
+
+@query(sql(RUNS, "select run_id, started_at, completed_at, date_diff('second', date_trunc('second', started_at), date_trunc('second', completed_at)) as duration_seconds, case when completed_at is null then null else 8000 end as error_chars from runs"))
+def s12_run_log(spark, d):
+    return stores.fold_runs(run_log(spark, d)).select("run_id", "started_at", "completed_at", "duration_seconds", F.length("error").alias("error_chars"))
+
+
+@query(sql(RUNS, "select run_id, started_at from runs order by started_at desc, run_id desc limit 20"))
+def s13_latest_runs(spark, d):
+    return stores.latest_runs(stores.fold_runs(run_log(spark, d))).select("run_id", "started_at")
+
+
+@query("select l_orderkey as transaction_id, cast(l_shipdate as date) as txn_date, cast(l_quantity as decimal(18,6)) as quantity, cast(strftime(l_shipdate, '%Y%m%d') as integer) as date_key from lineitem")
+def s14_staging(spark, d):
+    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("transaction_id"), F.col("l_shipdate").cast("date").alias("txn_date"), F.col("l_quantity").cast("decimal(18,6)").alias("quantity"), F.date_format("l_shipdate", "yyyyMMdd").cast("int").alias("date_key"))
+
+
+@query("select o_orderkey as transaction_id, o_totalprice as dividend_amount from orders where o_orderstatus = 'F'")
+def s15_dividends(spark, d):
+    return table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("transaction_id"), F.col("o_totalprice").alias("dividend_amount"))
+
+
+CAL = """cal as (select cast(unnest(generate_series(date '1995-01-01', date '2001-12-31', interval 1 day)) as date) as full_date)"""
+
+
+@query(sql(CAL, """select cast(strftime(full_date, '%Y%m%d') as integer) as date_key, full_date, day(full_date) as day_of_month, isodow(full_date) as day_of_week, dayname(full_date) as day_name, week(full_date) as week_of_year,
+  month(full_date) as month_num, monthname(full_date) as month_name, quarter(full_date) as quarter, year(full_date) as year, isodow(full_date) < 6 as is_trading_day from cal"""))
+def d1_calendar(spark, d):
+    return tp.calendar(spark, "1995-01-01", "2001-12-31")
+
+
+@query(sql(CAL, "select full_date from cal where full_date not in (select cast(l_shipdate as date) from lineitem)"))
+def d2_calendar_extension(spark, d):
+    have = table(spark, d, "lineitem").select(F.col("l_shipdate").cast("date").alias("full_date")).distinct()
+    return tp.extend_calendar(have, "1995-01-01", "2001-12-31").select("full_date")
+
+
+CURRENT = "cur as (select p_brand as ticker, min(p_type) as sector, cast(null as varchar) as industry, date '1996-01-01' as effective_from from part where right(p_brand, 1) <> '3' group by 1), inc as (select p_brand as ticker, case when right(p_brand, 1) = '2' then max(p_type) || '*' else min(p_type) end as sector, cast(null as varchar) as industry, case when right(p_brand, 1) = '1' then date '1995-01-01' else date '1998-01-01' end as as_of from part where right(p_brand, 1) <> '4' group by 1)"
+
+
+def _versions(spark, d):
+    p = table(spark, d, "part").withColumn("k", F.right("p_brand", F.lit(1)))
+    none = F.lit(None).cast("string").alias("industry")
+    cur = p.where("k <> '3'").groupBy(F.col("p_brand").alias("ticker")).agg(F.min("p_type").alias("sector")).select("ticker", "sector", none, F.lit("1996-01-01").cast("date").alias("effective_from"), F.lit(tp.END_OF_TIME).cast("date").alias("effective_to"), F.lit(True).alias("is_current"))
+    inc = p.where("k <> '4'").groupBy(F.col("p_brand").alias("ticker"), "k").agg(F.when(F.col("k") == "2", F.concat(F.max("p_type"), F.lit("*"))).otherwise(F.min("p_type")).alias("sector")).select("ticker", "sector", none, F.when(F.col("k") == "1", F.lit("1995-01-01")).otherwise(F.lit("1998-01-01")).cast("date").alias("as_of"))
+    return tp.scd2_upsert(cur, inc)
+
+
+VERSIONS = CURRENT + """,
+versions as (
+  select ticker, i.sector, i.as_of as effective_from, date '9999-12-31' as effective_to, true as is_current from inc i where ticker not in (select ticker from cur)
+  union all select ticker, c.sector, case when i.as_of < c.effective_from then i.as_of else c.effective_from end, date '9999-12-31', true from cur c left join inc i using (ticker) where i.ticker is null or i.sector is not distinct from c.sector
+  union all select ticker, c.sector, c.effective_from, i.as_of - 1, false from cur c join inc i using (ticker) where i.sector is distinct from c.sector
+  union all select ticker, i.sector, i.as_of, date '9999-12-31', true from cur c join inc i using (ticker) where i.sector is distinct from c.sector)"""
+
+
+@query(sql(VERSIONS, "select ticker, sector, effective_from, effective_to, is_current from versions"))
+def d3_scd2_upsert(spark, d):
+    return _versions(spark, d).drop("industry")
+
+
+@query(sql(VERSIONS, RAW, "select symbol, sector, count(*) as n from raw join versions on symbol = ticker and date between effective_from and effective_to group by 1, 2"))
+def d4_point_in_time(spark, d):
+    t = ad.raw_trades(spark, d).withColumn("ticker", F.col("symbol"))
+    return tp.resolve_at(t, _versions(spark, d), "ticker", "date", ["sector"]).groupBy("symbol", "sector").agg(F.count("*").alias("n"))
+
+
+@query(sql(VERSIONS, RAW, "select symbol, date, count(*) as n from raw where not exists (select 1 from versions where symbol = ticker and date between effective_from and effective_to) group by 1, 2"))
+def d4_unresolved(spark, d):
+    t = ad.raw_trades(spark, d).withColumn("ticker", F.col("symbol"))
+    return tp.unresolved_at(t, _versions(spark, d), "ticker", "date").groupBy("symbol", "date").agg(F.count("*").alias("n"))
+
+
+@query(sql(*TO_HELD, VERSIONS, "select portfolio, symbol, date, sector, round(cost, 4) as cost from held join versions on symbol = ticker and date between effective_from and effective_to"))
+def d5_attributes_as_of(spark, d):
+    h = Book(spark, d).held.withColumn("ticker", F.col("symbol"))
+    return r(tp.resolve_at(h, _versions(spark, d), "ticker", "date", ["sector"]).select("portfolio", "symbol", "date", "sector", "cost"), 4)
+
+
+@query("select 'INDEX' as ticker, 'INDEX' as sector, date '1995-01-01' as effective_from, date '9999-12-31' as effective_to, true as is_current from lineitem having count(*) > 0")
+def d6_benchmark_asset(spark, d):
+    day = table(spark, d, "lineitem").agg(F.lit("1995-01-01").cast("date").alias("a"), F.count("*").alias("n")).where("n > 0")
+    cols = [F.lit("INDEX").alias("ticker"), F.lit("INDEX").alias("sector"), F.lit(None).cast("string").alias("industry")]
+    cur = day.select(*cols, F.lit("1996-06-01").cast("date").alias("effective_from"), F.lit(tp.END_OF_TIME).cast("date").alias("effective_to"), F.lit(True).alias("is_current"))
+    return tp.scd2_upsert(cur, day.select(*cols, F.col("a").alias("as_of"))).drop("industry")
+
+
+@query(f"""with t as ({TICKERS}) select split_part(ticker, '.', 1) as base, max(ticker) as ticker from t group by 1""")
+def d7_canonical_asset(spark, d):
+    return tp.pick_one(tickers(spark, d).withColumn("base", tp.base_symbol("ticker")), ["base"], [F.desc("ticker")])
+
+
+@query(sql(PRICES, "select symbol, date, round(max(close), 6) as close from prices group by 1, 2"))
+def d8_price_dedupe(spark, d):
+    p = ad.prices(spark, d).select("symbol", "date", "close")
+    twice = p.withColumn("current", F.lit(True)).unionByName(p.withColumn("close", F.col("close") - 1).withColumn("current", F.lit(False)))
+    return r(tp.pick_one(twice, ["symbol", "date"], [F.desc("current")]).drop("current"))
+
+
+@query(f"""with t as ({TICKERS}), n as (select ticker, case when right(split_part(ticker, '.', 1), 1) = '1' and ticker like '%.NS' then 3 else 20 end as n from t)
+select t.ticker, case when a.n < 10 and b.n >= 10 then b.ticker else t.ticker end as renamed from t join n a on a.ticker = t.ticker
+left join n b on b.ticker = split_part(t.ticker, '.', 1) || case when t.ticker like '%.NS' then '.BO' else '.NS' end""")
+def d9_listing_correction(spark, d):
+    t = tickers(spark, d)
+    thin = (F.right(tp.base_symbol("ticker"), F.lit(1)) == "1") & F.col("ticker").endswith(".NS")
+    rows = t.select("ticker", F.explode(F.sequence(F.lit(1), F.when(thin, 3).otherwise(20))).alias("i"))
+    return tp.correct_listing(t, rows)
+
+
+@query(sql(RAW, PRICES, "select portfolio, symbol, row_idx, date, round(p.close, 6) as close from (select r.*, date - 1 as before from raw r) r asof left join (select symbol as s, date as pd, close from prices) p on r.symbol = p.s and r.before >= p.pd"))
+def d10_asof_join(spark, d):
+    t = ad.raw_trades(spark, d).select("portfolio", "symbol", "row_idx", "date", F.date_sub("date", 1).alias("before"))
+    return r(tp.asof_join(t, ad.prices(spark, d), ["symbol"], "before", "date", ["close"]).drop("before"))
+
+
+@query(sql(*TO_HELD, AS_OF, CUBE.split(",\ncube as")[0], "select portfolio, symbol, date from cube_days"))
+def d11_densified_calendar(spark, d):
+    b = Book(spark, d)
+    return tp.densify(b.held, ho.KEY, "date", b.as_of)
+
+
+# ---- validation and cleaning of text ledgers
+
+TEXT = """text_rows as materialized (
+  select c_mktsegment as portfolio, row_number() over (partition by c_mktsegment order by """ + ", ".join(ad.ORDER) + """, l_shipdate) as rid,
+    case when l_orderkey % 41 = 0 then strftime(l_shipdate, '%d/%m/%Y') when l_orderkey % 43 = 0 then '2099-01-01' when l_orderkey % 59 = 0 then 'soon' else strftime(l_shipdate, '%Y-%m-%d') end as date,
+    upper(replace(p_brand, '#', '')) || case when l_orderkey % 37 = 0 then '' when l_suppkey % 2 = 0 then '.NS' else '.BO' end as ticker,
+    case when l_orderkey % 31 = 0 then 'PURCHASE' when l_orderkey % 29 = 0 then ' buy ' when l_returnflag = 'R' then 'SELL' else 'BUY' end as transaction_type,
+    case when l_orderkey % 23 = 0 then '-5' when l_orderkey % 47 = 0 then 'abc' else cast(cast(l_quantity as integer) as varchar) end as quantity,
+    case when l_orderkey % 53 = 0 then 'NaN' else cast(cast(l_extendedprice as decimal(18,2)) as varchar) end as price,
+    case when l_orderkey % 19 = 0 then '' else '1.5' end as fees, case when l_orderkey % 17 = 0 then 'x' else '2.0' end as tax,
+    case when l_orderkey % 13 = 0 then ' ' when l_orderkey % 11 = 0 then 'USD' when l_orderkey % 7 = 0 then 'XYZ' else 'INR' end as currency
+  from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join part on l_partkey = p_partkey)"""
+
+REASONS = TEXT + """,
+reasons as (
+  select *, case
+    when upper(trim(transaction_type)) not in ('BUY', 'SELL', 'DIVIDEND', 'DEPOSIT', 'WITHDRAWAL') then 'unknown transaction type'
+    when regexp_full_match(date, '[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}') then 'ambiguous date'
+    when try_cast(date as date) is null then 'invalid date'
+    when try_cast(date as date) > date '2002-01-01' then 'future date'
+    when not regexp_full_match(ticker, '[A-Z0-9&-]+[.](NS|BO)') then 'malformed ticker'
+    when coalesce(try_cast(quantity as double), -1) <= 0 then 'invalid quantity'
+    when price = 'NaN' or coalesce(try_cast(price as double), -1) <= 0 then 'invalid price' end as reason from text_rows)"""
+
+CLEANED = REASONS + """,
+typed as (
+  select portfolio, rid, cast(date as date) as date, case when ticker = 'BRAND11.NS' then 'BRAND12.NS' else ticker end as ticker, upper(trim(transaction_type)) as transaction_type,
+    cast(quantity as double) as quantity, cast(price as double) as price, coalesce(try_cast(fees as double), 0) as fees, coalesce(try_cast(tax as double), 0) as tax,
+    case when trim(currency) = '' then 'INR' else currency end as currency, (try_cast(fees as double) is null)::int + (try_cast(tax as double) is null)::int as imputed
+  from reasons where reason is null),
+deduped as (select * from typed qualify row_number() over (partition by portfolio, date, ticker, transaction_type, quantity, price order by rid) = 1),
+cleaned as (
+  select *, price * case currency when 'INR' then 1 when 'USD' then 83 when 'EUR' then 90 end as price_base, currency = 'XYZ' as unresolved,
+    count(*) over (partition by portfolio, date, ticker) > 1 as near_duplicate,
+    coalesce(abs(price - lag(price) over (partition by portfolio, ticker order by date, rid)) / lag(price) over (partition by portfolio, ticker order by date, rid) > 0.15, false) as anomaly
+  from deduped)"""
+
+
+def text_rows(spark, d):
+    li, o, c, p = (table(spark, d, t) for t in ("lineitem", "orders", "customer", "part"))
+    j = li.join(o, li.l_orderkey == o.o_orderkey).join(c, F.col("o_custkey") == F.col("c_custkey")).join(p, F.col("l_partkey") == F.col("p_partkey"))
+    k = lambda n: F.col("l_orderkey") % n == 0
+    return j.select(
+        F.col("c_mktsegment").alias("portfolio"),
+        F.row_number().over(Window.partitionBy("c_mktsegment").orderBy(*ad.ORDER, "l_shipdate")).alias("rid"),
+        F.when(k(41), F.date_format("l_shipdate", "dd/MM/yyyy")).when(k(43), "2099-01-01").when(k(59), "soon").otherwise(F.date_format("l_shipdate", "yyyy-MM-dd")).alias("date"),
+        F.concat(F.upper(F.replace("p_brand", F.lit("#"), F.lit(""))), F.when(k(37), "").when(F.col("l_suppkey") % 2 == 0, ".NS").otherwise(".BO")).alias("ticker"),
+        F.when(k(31), "PURCHASE").when(k(29), " buy ").when(F.col("l_returnflag") == "R", "SELL").otherwise("BUY").alias("transaction_type"),
+        F.when(k(23), "-5").when(k(47), "abc").otherwise(F.col("l_quantity").cast("int").cast("string")).alias("quantity"),
+        F.when(k(53), "NaN").otherwise(F.col("l_extendedprice").cast("decimal(18,2)").cast("string")).alias("price"),
+        F.when(k(19), "").otherwise("1.5").alias("fees"),
+        F.when(k(17), "x").otherwise("2.0").alias("tax"),
+        F.when(k(13), " ").when(k(11), "USD").when(k(7), "XYZ").otherwise("INR").alias("currency"),
+    )
+
+
+def _cleaned(spark, d):
+    v = va.validate(text_rows(spark, d), "2002-01-01")
+    aliases = spark.createDataFrame([("BRAND11.NS", "BRAND12.NS")], "alias string, ticker string")
+    rates = spark.createDataFrame(list(va.RATES.items()), "currency string, rate double")
+    return v, va.clean(v.where("reason is null"), aliases, rates, ["portfolio"])
+
+
+@query(sql(REASONS, "select portfolio, rid, reason from reasons"))
+def v1_v7_reasons(spark, d):
+    return va.validate(text_rows(spark, d), "2002-01-01").select("portfolio", "rid", "reason")
+
+
+@query(sql(RAW, ad.WALK.split(",\nledger as")[0], "select portfolio, symbol, row_idx from walk where rejected"))
+def v8_oversell(spark, d):
+    return ho.mark_oversold(ad.raw_trades(spark, d)).where("rejected").select("portfolio", "symbol", "row_idx")
+
+
+@query(sql(RAW, SPLITS, "select portfolio, raw.symbol, row_idx, round(qty * coalesce(ratio, 1), 10) as qty, round(price / coalesce(ratio, 1), 10) as price, case when ratio is not null then strftime(split_date, '%Y-%m-%d') || ' x' || cast(ratio as varchar) end as note from raw left join splits s on s.symbol = raw.symbol and s.split_date > raw.date"))
+def v9_split_adjustment(spark, d):
+    ids = ["portfolio", "symbol", "row_idx"]
+    return r(va.split_adjust(ad.raw_trades(spark, d), splits(spark, d).union(splits(spark, d)), ids).select(*ids, "qty", "price", "note"), 10)
+
+
+@query(f"with t as ({TICKERS}) select ticker, split_part(ticker, '.', 1) as base from t")
+def v10_base_symbol(spark, d):
+    return tickers(spark, d).select("ticker", tp.base_symbol("ticker").alias("base"))
+
+
+@query(sql(CLEANED, "select portfolio, rid, date, ticker, transaction_type, quantity, price, fees, tax, currency, price_base, imputed, unresolved, near_duplicate, anomaly from cleaned"))
+def c1_c9_clean(spark, d):
+    return _cleaned(spark, d)[1]
+
+
+@query(sql(CLEANED, """select v.portfolio, v.rows_in, v.rows_rejected, c.rows_cleaned, c.near_duplicates_flagged, c.values_imputed, c.anomalies_flagged, c.rows_unresolved, v.rows_in - v.rows_rejected - c.rows_cleaned as duplicates_dropped
+from (select portfolio, count(*) as rows_in, count(reason) as rows_rejected from reasons group by 1) v join (select portfolio, count(*) as rows_cleaned, count(*) filter (near_duplicate) as near_duplicates_flagged, sum(imputed) as values_imputed, count(*) filter (anomaly) as anomalies_flagged, count(*) filter (unresolved) as rows_unresolved from cleaned group by 1) c using (portfolio)"""))
+def c10_quality_report(spark, d):
+    v, c = _cleaned(spark, d)
+    return va.quality_report(v, c, ["portfolio"])
+
+
+@query(sql(*TO_HELD, """select * from (values
+  ('unique order', (select count(*) from (select o_orderkey from orders group by 1 having count(*) > 1))),
+  ('unique line', (select count(*) from (select l_orderkey, l_linenumber from lineitem group by 1, 2 having count(*) > 1))),
+  ('date not null', (select count(*) from lineitem where l_shipdate is null)),
+  ('order known', (select count(*) from lineitem where l_orderkey not in (select o_orderkey from orders))),
+  ('supplier known', (select count(*) from lineitem where l_suppkey not in (select s_suppkey from supplier where s_suppkey % 3 <> 0))),
+  ('flag accepted', (select count(*) from lineitem where l_returnflag not in ('A', 'N'))),
+  ('discount in range', (select count(*) from lineitem where l_discount < 0.02 or l_discount > 0.08)),
+  ('zero cost when not held', (select count(*) from held where abs(qty) <= 1e-9 and abs(cost) > 1e-6)),
+  ('held not negative', (select count(*) from held where qty < -1e-9))) as t(expectation, n_violations)"""))
+def q1_q8_expectations(spark, d):
+    li, o, s = (table(spark, d, t) for t in ("lineitem", "orders", "supplier"))
+    held = Book(spark, d).held
+    return ex.suite({
+        "unique order": ex.unique(o, "o_orderkey"), "unique line": ex.unique(li, "l_orderkey", "l_linenumber"), "date not null": ex.not_null(li, "l_shipdate"), "order known": ex.related(li, "l_orderkey", o, "o_orderkey"),
+        "supplier known": ex.related(li, "l_suppkey", s.where("s_suppkey % 3 <> 0"), "s_suppkey"), "flag accepted": ex.accepted(li, "l_returnflag", ["A", "N"]), "discount in range": ex.in_range(li, "l_discount", 0.02, 0.08),
+        "zero cost when not held": ex.zero_when_not_held(held), "held not negative": ex.in_range(held, "qty", low=-1e-9),
+    })
+
+
+@query(sql(VERSIONS, "select ticker, count(*) as n from versions where is_current or ticker like '%2' group by 1 having count(*) > 1"))
+def q8_one_current(spark, d):
+    v = _versions(spark, d)
+    return ex.one_current(v.withColumn("is_current", F.col("is_current") | F.col("ticker").endswith("2")), "ticker")
+
+
+# ---- holdings, cash, value
+
+
+@query(sql(*TO_HELD[:3], "select portfolio, symbol, date, buy_qty, round(buy_cost, 4) as buy_cost, sell_qty from moves"))
+def h1_moves(spark, d):
+    return r(ho.moves(Book(spark, d).ledger), 4)
+
+
+@query(sql(*TO_HELD, "select portfolio, symbol, date, round(qty + 0.000037, 3) as qty, round(cost + 0.000037, 3) as cost from held"))
+def h2_h3_weighted_cost(spark, d):
+    return r(Book(spark, d).held, 3, 0.000037)
+
+
+@query(sql(*TO_HELD, AS_OF, PRICES, CUBE, "select portfolio, date, count(*) as n, round(sum(qty), 2) as qty, round(sum(cost), 2) as cost from cube group by 1, 2"))
+def h4_daily_cube(spark, d):
+    return r(Book(spark, d).cube.groupBy("portfolio", "date").agg(F.count("*").alias("n"), F.sum("qty").alias("qty"), F.sum("cost").alias("cost")), 2)
+
+
+@query(sql(*TO_LEDGER, """flow as (select portfolio, symbol, date, sum(case when kind = 'BUY' then qty else -qty end) as dq, sum(case when kind = 'BUY' then qty * price else -qty * price end) as dc from ledger group by all),
+run as (select portfolio, symbol, date, sum(dq) over w as qty, sum(dc) over w as net_invested from flow window w as (partition by portfolio, symbol order by date)),
+days as (select portfolio, symbol, cast(unnest(generate_series(min(date), (select max(date) from raw), interval 1 day)) as date) as date from run group by 1, 2)
+select portfolio, date, round(sum(qty), 2) as qty, round(sum(net_invested), 2) as net_invested from (select d.portfolio, d.date, r.qty, r.net_invested from days d asof join run r on d.portfolio = r.portfolio and d.symbol = r.symbol and d.date >= r.date) group by 1, 2"""))
+def h5_net_invested(spark, d):
+    b = Book(spark, d)
+    return r(ho.net_invested_cube(b.ledger, b.as_of).groupBy("portfolio", "date").agg(F.sum("qty").alias("qty"), F.sum("net_invested").alias("net_invested")), 2)
+
+
+@query(sql(*TO_LEDGER, "select portfolio, date, round(sum(case when kind = 'SELL' then price * qty - fees - tax else 0 end) + 0.0000037, 4) as delta from ledger group by 1, 2"))
+def k1_cash_delta(spark, d):
+    return r(ho.cash_delta(Book(spark, d).ledger), 4, 0.0000037)
+
+
+@query(sql(*TO_LEDGER, "k as (select portfolio, date, sum(case when kind = 'SELL' then price * qty - fees - tax else 0 end) as delta from ledger group by 1, 2)", "select portfolio, date, round(sum(delta) over (partition by portfolio order by date), 2) as balance from k"))
+def k2_running_cash(spark, d):
+    return r(ho.running_cash(ho.cash_delta(Book(spark, d).ledger)), 2)
+
+
+@query(sql(*TO_NAV, "select portfolio, date, round(mv, 2) as mv, round(cost, 2) as cost, round(cash, 2) as cash, round(nav, 2) as nav from nav"))
+def n1_n2_n4_nav(spark, d):
+    return r(Book(spark, d).nav, 2)
+
+
+@query(sql(*TO_NAV, "select portfolio, date, round(r, 8) as r from rets"))
+def n3_nav_returns(spark, d):
+    return r(ho.nav_returns(Book(spark, d).nav).select("portfolio", "date", "r"), 8)
+
+
+@query(sql(*TO_NAV, "select portfolio, date, round(case when lag(mv) over w > 0 then (mv - lag(mv) over w) / lag(mv) over w end, 8) as daily_return, round(case when first_value(mv) over w > 0 then (mv - first_value(mv) over w) / first_value(mv) over w end, 6) as cumulative_return from nav window w as (partition by portfolio order by date)"))
+def n5_inception_returns(spark, d):
+    return r(ho.inception_returns(Book(spark, d).nav, "mv").withColumn("cumulative_return", F.round("cumulative_return", 6)), 8)
+
+
+@query(sql(*TO_MARKED, "select portfolio, symbol, date, round(case when qty > 0 and abs(case when date < date '1995-03-01' then 0 else mv end) < 1e-9 then cost else mv end + 0.00037, 2) as value from marked where date < date '1995-06-01'"))
+def n6_gap_fill_at_cost(spark, d):
+    m = Book(spark, d).marked.where("date < '1995-06-01'").withColumn("mv", F.when(F.col("date") < "1995-03-01", 0.0).otherwise(F.col("mv")))
+    return r(m.select("portfolio", "symbol", "date", F.when((F.col("qty") > 0) & (F.abs("mv") < 1e-9), F.col("cost")).otherwise(F.col("mv")).alias("value")), 2, 0.00037)
+
+
+# ---- marts
+
+
+@query(sql(*TO_MARKED, LAST, "select portfolio, symbol, round(qty, 2) as qty, round(cost, 2) as cost, round(close, 9) as close, round(mv + 0.00037, 2) as mv, round(mv - cost + 0.00037, 2) as gain from last_day"))
+def m1_asset_performance(spark, d):
+    return r(Book(spark, d).last_day.select("portfolio", "symbol", F.round("qty", 2).alias("qty"), F.round("cost", 2).alias("cost"), F.round("close", 9).alias("close"), F.round(F.col("mv") + 0.00037, 2).alias("mv"), F.round(F.col("mv") - F.col("cost") + 0.00037, 2).alias("gain")), 9)
+
+
+@query(sql(*TO_NAV, "select portfolio, date, round(exp(sum(ln(1 + coalesce(r, 0))) over (partition by portfolio order by date)) - 1, 4) as cumulative from rets"))
+def m2_cumulative_return(spark, d):
+    n = ho.nav_returns(Book(spark, d).nav)
+    w = st.by("portfolio").rowsBetween(Window.unboundedPreceding, 0)
+    return r(n.select("portfolio", "date", (F.product(1 + F.coalesce("r", F.lit(0.0))).over(w) - 1).alias("cumulative")), 4)
+
+
+@query(sql(*TO_NAV, """select portfolio, date, round(stddev_samp(r) over (partition by portfolio order by date rows 29 preceding) * sqrt(252), 6) as vol_30, round(max(nav) over w, 2) as peak, round((nav - max(nav) over w) / max(nav) over w, 6) as drawdown from rets window w as (partition by portfolio order by date)"""))
+def m3_risk_metrics(spark, d):
+    n = rk.drawdowns(ho.nav_returns(Book(spark, d).nav), ["portfolio"], "nav")
+    vol = F.stddev_samp("r").over(st.by("portfolio").rowsBetween(-29, 0)) * st.DAYS**0.5
+    return n.select("portfolio", "date", F.round(vol, 6).alias("vol_30"), F.round("peak", 2).alias("peak"), F.round("drawdown", 6).alias("drawdown"))
+
+
+@query(sql(*TO_MARKED, LAST, "select portfolio, symbol, round(mv / nullif(sum(mv) over (partition by portfolio), 0), 6) as weight from last_day"))
+def m4_allocation_weight(spark, d):
+    return r(Book(spark, d).last_day.select("portfolio", "symbol", st.ratio(F.col("mv"), F.sum("mv").over(Window.partitionBy("portfolio"))).alias("weight")))
+
+
+BENCH = "bench as (select date, close, close / lag(close) over (order by date) - 1 as b from idx)"
+
+
+@query(sql(*TO_NAV, INDEX, "select n.portfolio, n.date, round(n.r, 6) as r, round(i.close, 6) as close, round((i.close - lag(i.close) over w) / lag(i.close) over w, 6) as b from rets n join idx i on n.date = i.date window w as (partition by n.portfolio order by n.date)"))
+def m5_benchmark(spark, d):
+    b = Book(spark, d)
+    j = ho.nav_returns(b.nav).select("portfolio", "date", "r").join(b.index, "date")
+    return r(st.changes(j, ["portfolio"], "close", "b").select("portfolio", "date", "r", "close", "b"))
+
+
+@query(sql(*TO_NAV, "select portfolio, round(nav, 2) as nav from nav where date = date '1998-12-31'"))
+def m6_value_on_date(spark, d):
+    return r(Book(spark, d).nav.where("date = '1998-12-31'").select("portfolio", "nav"), 2)
+
+
+@query(sql(*TO_MARKED, "select portfolio, symbol, round(qty, 2) as qty from marked where date = (select max(date) from marked)"))
+def m7_latest_holdings(spark, d):
+    return r(Book(spark, d).last_day.select("portfolio", "symbol", "qty"), 2)
+
+
+@query(sql(*TO_NAV, "select portfolio, date, round(nav, 2) as nav, round(r, 8) as r from rets order by date desc, portfolio limit 5"))
+def m8_latest_values(spark, d):
+    n = ho.nav_returns(Book(spark, d).nav).orderBy(F.desc("date"), "portfolio").limit(5)
+    return n.select("portfolio", "date", F.round("nav", 2).alias("nav"), F.round("r", 8).alias("r"))
+
+
+@query(sql(*TO_LEDGER, "select portfolio, symbol, date, kind, qty, round(price, 9) as price, row_idx from ledger"))
+def m9_audit_trail(spark, d):
+    return Book(spark, d).ledger.select("portfolio", "symbol", "date", "kind", "qty", F.round("price", 9).alias("price"), "row_idx").orderBy("date", "portfolio", "symbol", "row_idx")
+
+
+@query(sql(*TO_MARKED, LAST, "select c.portfolio, round(m.mv, 2) as mv, m.n_held from (select distinct c_mktsegment as portfolio from customer) c left join (select portfolio, sum(mv) as mv, count(*) filter (qty > 1e-9) as n_held from last_day group by 1) m using (portfolio)"))
+def m10_portfolio_catalogue(spark, d):
+    g = Book(spark, d).last_day.groupBy("portfolio").agg(F.sum("mv").alias("mv"), F.count_if(F.col("qty") > 1e-9).alias("n_held"))
+    return r(table(spark, d, "customer").select(F.col("c_mktsegment").alias("portfolio")).distinct().join(g, "portfolio", "left"), 2)
+
+
+# ---- performance
+
+REALIZED = """tstate as (
+  select portfolio, symbol, rn, case when kind = 'BUY' then qty else -qty end as q, case when kind = 'BUY' then price * qty + fees else 0 end as c, 0::double as gain from tl where rn = 1
+  union all
+  select t.portfolio, t.symbol, t.rn, s.q + case when t.kind = 'BUY' then t.qty else -t.qty end,
+    case when t.kind = 'BUY' then s.c + t.price * t.qty + t.fees when s.q - t.qty <= 1e-9 then 0 else s.c * (1 - t.qty / s.q) end,
+    case when t.kind = 'SELL' then t.price * t.qty - t.fees - t.tax - s.c * t.qty / s.q else 0 end
+  from tstate s join tl t on t.portfolio = s.portfolio and t.symbol = s.symbol and t.rn = s.rn + 1),
+realized as (select portfolio, sum(gain) as realized_pnl from tstate group by 1)"""
+TL = "tl as materialized (select *, row_number() over (partition by portfolio, symbol order by row_idx) as rn from ledger)"
+DEPLOYED = "deployed as (select portfolio, sum(case when kind = 'BUY' then price * qty + fees else 0 end) as deployed from ledger group by 1)"
+
+
+@query(sql(*TO_LEDGER, TL, REALIZED, DEPLOYED, "select portfolio, round(realized_pnl, 1) as realized_pnl, round(deployed, 1) as deployed from realized join deployed using (portfolio)"))
+def p2_realized_pnl(spark, d):
+    return r(ho.realized(Book(spark, d).ledger), 1)
+
+
+@query(sql(*TO_NAV, "select portfolio, round(mv - cost, 2) as absolute, round((mv - cost) / nullif(cost, 0), 6) as relative from nav where date = (select day from as_of)"))
+def p1_capital_summary(spark, d):
+    b = Book(spark, d)
+    n = b.nav.where(F.col("date") == b.as_of).join(ho.realized(b.ledger), "portfolio").withColumnRenamed("cost", "invested")
+    return pf.capital_summary(n).select("portfolio", F.round("absolute", 2).alias("absolute"), F.round("relative", 6).alias("relative"))
+
+
+@query(sql(*TO_NAV, """g as (select portfolio, first(nav order by date) as v0, last(nav order by date) as v1, date_diff('day', min(date), max(date)) as days from nav group by 1)
+select portfolio, round(v0, 2) as v0, round(v1, 2) as v1, days, round(pow(v1 / v0, 365.25 / days) - 1, 6) as cagr, round(pow(1 + (v1 / v0 - 1), 365.25 / days) - 1, 6) as annualized from g"""))
+def p3_p4_growth(spark, d):
+    g = pf.growth(Book(spark, d).nav, ["portfolio"], "nav")
+    return g.select("portfolio", F.round("v0", 2).alias("v0"), F.round("v1", 2).alias("v1"), "days", F.round("cagr", 6).alias("cagr"), F.round("annualized", 6).alias("annualized"))
+
+
+def _periodic(unit: str, label: str) -> str:
+    return sql(PRICES, f"""ret as (select symbol, date, close / lag(close) over (partition by symbol order by date) - 1 as r from prices),
+span as (select symbol, unnest(generate_series(date_trunc('{unit}', min(date)), date_trunc('{unit}', max(date)), interval 1 {unit})) as p from ret group by 1),
+got as (select symbol, date_trunc('{unit}', date) as p, product(1 + r) - 1 as x from ret where r is not null group by 1, 2)
+select s.symbol, cast({label} as date) as period_end, round(coalesce(x, 0), 6) as ret from span s left join got g on g.symbol = s.symbol and g.p = s.p""")
+
+
+def _price_returns(spark, d):
+    return st.changes(ad.prices(spark, d), ["symbol"], "close")
+
+
+@query(_periodic("week", "s.p + interval 6 day"))
+def p5_weekly_returns(spark, d):
+    return r(pf.periodic_returns(_price_returns(spark, d), ["symbol"], "W"))
+
+
+@query(_periodic("month", "last_day(s.p)"))
+def p5_monthly_returns(spark, d):
+    return r(pf.periodic_returns(_price_returns(spark, d), ["symbol"], "ME"))
+
+
+@query(_periodic("year", "s.p + interval 1 year - interval 1 day"))
+def p5_yearly_returns(spark, d):
+    return r(pf.periodic_returns(_price_returns(spark, d), ["symbol"], "YE"))
+
+
+@query(sql(PRICES, "ret as (select symbol, date, close / lag(close) over (partition by symbol order by date) - 1 as r from prices)", "select symbol, date, round(case when count(r) over w = 21 then product(1 + r) over w - 1 end, 5) as rolling from ret window w as (partition by symbol order by date rows 20 preceding)"))
+def p6_rolling_returns(spark, d):
+    return r(pf.rolling_returns(_price_returns(spark, d), ["symbol"], 21).select("symbol", "date", "rolling"), 5)
+
+
+FLOWS = "tf as (select portfolio, date, sum(case when kind = 'BUY' then price * qty + fees else -(price * qty - fees - tax) end) as flow from ledger group by 1, 2)"
+IMPLIED = """step as (select *, coalesce(lag(qty) over w, 0) as q0, coalesce(lag(mv) over w, 0) as v0 from marked window w as (partition by portfolio, symbol order by date)),
+imp as (select portfolio, date, sum(case when abs(qty - q0) <= 1e-9 then 0 when qty > 1e-9 then (qty - q0) * mv / qty else coalesce((qty - q0) * v0 / nullif(q0, 0), 0) end) as flow from step group by 1, 2),
+fr as (select n.portfolio, n.date, case when lag(n.mv) over w > 0 then (n.mv - lag(n.mv) over w - coalesce(i.flow, 0)) / lag(n.mv) over w end as r from nav n left join imp i on i.portfolio = n.portfolio and i.date = n.date window w as (partition by n.portfolio order by n.date))"""
+
+
+@query(sql(*TO_LEDGER, FLOWS, "select portfolio, date, round(flow + 0.000037, 3) as flow from tf"))
+def p8_trade_flows(spark, d):
+    return r(pf.trade_flows(Book(spark, d).ledger), 3, 0.000037)
+
+
+@query(sql(*TO_NAV, IMPLIED, "select portfolio, date, round(flow + 0.00037, 2) as flow from imp"))
+def p9_implied_flows(spark, d):
+    return r(pf.implied_flows(Book(spark, d).marked), 2, 0.00037)
+
+
+def _flow_returns(b):
+    return pf.flow_returns(b.nav, pf.implied_flows(b.marked), ["portfolio"])
+
+
+@query(sql(*TO_NAV, IMPLIED, "select portfolio, date, round(r, 6) as r from fr"))
+def p7_flow_returns(spark, d):
+    return r(_flow_returns(Book(spark, d)).select("portfolio", "date", "r"))
+
+
+@query(sql(*TO_NAV, IMPLIED, "select portfolio, round(exp(sum(ln(1 + r))) - 1, 3) as twr from fr where r is not null group by 1"))
+def p10_time_weighted(spark, d):
+    return r(pf.time_weighted(_flow_returns(Book(spark, d)), ["portfolio"]), 3)
+
+
+ICF = """icf as (select portfolio, date, sum(cf) as cf from (
+  select portfolio, date, case when kind = 'BUY' then -(price * qty + fees) else price * qty - fees - tax end as cf from ledger
+  union all select portfolio, date, mv from nav where date = (select day from as_of)) group by 1, 2)"""
+
+
+@query(sql(*TO_NAV, ICF, "select portfolio, date, round(cf, 2) as cf from icf"))
+def p12_investor_flows(spark, d):
+    b = Book(spark, d)
+    return r(pf.investor_flows(b.ledger, b.nav), 2)
+
+
+@query(sql(*TO_NAV, ICF, """t as materialized (select portfolio, cf, date_diff('day', min(date) over (partition by portfolio), date) / 365.0 as t from icf),
+bis as (select distinct portfolio, -0.9999::double as lo, 10.0::double as hi, 0 as i from t
+  union all
+  select b.portfolio, case when f.s * g.s > 0 then (lo + hi) / 2 else lo end, case when f.s * g.s > 0 then hi else (lo + hi) / 2 end, i + 1 from bis b,
+    lateral (select sum(cf / pow(1 + (b.lo + b.hi) / 2, t)) as s from t where t.portfolio = b.portfolio) f, lateral (select sum(cf / pow(1 - 0.9999, t)) as s from t where t.portfolio = b.portfolio) g where i < 60)
+select portfolio, round((lo + hi) / 2, 5) as xirr from bis where i = 60"""))
+def p11_xirr(spark, d):
+    b = Book(spark, d)
+    return r(pf.xirr(pf.investor_flows(b.ledger, b.nav)), 5)
+
+
+# ---- risk, benchmark, allocation, attribution
+
+PRET = "pret as materialized (select symbol, date, close, close / lag(close) over (partition by symbol order by date) - 1 as r from prices)"
+
+
+@query(sql(PRICES, PRET, """select symbol, round(stddev_samp(r) * sqrt(252), 6) as volatility, round(sqrt(avg(pow(least(r, 0), 2))) * sqrt(252), 6) as downside, round((avg(r) * 252 - 0.07) / (stddev_samp(r) * sqrt(252)), 6) as sharpe,
+  round((avg(r) * 252 - 0.07) / (sqrt(avg(pow(least(r, 0), 2))) * sqrt(252)), 6) as sortino, round(-quantile_cont(r, 0.05), 6) as var_hist, round(-(avg(r) - 1.6448536269514722 * stddev_samp(r)), 6) as var_param from pret where r is not null group by 1"""))
+def r1_r8_risk_summary(spark, d):
+    return r(rk.summary(_price_returns(spark, d), ["symbol"]))
+
+
+@query(sql(PRICES, PRET, INDEX, BENCH, "select symbol, round(covar_samp(r, b) / var_samp(b), 6) as beta, round((avg(r) - covar_samp(r, b) / var_samp(b) * avg(b)) * 252, 6) as alpha from pret join bench using (date) where r is not null and b is not null group by 1"))
+def r5_beta_alpha(spark, d):
+    return r(rk.beta_alpha(_price_returns(spark, d), _bench(spark, d), ["symbol"]))
+
+
+def _bench(spark, d):
+    i = Book(spark, d).index.withColumn("k", F.lit(1))
+    return st.changes(i, ["k"], "close", "b").select("date", "b")
+
+
+@query(sql(*TO_NAV, """dd as (select portfolio, date, mv, max(mv) over (partition by portfolio order by date) as peak, (mv - max(mv) over (partition by portfolio order by date)) / max(mv) over (partition by portfolio order by date) as d from nav),
+lo as (select portfolio, first(date order by d, date) as trough, first(d order by d, date) as d, first(peak order by d, date) as top, max(date) as last from dd group by 1)
+select l.portfolio, round(l.d, 6) as max_drawdown, max(case when x.date <= l.trough and x.mv = l.top then x.date end) as peak_date, l.trough, min(case when x.date > l.trough and x.mv >= l.top then x.date end) as recovery,
+  date_diff('day', max(case when x.date <= l.trough and x.mv = l.top then x.date end), coalesce(min(case when x.date > l.trough and x.mv >= l.top then x.date end), l.last)) as days from lo l join dd x using (portfolio) group by l.portfolio, l.d, l.trough, l.last"""))
+def r6_max_drawdown(spark, d):
+    return r(rk.max_drawdown(Book(spark, d).nav, ["portfolio"], "mv"))
+
+
+@query(sql(PRICES, PRET, "v as (select symbol, quantile_cont(r, 0.05) as q from pret where r is not null group by 1)", "select symbol, round(-avg(r), 6) as cvar from pret join v using (symbol) where r <= q group by 1"))
+def r9_conditional_var(spark, d):
+    return r(rk.conditional_var(_price_returns(spark, d), ["symbol"]))
+
+
+@query(sql(PRICES, PRET, "select a.symbol as a, b.symbol as b, round(corr(a.r, b.r), 5) as corr, count(*) as n from pret a join pret b on a.date = b.date and a.symbol <= b.symbol where a.r is not null and b.r is not null group by 1, 2"))
+def r10_correlations(spark, d):
+    return r(rk.correlations(_price_returns(spark, d), [], "symbol"), 5)
+
+
+HELD_SERIES = """hw as (select portfolio, symbol, mv from last_day where mv > 1e-9 and symbol <= 'Brand#13'),
+series as (select h.portfolio, p.date, sum(h.mv * p.close / l.last) as value, count(*) as n, max(c.n_held) as n_held from hw h join prices p on p.symbol = h.symbol
+  join (select symbol, last(close order by date) as last from prices group by 1) l on l.symbol = h.symbol join (select portfolio, count(*) as n_held from hw group by 1) c on c.portfolio = h.portfolio group by 1, 2 having count(*) = max(c.n_held)),
+sret as (select portfolio, date, value, value / lag(value) over (partition by portfolio order by date) - 1 as r from series)"""
+
+
+def _held_series(spark, d):
+    b = Book(spark, d)
+    return rk.current_holdings_series(b.last_day.where("symbol <= 'Brand#13'").select("portfolio", "symbol", "mv"), b.prices)
+
+
+@query(sql(*TO_MARKED, LAST, HELD_SERIES, "select portfolio, date, round(value, 2) as value from series"))
+def r11_holdings_series(spark, d):
+    return r(_held_series(spark, d), 2)
+
+
+@query(sql(*TO_MARKED, LAST, HELD_SERIES, """w as (select *, count(*) over (partition by portfolio) as n from sret where date between date '1996-01-01' and date '1998-12-31' and r is not null)
+select portfolio, max(n) as n, round(stddev_samp(r) * sqrt(252), 6) as volatility, round(-quantile_cont(r, 0.05), 6) as var_hist from w where n >= 3 group by 1"""))
+def r12_r13_risk_report(spark, d):
+    s = st.changes(_held_series(spark, d), ["portfolio"], "value").where("date between '1996-01-01' and '1998-12-31' and r is not null")
+    s = s.withColumn("n", F.count("*").over(Window.partitionBy("portfolio"))).where("n >= 3")
+    return r(rk.summary(s, ["portfolio", "n"]).select("portfolio", "n", "volatility", "var_hist"))
+
+
+@query(sql(*TO_MARKED, LAST, SECTORS, """x as (select l.portfolio, l.symbol, s.sector, s.industry, l.mv from last_day l join sectors s using (symbol)),
+g as (select portfolio, 'symbol' as dimension, symbol as name, sum(mv) as mv from x group by 1, 3 union all select portfolio, 'sector', sector, sum(mv) from x group by 1, 3 union all select portfolio, 'industry', industry, sum(mv) from x group by 1, 3)
+select portfolio, dimension, name, round(mv, 2) as mv, round(mv / sum(mv) over (partition by portfolio, dimension), 6) as weight from g"""))
+def a1_breakdowns(spark, d):
+    b = Book(spark, d)
+    return al.breakdown(b.last_day.join(b.sectors, "symbol"), ["symbol", "sector", "industry"]).select("portfolio", "dimension", "name", F.round("mv", 2).alias("mv"), F.round("weight", 6).alias("weight"))
+
+
+@query(sql(*TO_NAV, "select portfolio, round(mv / (mv + cash), 6) as holdings_pct, round(cash / (mv + cash), 6) as cash_pct from nav where date = (select day from as_of)"))
+def a2_cash_split(spark, d):
+    b = Book(spark, d)
+    return r(al.cash_split(b.nav.where(F.col("date") == b.as_of)))
+
+
+A6 = """w as (select portfolio, symbol, mv / sum(mv) over (partition by portfolio) as weight from last_day where qty > 1e-9),
+n as (select *, row_number() over (partition by portfolio order by weight desc, symbol) as n from w)
+select portfolio, round(max(weight), 6) as largest, round(sum(weight) filter (n <= 5), 6) as top_n, round(sum(weight * weight), 6) as hhi from n group by 1"""
+
+
+@query(sql(*TO_MARKED, LAST, A6))
+def a3_a5_concentration(spark, d):
+    h = Book(spark, d).last_day.where("qty > 1e-9")
+    w = h.select("portfolio", F.col("symbol").alias("name"), st.ratio(F.col("mv"), F.sum("mv").over(Window.partitionBy("portfolio"))).alias("weight"))
+    return r(al.concentration(w))
+
+
+@query(sql(*TO_MARKED, LAST, "select portfolio, symbol, round(qty, 2) as qty, round(mv, 2) as mv, round(mv / sum(mv) over (partition by portfolio), 6) as weight from last_day where qty > 1e-9"))
+def a6_allocation_report(spark, d):
+    h = Book(spark, d).last_day.where("qty > 1e-9")
+    return h.select("portfolio", "symbol", F.round("qty", 2).alias("qty"), F.round("mv", 2).alias("mv"), F.round(st.ratio(F.col("mv"), F.sum("mv").over(Window.partitionBy("portfolio"))), 6).alias("weight"))
+
+
+@query(sql(*TO_MARKED, LAST, "select portfolio, round(sum(mv), 2) as mv, round(sum(cost), 2) as invested, count(*) filter (qty > 1e-9) as n_held from last_day group by 1"))
+def a7_overview(spark, d):
+    return r(Book(spark, d).last_day.groupBy("portfolio").agg(F.sum("mv").alias("mv"), F.sum("cost").alias("invested"), F.count_if(F.col("qty") > 1e-9).alias("n_held")), 2)
+
+
+@query(sql(PRICES, PRET, INDEX, BENCH, "select symbol, date, round(r - b, 8) as excess from pret join bench using (date) where r is not null and b is not null"))
+def b1_excess_return(spark, d):
+    return r(al.excess(_price_returns(spark, d), _bench(spark, d)).select("symbol", "date", "excess"), 8)
+
+
+@query(sql(PRICES, PRET, INDEX, BENCH, """x as (select symbol, r, b, r - b as e from pret join bench using (date) where r is not null and b is not null and date < date '1995-12-31')
+select symbol, round(product(1 + r) - 1, 4) as cum_portfolio, round(product(1 + b) - 1, 4) as cum_benchmark, round(product(1 + r) - product(1 + b), 4) as cum_excess, round(stddev_samp(e) * sqrt(252), 6) as tracking_error, round(avg(e) * 252 / (stddev_samp(e) * sqrt(252)), 6) as information_ratio,
+  round(covar_samp(r, b) / var_samp(b), 6) as beta, round((avg(r) - covar_samp(r, b) / var_samp(b) * avg(b)) * 252, 6) as alpha, round(corr(r, b), 6) as corr from x group by 1"""))
+def b2_b4_comparison(spark, d):
+    c = al.compare(_price_returns(spark, d).where("date < '1995-12-31'"), _bench(spark, d), ["symbol"])
+    return r(c.withColumns({k: F.round(k, 4) for k in ("cum_portfolio", "cum_benchmark", "cum_excess")}))
+
+
+ATTR = """sw as (select portfolio, symbol, mv / sum(mv) over (partition by portfolio) as weight from marked where date = date '1998-01-01'),
+pr as (select a.symbol, b.close / a.close - 1 as ret from (select symbol, last(close order by date) as close from prices where date <= date '1998-01-01' group by 1) a join (select symbol, last(close order by date) as close from prices where date <= date '1998-06-30' group by 1) b using (symbol)),
+ct as (select s.portfolio, s.symbol, s.weight, p.ret, s.weight * p.ret as contribution from sw s join pr p using (symbol))"""
+
+
+def _contributions(spark, d):
+    b = Book(spark, d)
+    w = b.marked.where("date = '1998-01-01'").select("portfolio", "symbol", st.ratio(F.col("mv"), F.sum("mv").over(Window.partitionBy("portfolio"))).alias("weight"))
+    at = lambda day, name: b.prices.where(f"date <= '{day}'").groupBy("symbol").agg(F.max_by("close", "date").alias(name))
+    ret = at("1998-01-01", "a").join(at("1998-06-30", "b"), "symbol").select("symbol", (F.col("b") / F.col("a") - 1).alias("ret"))
+    return al.contributions(w, ret), b
+
+
+@query(sql(*TO_MARKED, ATTR, "select portfolio, symbol, round(weight, 6) as weight, round(ret, 6) as ret, round(contribution, 6) as contribution from ct"))
+def t1_asset_contribution(spark, d):
+    return r(_contributions(spark, d)[0].select("portfolio", "symbol", "weight", "ret", "contribution"))
+
+
+@query(sql(*TO_MARKED, ATTR, SECTORS, "select portfolio, sector, round(sum(contribution), 6) as contribution from ct join sectors using (symbol) group by 1, 2"))
+def t2_sector_contribution(spark, d):
+    c, b = _contributions(spark, d)
+    return r(c.join(b.sectors, "symbol").groupBy("portfolio", "sector").agg(F.sum("contribution").alias("contribution")))
+
+
+@query(sql(*TO_MARKED, ATTR, "select portfolio, round(sum(contribution), 6) as total, true as reconciles from ct group by 1"))
+def t3_total_contribution(spark, d):
+    c, _ = _contributions(spark, d)
+    end = F.sum(F.col("weight") * (1 + F.col("ret"))) / F.sum("weight") - 1
+    return r(c.groupBy("portfolio").agg(F.sum("contribution").alias("total"), (F.abs(F.sum("contribution") - end) < 1e-9).alias("reconciles")))
+
+
+FEW = "few as (select portfolio, date from ledger where symbol in ('Brand#11', 'Brand#12') group by 1, 2)"
+
+
+@query(sql(*TO_LEDGER, FEW, """g as (select portfolio, date, lead(date) over (partition by portfolio order by date) as nxt from few),
+x as (select portfolio, first(date order by nxt - date desc, date) as start, first(nxt order by nxt - date desc, date) - 1 as "end" from g where nxt is not null group by 1) select portfolio, start, "end" from x where start < "end\""""))
+def t4_quiet_window(spark, d):
+    return al.quiet_window(Book(spark, d).ledger.where("symbol in ('Brand#11', 'Brand#12')"))
+
+
+@query(sql(*TO_LEDGER, FEW, "select portfolio, count(*) as n, min(date) as first, max(date) as last from few where date > date '1997-01-01' and date < date '1997-03-01' group by 1"))
+def t5_trades_in_window(spark, d):
+    t = al.trades_inside(Book(spark, d).ledger.where("symbol in ('Brand#11', 'Brand#12')"), "1997-01-01", "1997-03-01")
+    return t.select("portfolio", F.size("dates").cast("long").alias("n"), F.array_min("dates").alias("first"), F.array_max("dates").alias("last"))
+
+
+# ---- scenario summaries and forecasts: a symbol's monthly values are its paths by year
+
+PATHS = """paths as materialized (select symbol, cast(year(date) as bigint) as path_id, cast(month(date) as integer) as step, avg(close) as value from prices group by 1, 2, 3)"""
+
+
+def _paths(spark, d):
+    return ad.prices(spark, d).groupBy("symbol", F.year("date").cast("long").alias("path_id"), F.month("date").alias("step")).agg(F.avg("close").alias("value"))
+
+
+@query(sql(PRICES, PRET, """g as (select symbol, stddev_samp(r) * sqrt(252) as sigma, pow(last(close order by date) / first(close order by date), 365.25 / date_diff('day', min(date), max(date))) - 1 as cagr from pret group by 1)
+select symbol, round(sigma, 6) as sigma, round(cagr, 6) as cagr, round(ln(1 + cagr) + sigma * sigma / 2, 5) as mu from g"""))
+def g1_calibration(spark, d):
+    p = _price_returns(spark, d)
+    v = p.groupBy("symbol").agg(st.annual_vol("r").alias("sigma")).join(pf.growth(p, ["symbol"], "close"), "symbol")
+    return v.select("symbol", F.round("sigma", 6).alias("sigma"), F.round("cagr", 6).alias("cagr"), F.round(F.log1p("cagr") + F.col("sigma") * F.col("sigma") / 2, 5).alias("mu"))
+
+
+@query(sql(PRICES, """c as (select symbol, date, close from prices where symbol in ('Brand#11', 'Brand#12', 'Brand#13') and date between date '1996-01-01' and date '1998-12-31'),
+k as (select *, count(*) over (partition by date) as n from c), q as (select symbol, date, close / lag(close) over (partition by symbol order by date) - 1 as r from k where n = 3)
+select a.symbol as a, b.symbol as b, round(corr(a.r, b.r), 6) as corr, count(*) as n from q a join q b on a.date = b.date and a.symbol <= b.symbol where a.r is not null and b.r is not null group by 1, 2"""))
+def g2_asset_calibration(spark, d):
+    c = ad.prices(spark, d).where("symbol in ('Brand#11', 'Brand#12', 'Brand#13') and date between '1996-01-01' and '1998-12-31'")
+    c = c.withColumn("n", F.count("*").over(Window.partitionBy("date"))).where("n = 3")
+    return r(rk.correlations(st.changes(c, ["symbol"], "close"), [], "symbol"))
+
+
+@query(sql(PRICES, PATHS, """t as (select symbol, path_id, last(value order by step) as v, first(value order by step) as s0 from paths group by 1, 2),
+x as (select *, v / s0 - 1 as ret, quantile_cont(v / s0 - 1, 0.05) over (partition by symbol) as q from t)
+select symbol, round(quantile_cont(v, 0.05), 4) as p5, round(quantile_cont(v, 0.25), 4) as p25, round(quantile_cont(v, 0.5), 4) as p50, round(quantile_cont(v, 0.75), 4) as p75, round(quantile_cont(v, 0.95), 4) as p95,
+  round(avg((v < s0)::int), 6) as p_loss, round(avg((v > s0 * 1.1)::int), 6) as p_gain_10, round(-max(q), 4) as var, round(-avg(ret) filter (ret <= q), 4) as shortfall from x group by 1"""))
+def g3_g5_path_summary(spark, d):
+    s = fc.path_summary(_paths(spark, d), ["symbol"])
+    return s.select(*[F.round(c, 6 if c.startswith("p_") else 4).alias(c) if t == "double" else F.col(c) for c, t in s.dtypes])
+
+
+@query(sql(PRICES, PATHS, """dd as (select symbol, path_id, (value - max(value) over w) / max(value) over w as d from paths window w as (partition by symbol, path_id order by step)), e as (select symbol, path_id, min(d) as d from dd group by 1, 2)
+select symbol, round(avg(d), 6) as mean_dd, round(quantile_cont(d, 0.5), 6) as median_dd, round(quantile_cont(d, 0.05), 6) as p5_dd, round(min(d), 6) as worst_dd from e group by 1"""))
+def g6_path_drawdowns(spark, d):
+    return r(fc.path_drawdowns(_paths(spark, d), ["symbol"]))
+
+
+DIFFS = "df as materialized (select symbol, date, close, close - lag(close) over (partition by symbol order by date) as d, row_number() over (partition by symbol order by date) - 1 as i, count(*) over (partition by symbol) as n from prices)"
+
+
+@query(sql(PRICES, DIFFS, """g as (select symbol, last(close order by date) as last, avg(d) as drift, stddev_pop(d) as sigma from df group by 1), h as (select *, unnest(range(1, 31))::int as h from g)
+select symbol, h, round(last + h * drift, 3) as point, round(last + h * drift - 1.2815515655446008 * sigma * sqrt(h), 3) as low_80, round(last + h * drift + 1.2815515655446008 * sigma * sqrt(h), 3) as high_80,
+  round(last + h * drift - 1.959963984540054 * sigma * sqrt(h), 3) as low_95, round(last + h * drift + 1.959963984540054 * sigma * sqrt(h), 3) as high_95 from h"""))
+def f1_drift_forecast(spark, d):
+    return r(fc.drift_forecast(ad.prices(spark, d), ["symbol"], 30, "close"), 3)
+
+
+BACK = """bt as (select symbol, date, i, n, close, avg(d) over w as drift, stddev_pop(d) over w as sigma, lead(close, 21) over (partition by symbol order by date) as actual from df window w as (partition by symbol order by date)),
+og as (select *, close + 21 * drift as point from bt where n >= 122 and i in (select cast(floor(100 + (bt.n - 22 - 100) * k / 4.0) as bigint) from range(0, 5) t(k)))"""
+
+
+@query(sql(PRICES, DIFFS, BACK, "select symbol, date, i, round(point, 3) as point, round(actual, 3) as actual, abs(actual - point) <= 1.2815515655446008 * sigma * sqrt(21) as in_80, abs(actual - point) <= 1.959963984540054 * sigma * sqrt(21) as in_95 from og"))
+def f2_backtest(spark, d):
+    return r(fc.backtest(ad.prices(spark, d), ["symbol"], 21, value="close"), 3)
+
+
+@query(sql(PRICES, DIFFS, BACK, "select symbol, count(*) as n_origins, round(avg(abs(actual - point)), 3) as mae, round(sqrt(avg(pow(actual - point, 2))), 3) as rmse, avg((abs(actual - point) <= 1.2815515655446008 * sigma * sqrt(21))::int) as coverage_80, avg((abs(actual - point) <= 1.959963984540054 * sigma * sqrt(21))::int) as coverage_95 from og group by 1"))
+def f2_backtest_summary(spark, d):
+    return r(fc.backtest_summary(fc.backtest(ad.prices(spark, d), ["symbol"], 21, value="close"), ["symbol"]), 3)
+
+
+@query(sql(PRICES, "l as (select symbol, count(*) as n from prices group by 1 union all select 'short', 40 union all select 'mid', 400)", "select symbol, n, least(252, greatest(30, cast(floor((n - 253) / 2.0) as bigint))) as min_train, case when n - 253 < 30 then 0 else least(5, n - 253 - least(252, greatest(30, cast(floor((n - 253) / 2.0) as bigint))) + 1) end as n_origins from l"))
+def f3_adaptive_plan(spark, d):
+    lengths = ad.prices(spark, d).groupBy("symbol").agg(F.count("*").alias("n")).union(spark.sql("select * from values ('short', 40L), ('mid', 400L)"))
+    return fc.adaptive_plan(lengths, 252)
+
+
+@query(sql(PRICES, PATHS, DIFFS, """g as (select symbol, last(close order by date) + 252 * avg(d) as point from df group by 1), t as (select symbol, path_id, last(value order by step) as v from paths group by 1, 2),
+b as (select symbol, quantile_cont(v, 0.05) as p5, quantile_cont(v, 0.25) as p25, quantile_cont(v, 0.75) as p75, quantile_cont(v, 0.95) as p95 from t group by 1)
+select symbol, case when point between p25 and p75 then 'agree' when point < p5 or point > p95 then 'disagree' else 'moderate' end as verdict from g join b using (symbol)"""))
+def f4_method_comparison(spark, d):
+    point = fc.drift_forecast(ad.prices(spark, d), ["symbol"], 252, "close").where("h = 252").select("symbol", "point")
+    return fc.agreement(fc.path_summary(_paths(spark, d), ["symbol"]).join(point, "symbol")).select("symbol", "verdict")
+
+
+@query()
+def f5_custom_forecaster(spark, d):
+    def mean_of_last(pdf):
+        pdf = pdf.sort_values("date").tail(20)
+        return pdf.groupby("symbol", as_index=False)["close"].mean().rename(columns={"close": "point"})
+
+    return fc.forecast_with(ad.prices(spark, d).select("symbol", "date", "close"), ["symbol"], mean_of_last, "symbol string, point double")
+
+
+# ---- volatility regimes
+
+
+def _full(expr: str, n: int, what: str = "r") -> str:
+    return f"case when count({what}) over w{n} = {n} then {expr} end"
+
+
+FEATS = PRET.replace("select symbol, date, close,", "select symbol, date, close, volume,") + f""",
+feats as materialized (select symbol, date, close, volume, r as ret_1, close / lag(close, 5) over w - 1 as ret_5, close / lag(close, 21) over w - 1 as ret_21,
+  {_full("stddev_samp(r) over w10", 10)} * sqrt(252) as vol_10, {_full("stddev_samp(r) over w21", 21)} * sqrt(252) as vol_21, {_full("stddev_samp(r) over w63", 63)} * sqrt(252) as vol_63,
+  close / lag(close, 10) over w - 1 as mom_10, close / lag(close, 21) over w - 1 as mom_21, {_full("avg(close) over w20", 20, "close")} as ma_20, {_full("avg(close) over w50", 50, "close")} as ma_50,
+  close / {_full("avg(close) over w20", 20, "close")} as price_ma_20, close / {_full("avg(close) over w50", 50, "close")} as price_ma_50,
+  {_full("(volume - avg(volume) over w21) / nullif(stddev_samp(volume) over w21, 0)", 21, "volume")} as volume_z_21, {_full("(close - max(close) over w60) / max(close) over w60", 60, "close")} as drawdown_60,
+  case when count(r) over f21 = 21 then stddev_samp(r) over f21 end * sqrt(252) as vol_forward
+  from pret window w as (partition by symbol order by date), w10 as (partition by symbol order by date rows 9 preceding), w20 as (partition by symbol order by date rows 19 preceding), w21 as (partition by symbol order by date rows 20 preceding),
+    w50 as (partition by symbol order by date rows 49 preceding), w60 as (partition by symbol order by date rows 59 preceding), w63 as (partition by symbol order by date rows 62 preceding), f21 as (partition by symbol order by date rows between 1 following and 21 following))"""
+RANKS = "ranks as materialized (select date, row_number() over (order by date) - 1 as rank, count(*) over () as n from (select distinct date from prices))"
+LABELS = RANKS + """,
+th as (select symbol, quantile_cont(vol_21, 0.75) as threshold from feats where date <= (select date from ranks where rank = floor(n * 0.7) - 1) group by 1),
+lab as materialized (select f.*, threshold, cast(case when vol_forward is not null then vol_forward > threshold end as int) as label, cast(case when vol_21 is not null then vol_21 > threshold end as int) as baseline from feats f join th using (symbol))"""
+SPLIT = "sp as (select date, case when rank < floor(n * 0.7) then 'train' when rank < floor(n * 0.7) + floor(n * 0.15) then 'val' else 'test' end as split from ranks)"
+
+
+@query(sql(PRICES, FEATS, "select symbol, date, " + ", ".join(f"round({c}, 5) as {c}" for c in rg.FEATURES) + " from feats"))
+def l1_l7_features(spark, d):
+    f = rg.features(ad.prices(spark, d))
+    return f.select("symbol", "date", *[F.round(c, 5).alias(c) for c in rg.FEATURES])
+
+
+@query(sql(PRICES, FEATS, "select symbol, date, round(vol_forward, 5) as vol_forward from feats"))
+def l8_forward_volatility(spark, d):
+    return r(rg.forward_vol(rg.features(ad.prices(spark, d))).select("symbol", "date", "vol_forward"), 5)
+
+
+@query(sql(PRICES, RANKS, "select date as cutoff from ranks where rank = floor(n * 0.7) - 1"))
+def l9_cutoff_date(spark, d):
+    return rg.cutoff_date(ad.prices(spark, d))
+
+
+@query(sql(PRICES, FEATS, LABELS, "select symbol, date, round(threshold, 5) as threshold, label, baseline from lab"))
+def l10_l15_labels(spark, d):
+    return r(rg.labelled(ad.prices(spark, d)).select("symbol", "date", "threshold", "label", "baseline"), 5)
+
+
+@query(sql(PRICES, FEATS, LABELS, "select symbol, count(*) as n, sum(label) as n_high from lab where label is not null and " + " and ".join(f"{c} is not null" for c in rg.FEATURES) + " group by 1"))
+def l12_dataset(spark, d):
+    return rg.dataset(ad.prices(spark, d)).groupBy("symbol").agg(F.count("*").alias("n"), F.sum("label").alias("n_high"))
+
+
+@query(sql(PRICES, RANKS, SPLIT, "select date, split from sp"))
+def l13_split(spark, d):
+    return rg.splits(ad.prices(spark, d))
+
+
+@query(sql(PRICES, RANKS, "b as (select date, least(cast(floor(rank * 6.0 / n) as bigint), 5) as block from ranks)", "select cast(k as integer) as fold, date, case when block < k then 'train' else 'test' end as part from b, range(1, 6) t(k) where block <= k"))
+def l14_folds(spark, d):
+    return rg.folds(ad.prices(spark, d))
+
+
+@query(sql(PRICES, FEATS, LABELS, SPLIT, "select split, avg(label) as label_rate, count(*) as n, sum(1 - label) / nullif(sum(label), 0)::double as class_weight from lab join sp using (date) where label is not null group by 1"))
+def l16_l21_label_rates(spark, d):
+    x = rg.labelled(ad.prices(spark, d)).where("label is not null").join(F.broadcast(rg.splits(ad.prices(spark, d))), "date")
+    return x.groupBy("split").agg(F.avg("label").alias("label_rate"), F.count("*").alias("n"), st.ratio(F.sum(1 - F.col("label")), F.sum("label")).alias("class_weight"))
+
+
+METRICS = """mt as (select split, sum(label * baseline) as tp, sum(baseline) as pp, sum(label) as pos, count(*) as n from ev group by 1),
+au as (select split, sum((1 - label) * (cp - lp / 2.0)) as wins from (select e.split, e.label, e.vol_21, c.cp, c.lp from ev e join (select split, vol_21, lp, sum(lp) over (partition by split order by vol_21 desc) as cp from (select split, vol_21, sum(label) as lp from ev group by 1, 2)) c on c.split = e.split and c.vol_21 = e.vol_21) group by 1),
+apr as (select split, sum(lp * cp / cc) as ap from (select split, lp, sum(lp) over (partition by split order by vol_21 desc) as cp, sum(c) over (partition by split order by vol_21 desc) as cc from (select split, vol_21, sum(label)::double as lp, count(*)::double as c from ev group by 1, 2)) group by 1)"""
+EV = "ev as materialized (select split, label, baseline, vol_21 from lab join sp using (date) where label is not null and baseline is not null)"
+
+
+@query(sql(PRICES, FEATS, LABELS, SPLIT, EV, METRICS, """select split, round(tp / pp::double, 6) as precision, round(tp / pos::double, 6) as recall, round(2.0 * tp / (pp + pos), 6) as f1, round(wins / (pos * (n - pos)), 6) as roc_auc, round(ap / pos, 6) as pr_auc from mt join au using (split) join apr using (split)"""))
+def l18_baseline_metrics(spark, d):
+    x = rg.labelled(ad.prices(spark, d)).where("label is not null and baseline is not null").join(F.broadcast(rg.splits(ad.prices(spark, d))), "date")
+    return r(rg.binary_metrics(x, ["split"], predicted="baseline", score="vol_21"))
+
+
+@query(sql(PRICES, FEATS, LABELS, SPLIT, EV, "m as (select split, 2.0 * sum(label * baseline) / (sum(baseline) + sum(label)) as f1, 2.0 * sum(label) / (count(*) + sum(label)) as f1_always from ev group by 1)", "select split, round(f1 - f1_always, 6) as delta_f1, f1 - f1_always > 0 as better from m"))
+def l19_baseline_comparison(spark, d):
+    x = rg.labelled(ad.prices(spark, d)).where("label is not null and baseline is not null").join(F.broadcast(rg.splits(ad.prices(spark, d))), "date").withColumn("always", F.lit(1))
+    a, b = rg.binary_metrics(x, ["split"], predicted="baseline"), rg.binary_metrics(x, ["split"], predicted="always")
+    j = a.join(b.select("split", F.col("f1").alias("g1")), "split")
+    return j.select("split", F.round(F.col("f1") - F.col("g1"), 6).alias("delta_f1"), (F.col("f1") > F.col("g1")).alias("better"))
+
+
+@query()
+def l17_boosted_trees(spark, d):
+    x = rg.dataset(ad.prices(spark, d)).join(F.broadcast(rg.splits(ad.prices(spark, d))), "date")
+    made, model = rg.train_trees(x.where("split = 'train'"), max_iter=5)
+    out = model.transform(made.transform(x.where("split <> 'train'"))).withColumn("predicted", F.col("prediction").cast("int"))
+    from pyspark.ml.functions import vector_to_array
+
+    return r(rg.binary_metrics(out.withColumn("score", vector_to_array("probability")[1]), ["split"], score="score"))
+
+
+@query()
+def l20_walk_forward(spark, d):
+    """Two expanding folds, each fitted on the cluster; folds with one class are skipped."""
+    x = rg.dataset(ad.prices(spark, d)).join(F.broadcast(rg.folds(ad.prices(spark, d), 2)), "date")
+    out = None
+    for k in (1, 2):
+        f = x.where(F.col("fold") == k)
+        if f.where("part = 'train'").select("label").distinct().count() < 2:
+            continue
+        made, model = rg.train_trees(f.where("part = 'train'"), max_iter=3)
+        one = model.transform(made.transform(f.where("part = 'test'"))).withColumn("predicted", F.col("prediction").cast("int"))
+        m = rg.binary_metrics(one, ["fold"])
+        out = m if out is None else out.union(m)
+    return r(out)
+
+
+@query()
+def l22_feature_importances(spark, d):
+    x = rg.dataset(ad.prices(spark, d))
+    _, model = rg.train_trees(x, max_iter=3)
+    return spark.createDataFrame([(n, float(v)) for n, v in zip(rg.FEATURES, model.featureImportances.toArray(), strict=True)], "feature string, importance double").orderBy(F.desc("importance"))
+
+
+@query(sql(PRICES, "select symbol, date from prices where false"))
+def l23_leakage_probe(spark, d):
+    return rg.leakage(ad.prices(spark, d), "1998-06-30")
+
+
+@query(sql(PRICES, """select cast(sum(cast(('0x' || substr(md5(concat_ws('|', symbol, strftime(date, '%Y-%m-%d'), cast(cast(round(close, 9) as decimal(20,9)) as varchar), cast(volume as varchar))), 1, 12)) as hugeint)) as varchar) as version,
+  count(*) as n_rows, count(distinct symbol) as n_symbols, min(date) as first, max(date) as last from prices"""))
+def l24_dataset_version(spark, d):
+    return rg.dataset_version(ad.prices(spark, d))
+
+
+RUN_METRICS = "metrics as (select c_mktsegment as model, c_nationkey as version, avg(c_acctbal) / 10000 as delta_f1 from customer group by 1, 2)"
+
+
+def _run_metrics(spark, d):
+    return table(spark, d, "customer").groupBy(F.col("c_mktsegment").alias("model"), F.col("c_nationkey").alias("version")).agg((F.avg("c_acctbal") / 10000).alias("delta_f1"))
+
+
+@query(sql(RUN_METRICS, "select model, max(version) as latest, max(version) filter (delta_f1 >= 0.45) as production, count(*) filter (delta_f1 < 0.45) as rejected from metrics group by 1"))
+def l25_promotion_gate(spark, d):
+    ok = F.col("delta_f1") >= 0.45
+    return _run_metrics(spark, d).groupBy("model").agg(F.max("version").alias("latest"), F.max(F.when(ok, F.col("version"))).alias("production"), F.count_if(~ok).alias("rejected"))
+
+
+@query("""with kv as (select 'wf_fold' || (s_nationkey % 5) || '_' || case s_suppkey % 2 when 0 then 'f1' else 'auc' end as k, max(s_acctbal) as v from supplier group by 1)
+select cast(regexp_extract(k, 'fold([0-9]+)_', 1) as integer) as fold, max(v) filter (k like '%_f1') as f1, max(v) filter (k like '%_auc') as auc from kv group by 1""")
+def l26_fold_metrics(spark, d):
+    s = table(spark, d, "supplier")
+    k = F.concat(F.lit("wf_fold"), (F.col("s_nationkey") % 5).cast("string"), F.lit("_"), F.when(F.col("s_suppkey") % 2 == 0, "f1").otherwise("auc"))
+    kv = s.groupBy(k.alias("k")).agg(F.max("s_acctbal").alias("v"))
+    parts = kv.select(F.regexp_extract("k", r"fold(\d+)_", 1).cast("int").alias("fold"), F.regexp_extract("k", r"fold\d+_(\w+)", 1).alias("name"), "v")
+    return parts.groupBy("fold").pivot("name", ["f1", "auc"]).agg(F.max("v"))
+
+
+@query(sql(RUN_METRICS, "select model, coalesce(max(version) filter (delta_f1 >= 0.45), max(version)) as version from metrics group by 1"))
+def l27_model_status(spark, d):
+    ok = F.when(F.col("delta_f1") >= 0.45, F.col("version"))
+    return _run_metrics(spark, d).groupBy("model").agg(F.coalesce(F.max(ok), F.max("version")).alias("version"))
