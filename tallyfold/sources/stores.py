@@ -15,7 +15,7 @@ def read_ledger_csv(spark: SparkSession, path: str, portfolio: str) -> DataFrame
     if missing := [c for c in COLUMNS if c not in header]:
         raise ValueError(f"missing columns: {', '.join(missing)}")
     schema = ", ".join(f"`{c}` string" for c in header)
-    df = spark.read.option("header", True).option("emptyValue", "").option("nullValue", "\0").schema(schema).csv(path)
+    df = spark.read.option("header", True).schema(schema).csv(path).na.fill("", COLUMNS)
     return df.select(F.lit(portfolio).alias("portfolio"), F.monotonically_increasing_id().alias("row_idx"), *COLUMNS)
 
 
