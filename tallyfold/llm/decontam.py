@@ -12,9 +12,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyfold.llm.common import staged
+
 WINDOW = 8
 SHORTEST = 5  # tokens of an item that is searched for
 BROADCAST_WINDOWS = 400_000  # of about 40 bytes; a larger benchmark is joined by a shuffle
+BROADCAST_LINES = 20_000  # of at most an item's length; more alignments with placeholders are joined by a shuffle
 
 # Units recognised after a number.
 UNITS = "km|cm|mm|m|kg|mg|g|lb|lbs|oz|l|ml|mph|km/h|s|ms|min|h|hours?|minutes?|seconds?|days?|weeks?|months?|years?|miles?|metres?|meters?|feet|ft|inches|inch|litres?|liters?|grams?|dollars?|euros?|pounds?|cents?|percent|usd|eur|gbp|degrees?"
@@ -87,14 +90,13 @@ def contaminated(
     are not searched for; items shorter than a window are matched as a whole. Null or empty texts match
     nothing; rows with null ids take no part; repeated rows count once. Other columns are ignored.
     """
-    bench = benchmark_windows(benchmark, item_col, item_text_col, window, shortest)
+    bench = staged(benchmark_windows(benchmark, item_col, item_text_col, window, shortest), "bench")
     widths = [r[0] for r in bench.groupBy("width").count().collect()]
     if not widths:
         widths = [window]
     small = bench.count() <= BROADCAST_WINDOWS
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    texts = with_tokens(texts, F.col("text")).drop("text")
-    hashed = texts.select("doc_id", _template_hashes(F.col("toks")).alias("hs"))
+    hashed = with_tokens(texts, F.col("text")).select("doc_id", _template_hashes(F.col("toks")).alias("hs"))
     all_windows = F.array(*[F.struct(F.lit(w).alias("w"), _windows(F.col("hs"), w).alias("hs")) for w in sorted(widths)])
     if len(widths) == 1:
         spots = hashed.select("doc_id", F.posexplode(_windows(F.col("hs"), widths[0])).alias("pos", "h"))
@@ -105,9 +107,14 @@ def contaminated(
     line = hits.groupBy("doc_id", "item_id", "n_tokens", (F.col("pos") - F.col("bpos")).alias("shift")).agg(
         F.collect_set(F.struct("bpos", "width")).alias("at"), F.array_distinct(F.flatten(F.collect_set(F.transform("slots", lambda s: F.struct((F.col("bpos") + s["k"]).alias("k"), s["value"].alias("value")))))).alias("slots")
     )
+    line = staged(line, "alignments")
     plain = line.where("size(slots) = 0").select("doc_id", "item_id", "n_tokens", "at", F.lit(0).alias("n_slots"), F.lit(0).alias("n_changed"))
     slotted = line.where("size(slots) > 0").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "n_tokens", "shift", "at", "slots")).alias("lines"))
-    read = texts.join(slotted, "doc_id").select("doc_id", "toks", F.explode("lines").alias("l"))
+    slotted = staged(slotted, "slotted")
+    few = slotted.agg(F.coalesce(F.sum(F.size("lines")), F.lit(0))).first()[0] <= BROADCAST_LINES
+    # Only documents that met a placeholder are cut into tokens again.
+    read = texts.join(F.broadcast(slotted) if few else slotted, "doc_id")
+    read = with_tokens(read, F.col("text")).select("doc_id", "toks", F.explode("lines").alias("l"))
     pairs = F.array_distinct(F.transform("l.slots", lambda s: F.struct(s["value"].alias("b"), F.coalesce(F.get("toks", F.col("l.shift") + s["k"]), F.lit("")).alias("d"))))
     read = read.select("doc_id", "l.item_id", "l.n_tokens", "l.at", pairs.alias("met"))
     consistent = (F.size(F.array_distinct(F.transform("met", lambda p: p["b"]))) == F.size("met")) & (F.size(F.array_distinct(F.transform("met", lambda p: p["d"]))) == F.size("met"))
