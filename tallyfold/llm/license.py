@@ -60,8 +60,10 @@ class Index:
         self.weight = [sum(self.idf[w] for w in t) for t in self.texts]
         self.base = [(p.encode().split(), label) for p, label in BASE_PHRASES.items()]
         self.starts = {p[0] for p, _ in self.base}
-        self.anchors = [max(t, key=lambda w: self.idf[w]) for t in self.texts]
-        self.rare = set(self.anchors)
+        self.vocabulary = set(self.postings)
+        self.needed = [{w for p in ps for w in p} for ps in self.phrases]
+        # The rarest word that must be there fixes where a template may stand.
+        self.anchors = [max(sorted(need), key=lambda w: self.idf.get(w, 0)) for need in self.needed]
 
     def scan(self, found: list[bytes]) -> tuple[list[int], set[str], float]:
         """Starts of the base phrases, all labels, and the best share of a template's weight."""
@@ -73,16 +75,12 @@ class Index:
                         places.append(i)
                         labels.add(label)
                         best = max(best, 0.5)
-        if self.rare.isdisjoint(found):
-            return places, labels, best
-        tried = set()
-        for i in [i for i, w in enumerate(found) if w in self.rare]:  # rarest words first decide where a template may stand
-            for k, at in self.postings[found[i]]:
-                start = i - at
-                if self.anchors[k] != found[i] or (k, start) in tried:
-                    continue
-                tried.add((k, start))
-                text = self.texts[k]
+        present = self.vocabulary.intersection(found)
+        for k, text in enumerate(self.texts):
+            if not self.needed[k] <= present:
+                continue
+            places_in_text = [at for t, at in self.postings[self.anchors[k]] if t == k]
+            for start in {i - at for i, w in enumerate(found) if w == self.anchors[k] for at in places_in_text}:
                 met = sum(self.idf[w] for j, w in enumerate(text) if 0 <= start + j < len(found) and found[start + j] == w)
                 share = met / self.weight[k]
                 if share < 0.4:
@@ -116,8 +114,8 @@ def scan(docs: DataFrame, templates: dict | None = None, id_col: str = "doc_id",
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for every row of `docs`.
 
     Words are runs of digits, letters and non-ASCII bytes, A-Z lower-cased. Base phrases are found at
-    every place where their words stand in a row. A template is found by its word of highest IDF in the
-    corpus: each place of that word fixes where the template would start, its other words are met by
+    every place where their words stand in a row. A template is looked up by its mandatory word of highest IDF in
+    the corpus: each place of that word fixes where the template would start, its other words are met by
     relative position, and it counts if they hold 40 % of its IDF weight and all its mandatory phrases
     stand there. score: the largest such share; 0.5 for base phrases alone; 0 without a label. Null texts
     count as empty; repeated rows and null ids come back as they are; other columns are ignored.

@@ -285,5 +285,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = classes.join(links.select(F.col("node").alias("rep"), "root"), "rep", "left")
     roots = roots.select("fp1", "fp2", F.col("rep").alias("class_id"), F.coalesce("root", "rep").alias("root"))
     out = signed.select("doc_id", "n_shingles", "fp1", "fp2").join(roots, ["fp1", "fp2"], "left")
-    component = F.coalesce("root", "doc_id")
-    return out.select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    named = lambda c: F.when(F.col("doc_id").isNotNull(), F.coalesce(c, "doc_id"))
+    component = named("root")
+    return out.select("doc_id", "n_shingles", named("class_id").alias("class_id"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
