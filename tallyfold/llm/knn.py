@@ -1,7 +1,7 @@
 """Exact top-k by inner product: a Voronoi kNN join.
 
-Adding one component, sqrt(M - |v|^2) with M the largest squared norm, turns the largest inner product
-into the smallest Euclidean distance. Queries and data are grouped by their nearest pivot. Summaries of
+A further component, sqrt(M - |v|^2) for data and 0 for queries, with M the largest squared norm, turns the
+largest inner product into the smallest Euclidean distance. Queries and data are grouped by their nearest pivot. Summaries of
 the groups (radii, and each cell's k + 1 distances nearest to its pivot) bound how far a query group's k-th
 neighbour can be; a vector goes only to groups that it can be that near to. Pairs of query blocks and data
 chunks are solved locally, and their best k are merged.
@@ -62,12 +62,15 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     def cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             m = lift(_matrix(b.column(2)))
-            d = np.sqrt(np.maximum((m * m).sum(1)[:, None] - 2 * m @ centres.T + (centres * centres).sum(1), 0))
-            best = d.argmin(1)
-            far = np.sqrt(((m - centres[best]) ** 2).sum(1))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(best.astype(np.int32)), pa.array(far)], names=["id", "q", "v", "cell", "far"])
+            asked = np.c_[m[:, :-1], np.zeros(len(m))]
+            out = []
+            for x in (m, asked):
+                d = np.maximum((x * x).sum(1)[:, None] - 2 * x @ centres.T + (centres * centres).sum(1), 0)
+                best = d.argmin(1)
+                out += [pa.array(best.astype(np.int32)), pa.array(np.sqrt(((x - centres[best]) ** 2).sum(1)))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *out], names=["id", "q", "v", "cell", "far", "q_cell", "q_far"])
 
-    celled = staged(rows.mapInArrow(cell, "id long, q boolean, v array<double>, cell int, far double"), "cells")
+    celled = staged(rows.mapInArrow(cell, "id long, q boolean, v array<double>, cell int, far double, q_cell int, q_far double"), "cells")
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[int, np.ndarray] = {}
@@ -81,7 +84,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     # Summaries: of a fixed number of cells, k + 1 distances and one radius each.
     in_cell = Window.partitionBy("cell").orderBy("far")
     near = celled.dropDuplicates(["id"]).select("cell", "far").mapInArrow(nearest, "cell int, far double").withColumn("n", F.row_number().over(in_cell)).where(F.col("n") <= k + 1).select("cell", "far").collect()
-    groups = {r[0]: (r[1], r[2]) for r in celled.where("q").groupBy("cell").agg(F.max("far"), F.count("*")).collect()}
+    groups = {r[0]: (r[1], r[2]) for r in celled.where("q").groupBy("q_cell").agg(F.max("q_far"), F.count("*")).collect()}
     if not groups:
         return spark.createDataFrame([], schema)
     apart = np.sqrt(((centres[:, None] - centres[None]) ** 2).sum(2))
@@ -103,7 +106,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     chunks = max(1, -(-celled.count() // CHUNK))
     blocks = F.create_map(*[F.lit(x) for g in names for x in (int(g), max(1, -(-groups[g][1] // QUERY_BLOCK)))])
     block = F.pmod(F.xxhash64("id"), blocks[F.col("g")])
-    left = celled.where("q").select("id", "v", F.col("cell").alias("g")).withColumn("b", block).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    left = celled.where("q").select("id", "v", F.col("q_cell").alias("g")).withColumn("b", block).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
     right = sent.withColumn("c", F.pmod(F.hash("id"), F.lit(chunks))).withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), blocks[F.col("g")].cast("long") - 1)))
 
     def solve(queries: pd.DataFrame, data: pd.DataFrame) -> pd.DataFrame:

@@ -32,8 +32,8 @@ MAGIC = b"TFB1"
 BLOCK_IDS = 1 << 20
 SHARD_IDS = 1 << 24
 _SPLIT = re.compile(r"(?<=\S)(?= \S)")  # places that no pre-token of a byte-level tokenizer crosses
-_ODD_SPACE = re.compile(r"[^\S \n]|\0")
-_ODD_MARK = re.compile(r"(?<![^\W_])[.,]")
+_ODD_SPACE = re.compile(r"[\0\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
+_ODD_MARK = re.compile(r"[\W_][.,]")
 _ODD_ASCII = "\0\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
 # Lengths of the four ids of a control byte.
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + np.uint8(1)
@@ -65,10 +65,11 @@ class Encoder:
     def _learn(self, pieces: set[str]) -> None:
         """A run of letters, with or without a space before it, is one pre-token: the model takes it as it is."""
         known, tokenize, table = self.known, self.tokenizer.model.tokenize, self.byte_names
-        rest = []
+        rest, space = [], chr(table[32])
         for p in pieces:
             if p.lstrip(" ").isalpha() and p[:2] != "  ":
-                known[p] = array("H", [t.id for t in tokenize(p.encode().decode("latin-1").translate(table))]).tobytes()
+                name = p.replace(" ", space) if p.isascii() else p.encode().decode("latin-1").translate(table)
+                known[p] = array("H", [t.id for t in tokenize(name)]).tobytes()
             else:
                 rest.append(p)
         for p, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
@@ -88,13 +89,13 @@ class Encoder:
                 t = t.replace(" ", "\0 ")
                 if "\n\n" not in t:
                     t = t.replace("\n", "\0\n\0")
-                if not _ODD_MARK.search(t):
+                if t[0] not in ".," and not _ODD_MARK.search(t):
                     t = t.replace(",", "\0,").replace(".", "\0.")
                 cut.append(t.split("\0"))
-        missing = {p for pieces in cut for p in pieces if p not in known}
+        missing = set().union(*cut).difference(known)
         if missing:
             self._learn(missing)
-        return [b"".join([known[p] for p in pieces]) for pieces in cut]
+        return [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
 
 
 def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
