@@ -32,7 +32,7 @@ MAGIC = b"TFB1"
 BLOCK_IDS = 1 << 20
 SHARD_IDS = 1 << 24
 _SPLIT = re.compile(r"(?<=\S)(?= \S)")  # places that no pre-token of a byte-level tokenizer crosses
-_ODD_SPACE = re.compile(r"[\0\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
+_ODD_SPACE = re.compile(r"[\0\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _ODD_MARK = re.compile(r"[\W_][.,]")
 _ODD_ASCII = "\0\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
 # Lengths of the four ids of a control byte.
