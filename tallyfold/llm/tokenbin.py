@@ -18,7 +18,7 @@ import struct
 import sys
 import uuid
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,14 +31,27 @@ from tallyfold.llm.common import shared_dir, staged
 MAGIC = b"TFB1"
 BLOCK_IDS = 1 << 20
 SHARD_IDS = 1 << 24
+MAX_LEARNED = 600_000  # pieces a worker keeps, of about 200 bytes each
 _SPLIT = re.compile(r"(?<=\S)(?= \S)")  # places that no pre-token of a byte-level tokenizer crosses
 _ODD_SPACE = re.compile(r"[\0\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-_ODD_MARK = re.compile(r"[\W_][.,]")
+_ODD_MARK = re.compile(r"[.,](?<=[\W_][.,])")
 _ODD_ASCII = "\0\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
 # Lengths of the four ids of a control byte.
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + np.uint8(1)
 
 
+class Learned(dict):
+    """Pieces and their ids as bytes; a piece is encoded when it is first looked up."""
+
+    def __init__(self, encode: Callable[[str], bytes]):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self[piece] = self.encode(piece)
+        return ids
+
+
 class Encoder:
     """Encodes texts piece by piece and keeps what it has encoded; equal to encoding the whole text.
 
@@ -60,42 +73,47 @@ class Encoder:
         # Byte-level models name the 188 printable bytes by themselves and the others by characters from 256 on.
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.byte_names = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in shown)}
-        self.known: dict[str, bytes] = {}
+        self.space = chr(self.byte_names[32])
+        self.known = Learned(self._encode)
 
-    def _learn(self, pieces: set[str]) -> None:
+    def _encode(self, piece: str) -> bytes:
         """A run of letters, with or without a space before it, is one pre-token: the model takes it as it is."""
-        known, tokenize, table = self.known, self.tokenizer.model.tokenize, self.byte_names
-        rest, space = [], chr(table[32])
-        for p in pieces:
-            if p.lstrip(" ").isalpha() and p[:2] != "  ":
-                name = p.replace(" ", space) if p.isascii() else p.encode().decode("latin-1").translate(table)
-                known[p] = array("H", [t.id for t in tokenize(name)]).tobytes()
-            else:
-                rest.append(p)
-        for p, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            known[p] = array("H", e.ids).tobytes()
+        if piece.isalpha() or (piece[:1] == " " and piece[1:].isalpha()):
+            name = piece.replace(" ", self.space) if piece.isascii() else piece.encode().decode("latin-1").translate(self.byte_names)
+            return array("H", [t.id for t in self.tokenizer.model.tokenize(name)]).tobytes()
+        return array("H", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian uint16 (the vocabulary must be under 65,536)."""
-        if len(self.known) > 1_000_000:
+        if len(self.known) > MAX_LEARNED:
             self.known.clear()
-        known, cut = self.known, []
+        look, out = self.known.__getitem__, []
         for t in texts:
             if not t:
-                cut.append([])
-            elif "  " in t or "\n " in t or " \n" in t or (any(c in t for c in _ODD_ASCII) if t.isascii() else _ODD_SPACE.search(t)):
-                cut.append(_SPLIT.split(t))
+                out.append(b"")
+                continue
+            if "  " in t or "\n " in t or " \n" in t or (any(c in t for c in _ODD_ASCII) if t.isascii() else _ODD_SPACE.search(t)):
+                pieces = _SPLIT.split(t)
             else:
                 t = t.replace(" ", "\0 ")
                 if "\n\n" not in t:
                     t = t.replace("\n", "\0\n\0")
                 if t[0] not in ".," and not _ODD_MARK.search(t):
                     t = t.replace(",", "\0,").replace(".", "\0.")
-                cut.append(t.split("\0"))
-        missing = set().union(*cut).difference(known)
-        if missing:
-            self._learn(missing)
-        return [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
+                pieces = t.split("\0")
+            out.append(b"".join(map(look, pieces)))
+        return out
+
+
+def worker_encoder(path: str) -> Encoder:
+    """The encoder of this Python worker: its tasks share what it has learned, kept beside the library that made it."""
+    import tokenizers
+
+    kept = tokenizers.__dict__.setdefault("_worker_encoders", {})
+    key = (path, os.stat(path).st_mtime_ns)
+    if key not in kept:
+        kept[key] = Encoder(path)
+    return kept[key]
 
 
 def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
@@ -143,7 +161,7 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int = 2, path: str | Non
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(1).compress
-        encoder, end = Encoder(tokenizer_path), np.array([end_id], "<u2").tobytes()
+        encoder, end = worker_encoder(tokenizer_path), np.array([end_id], "<u2").tobytes()
         for b in batches:
             for i in range(0, b.num_rows, 500):
                 part = b.slice(i, 500)
