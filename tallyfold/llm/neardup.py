@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyfold.llm.common import components, staged, to_bytes, whole_groups
@@ -240,6 +240,11 @@ def _links(width: int, percent: int):
     return links
 
 
+def _block_of(rep: str) -> Column:
+    """A member's block of its group: blocks are dealt by hash, so no task sorts or numbers a whole group."""
+    return F.expr(f"pmod(xxhash64({rep}), last_blk + 1)").alias("blk")
+
+
 def _in_block_pairs(rows: DataFrame, key: str) -> DataFrame:
     """One row per pair of blocks that a row belongs to; `g` names the pair. Needs columns blk and last_blk."""
     to = F.explode(F.expr("sequence(0L, last_blk)")).alias("other")
@@ -265,18 +270,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own = real.join(classes.withColumnRenamed("rep", "doc_id"), ["fp1", "fp2", "doc_id"], "left_semi")
     reps = own.dropDuplicates(["fp1", "fp2", "doc_id"]).select(F.col("doc_id").alias("rep"), "n_shingles", "packed", "bands")
     reps = staged(reps, "reps")
-    bucket = Window.partitionBy("bh")
-    members = reps.select("rep", F.explode("bands").alias("bh")).withColumn("n", F.count("*").over(bucket)).where("n > 1")
-    members = members.withColumn("rn", F.when(F.col("n") > BUCKET_BLOCK, F.row_number().over(bucket.orderBy("rep")) - 1).otherwise(0))
-    members = members.select("bh", "rep", F.expr(f"bigint(rn div {BUCKET_BLOCK})").alias("blk"), F.expr(f"bigint((n - 1) div {BUCKET_BLOCK})").alias("last_blk"))
+    banded = reps.select("rep", F.explode("bands").alias("bh"))
+    buckets = banded.groupBy("bh").agg(F.count("*").alias("n")).where("n > 1").select("bh", F.expr(f"(n - 1) div {BUCKET_BLOCK}").alias("last_blk"))
+    members = banded.join(buckets, "bh").select("bh", "rep", _block_of("rep"), "last_blk")  # AQE splits a hot bucket
     members = _in_block_pairs(members, "bh").drop("bh").join(reps.select("rep", "packed"), "rep")
     pairs = _together(members.select("g", "rep", "packed")).mapInArrow(_bucket_pairs(least_estimate(percent / 100)), "a long, b long")
     clusters = components(pairs, "clusters")
     clusters = clusters.union(clusters.select("root", "root").distinct()).toDF("rep", "cluster")
-    blocks = Window.partitionBy("cluster")
-    placed = clusters.join(reps.select("rep", "n_shingles"), "rep")
-    placed = placed.withColumn("blk", F.sum("n_shingles").over(blocks.orderBy("rep").rowsBetween(Window.unboundedPreceding, -1)))
-    placed = placed.withColumn("blk", F.expr(f"coalesce(blk, 0) div {CLUSTER_BLOCK}")).withColumn("last_blk", F.max("blk").over(blocks))
+    placed = staged(clusters.join(reps.select("rep", "n_shingles"), "rep"), "members")
+    large = placed.groupBy("cluster").agg(F.expr(f"(sum(n_shingles) - 1) div {CLUSTER_BLOCK}").alias("last_blk")).where("last_blk > 0")
+    large = staged(large, "large")
+    large = F.broadcast(large) if large.count() <= BROADCAST_ROWS else large
+    placed = placed.join(large, "cluster", "left").withColumn("last_blk", F.coalesce("last_blk", F.lit(0))).withColumn("blk", _block_of("rep"))
     placed = staged(_in_block_pairs(placed.select("cluster", "rep", "blk", "last_blk"), "cluster").select("g", F.col("rep").alias("doc_id")), "placed")
     few = placed.count() <= BROADCAST_ROWS
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
