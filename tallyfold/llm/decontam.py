@@ -3,8 +3,9 @@
 Numbers, units after numbers and capitalised words inside a sentence become typed placeholders; what
 remains is lower-cased and cut into windows of tokens. Window hashes of the documents are joined with
 those of the benchmark, so a passage is found also when its numbers, names or units were changed. For
-windows with placeholders the values are compared: along one alignment of a document and an item, a
-benchmark value must always meet the same document value and no two benchmark values the same one.
+windows with placeholders the values are compared, each window by itself: a benchmark value that was
+changed must meet one document value in it. Values that stayed, and different values that became equal,
+break nothing, and a window that fails takes no other one with it.
 """
 
 from __future__ import annotations
@@ -85,8 +86,8 @@ def contaminated(
     """doc_id, item_id, n_tokens, n_covered, coverage, n_slots, n_changed of each contaminated pair.
 
     A pair is contaminated if consistent windows cover at least `min_coverage` of the item's tokens or
-    `min_tokens` of them. n_slots counts the item's placeholder values met, n_changed those whose value
-    differs in the document: n_changed > 0 is a re-parameterised question. Items under `shortest` tokens
+    `min_tokens` of them. n_slots counts the item's placeholder values met in them, n_changed those whose
+    value differs in the document: n_changed > 0 is a re-parameterised question. Items under `shortest` tokens
     are not searched for; items shorter than a window are matched as a whole. Null or empty texts match
     nothing; rows with null ids take no part; repeated rows count once. Other columns are ignored.
     """
@@ -105,20 +106,23 @@ def contaminated(
     hits = spots.join(F.broadcast(bench) if small else bench, "h").select("doc_id", "pos", "item_id", "bpos", "width", "n_tokens", "slots")
     # One row for each alignment of a document with an item.
     line = hits.groupBy("doc_id", "item_id", "n_tokens", (F.col("pos") - F.col("bpos")).alias("shift")).agg(
-        F.collect_set(F.struct("bpos", "width")).alias("at"), F.array_distinct(F.flatten(F.collect_set(F.transform("slots", lambda s: F.struct((F.col("bpos") + s["k"]).alias("k"), s["value"].alias("value")))))).alias("slots")
+        F.collect_set(F.struct("bpos", "width", "slots")).alias("at")
     )
     line = staged(line, "alignments")
-    plain = line.where("size(slots) = 0").select("doc_id", "item_id", "n_tokens", "at", F.lit(0).alias("n_slots"), F.lit(0).alias("n_changed"))
-    slotted = line.where("size(slots) > 0").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "n_tokens", "shift", "at", "slots")).alias("lines"))
+    plain = line.where("forall(at, a -> size(a.slots) = 0)").select("doc_id", "item_id", "n_tokens", F.expr("transform(at, a -> struct(a.bpos, a.width))").alias("at"), F.lit(0).alias("n_slots"), F.lit(0).alias("n_changed"))
+    slotted = line.where("exists(at, a -> size(a.slots) > 0)").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "n_tokens", "shift", "at")).alias("lines"))
     slotted = staged(slotted, "slotted")
     few = slotted.agg(F.coalesce(F.sum(F.size("lines")), F.lit(0))).first()[0] <= BROADCAST_LINES
     # Only documents that met a placeholder are cut into tokens again.
     read = texts.join(F.broadcast(slotted) if few else slotted, "doc_id")
     read = with_tokens(read, F.col("text")).select("doc_id", "toks", F.explode("lines").alias("l"))
-    pairs = F.array_distinct(F.transform("l.slots", lambda s: F.struct(s["value"].alias("b"), F.coalesce(F.get("toks", F.col("l.shift") + s["k"]), F.lit("")).alias("d"))))
-    read = read.select("doc_id", "l.item_id", "l.n_tokens", "l.at", pairs.alias("met"))
-    consistent = (F.size(F.array_distinct(F.transform("met", lambda p: p["b"]))) == F.size("met")) & (F.size(F.array_distinct(F.transform("met", lambda p: p["d"]))) == F.size("met"))
-    read = read.where(consistent).select("doc_id", "item_id", "n_tokens", "at", F.size("met").alias("n_slots"), F.size(F.filter("met", lambda p: p["b"] != p["d"])).alias("n_changed"))
+    meets = lambda a: F.array_distinct(F.transform(a["slots"], lambda s: F.struct(s["value"].alias("b"), F.coalesce(F.get("toks", F.col("l.shift") + a["bpos"] + s["k"]), F.lit("")).alias("d"))))
+    changed = lambda met: F.filter(met, lambda p: p["b"] != p["d"])
+    met = F.transform("l.at", lambda a: F.struct(a["bpos"].alias("bpos"), a["width"].alias("width"), meets(a).alias("met")))
+    read = read.select("doc_id", "l.item_id", "l.n_tokens", met.alias("at"))
+    consistent = lambda a: F.size(F.array_distinct(F.transform(changed(a["met"]), lambda p: p["b"]))) == F.size(changed(a["met"]))
+    read = read.withColumn("at", F.filter("at", consistent)).where("size(at) > 0").withColumn("met", F.array_distinct(F.flatten("at.met")))
+    read = read.select("doc_id", "item_id", "n_tokens", F.expr("transform(at, a -> struct(a.bpos, a.width))").alias("at"), F.size("met").alias("n_slots"), F.size(changed(F.col("met"))).alias("n_changed"))
     found = plain.union(read).groupBy("doc_id", "item_id").agg(
         F.max("n_tokens").alias("n_tokens"),
         F.array_distinct(F.flatten(F.flatten(F.collect_set(F.transform("at", lambda a: F.sequence(a["bpos"], a["bpos"] + a["width"] - 1)))))).alias("covered"),

@@ -141,6 +141,18 @@ def test_decontamination(spark):
     assert decontam.contaminated(docs(spark, texts), bench.where("false")).count() == 0
 
 
+def test_decontamination_tests_slots_per_window(spark):
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
+    item = f"{' '.join(words)} has 3 {' '.join(words[::-1])} or 3 {' '.join(words[2:])}"
+    fruit, units = "one boy buys 3 apples and 5 pears then leaves", "first it runs 7 km and then just 9 m back"
+    texts = [item.replace("or 3", "or 4"), fruit.replace("3", "4").replace("5", "4"), units.replace("7 km", "7 m"), item.replace("3", "8"), "one boy buys apples and pears then leaves"]
+    bench = spark.createDataFrame([(1, item), (2, fruit), (3, units)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontam.contaminated(docs(spark, texts), bench).collect()}
+    assert {(0, 1), (1, 2), (2, 3), (3, 1)} == set(got)
+    assert all(r.coverage == 1 for r in got.values())
+    assert [got[k].n_changed for k in sorted(got)] == [1, 2, 1, 1]
+
+
 def test_packing_keeps_every_token_and_every_constraint(spark):
     rnd = random.Random(6)
     texts = [" ".join(["w"] * rnd.choice([0, 1, 5, 40, 99, 100, 101, 350])) for _ in range(300)] + [None]
