@@ -28,22 +28,27 @@ _NUMBER = r"\p{Nd}+(?:[.,]\p{Nd}+)*"
 _MARK_UNIT = rf"({_NUMBER})\s?((?i:{UNITS})|%|€|\$|£)(?![\p{{L}}\p{{Nd}}])"
 _MARK_NUMBER = rf"(?<![\p{{L}}\p{{Nd}}])({_NUMBER})(?![\p{{L}}\p{{Nd}}])"
 _MARK_NAME = r"(?<=[\p{L}\p{Nd},;:] )(\p{Lu}\p{Ll}+)(?![\p{L}\p{Nd}])"
-_TOKEN = r"\x01[^ ]+|\x02[^ ]+|\x03[^ ]+|[\p{L}\p{Nd}]+"
+_TOKEN = r"\x01[^ ]+|\x02[^ ]+|\x03?[\p{L}\p{Nd}]+"
+# White space and stray marks that are no single blank; numbers and units are marked before names.
+_GAP = r"(?:[\s\p{Z}\x01-\x03\x85&&[^ ]]| (?=[\s\p{Z}\x01-\x03\x85]))[\s\p{Z}\x01-\x03\x85]*"
 
 
 def with_tokens(df: DataFrame, text: Column, names: bool = True) -> DataFrame:
     """Adds `toks`: lower-cased words, and \\x01number, \\x02unit and \\x03name values with their marks."""
-    t = F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), r"[\x01-\x03]", " ")
-    df = df.withColumn("toks", F.regexp_replace(t, _MARK_NAME, "\x03$1") if names else t)
+    df = df.withColumn("toks", F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), _GAP, " "))
     t = F.col("toks")
     numbers = F.regexp_replace(F.regexp_replace(t, _MARK_UNIT, " \x01$1 \x02$2 "), _MARK_NUMBER, " \x01$1 ")
-    df = df.withColumn("toks", F.lower(F.when(t.rlike(r"\p{Nd}"), F.regexp_replace(numbers, "\x01 +\x01", "\x01")).otherwise(t)))
+    numbers = F.regexp_replace(F.regexp_replace(numbers, "\x01 +\x01", "\x01"), " {2,}", " ")
+    df = df.withColumn("toks", F.when(t.rlike(r"\p{Nd}"), numbers).otherwise(t))
+    df = df.withColumn("toks", F.lower(F.regexp_replace(t, _MARK_NAME, "\x03$1") if names else t))
     return df.withColumn("toks", F.regexp_extract_all(t, F.lit(_TOKEN), F.lit(0)))
 
 
-def _template_hashes(toks: Column) -> Column:
+def _template_hashes(toks: Column, names: bool = True) -> Column:
+    """Hash of each token, of its mark only for placeholders; without `names`, marked names count as words."""
     kind = lambda t: F.substring(t, 1, 1)
-    return F.transform(toks, lambda t: F.when(t < F.lit("\x04"), F.xxhash64(kind(t))).otherwise(F.xxhash64(t)))
+    word = lambda t: F.xxhash64(t) if names else F.xxhash64(F.ltrim(t, F.lit("\x03")))
+    return F.transform(toks, lambda t: F.when(t < F.lit("\x04" if names else "\x03"), F.xxhash64(kind(t))).otherwise(word(t)))
 
 
 def _windows(hashes: Column, width: int) -> Column:
@@ -97,12 +102,10 @@ def contaminated(
         widths = [window]
     small = bench.count() <= BROADCAST_WINDOWS
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    hashed = with_tokens(texts, F.col("text")).select("doc_id", _template_hashes(F.col("toks")).alias("hs"))
-    all_windows = F.array(*[F.struct(F.lit(w).alias("w"), _windows(F.col("hs"), w).alias("hs")) for w in sorted(widths)])
-    if len(widths) == 1:
-        spots = hashed.select("doc_id", F.posexplode(_windows(F.col("hs"), widths[0])).alias("pos", "h"))
-    else:
-        spots = hashed.select("doc_id", F.explode(all_windows).alias("x")).select("doc_id", F.posexplode("x.hs").alias("pos", "h"))
+    # Names are read both as placeholders and as words, since what stands before a name decides its mark.
+    hashed = with_tokens(texts, F.col("text")).select("doc_id", _template_hashes(F.col("toks")).alias("hs"), F.when(F.exists("toks", lambda t: t.startswith("\x03")), _template_hashes(F.col("toks"), names=False)).alias("us"))
+    both = lambda w: F.array(*[F.struct(F.lit(w).alias("w"), _windows(F.col(c), w).alias("hs")) for c in ("hs", "us")])
+    spots = hashed.select("doc_id", F.explode(F.concat(*[both(w) for w in sorted(widths)])).alias("x")).select("doc_id", F.posexplode("x.hs").alias("pos", "h"))
     hits = spots.join(F.broadcast(bench) if small else bench, "h").select("doc_id", "pos", "item_id", "bpos", "width", "n_tokens", "slots")
     # One row for each alignment of a document with an item.
     line = hits.groupBy("doc_id", "item_id", "n_tokens", (F.col("pos") - F.col("bpos")).alias("shift")).agg(

@@ -153,6 +153,16 @@ def test_decontamination_tests_slots_per_window(spark):
     assert [got[k].n_changed for k in sorted(got)] == [1, 2, 1, 1]
 
 
+def test_decontamination_reads_names_with_and_without_marks(spark):
+    items = ["we saw Paris in the", "Alice and who else left the small old house", "he ran 60 Km/h past London with Bob, and Bob fell down there"]
+    texts = ["yes we saw Paris\nin the rain", "they saw  Paris, and then Alice and who else left the small\told house", "and we saw\u00a0 Rome\nin the rain", "he ran\n75 Km/h past\nParis with  Tom and\nTom, fell down there"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontam.contaminated(docs(spark, texts), bench).collect()}
+    assert {(0, 0), (1, 1), (2, 0), (3, 2)} == set(got)
+    assert all(r.coverage == 1 for r in got.values())
+    assert [got[k].n_changed for k in sorted(got)] == [0, 0, 1, 3]
+
+
 def test_packing_keeps_every_token_and_every_constraint(spark):
     rnd = random.Random(6)
     texts = [" ".join(["w"] * rnd.choice([0, 1, 5, 40, 99, 100, 101, 350])) for _ in range(300)] + [None]
