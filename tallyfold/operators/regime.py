@@ -119,11 +119,16 @@ def train_trees(rows: DataFrame, max_iter: int = 200, label: str = "label", seed
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
 
+    from tallyfold.llm.common import shared_dir
+
+    context = rows.sparkSession.sparkContext
+    if not context.getCheckpointDir():  # each tree adds to the lineage, which the model's checkpoints cut
+        context.setCheckpointDir(shared_dir(rows.sparkSession))
     c = rows.agg(F.sum(label).alias("p"), F.count("*").alias("n")).first()
     weight = (c["n"] - c["p"]) / c["p"] if c["p"] else 1.0
     made = VectorAssembler(inputCols=FEATURES, outputCol="features")
     x = made.transform(rows).withColumn("w", F.when(F.col(label) == 1, float(weight)).otherwise(1.0)).select("features", "w", label).persist()
-    gbt = GBTClassifier(labelCol=label, weightCol="w", maxIter=max_iter, maxDepth=3, stepSize=0.05, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=seed)
+    gbt = GBTClassifier(labelCol=label, weightCol="w", maxIter=max_iter, maxDepth=3, stepSize=0.05, subsamplingRate=0.8, featureSubsetStrategy="0.8", checkpointInterval=10, seed=seed)
     model = gbt.fit(x)
     x.unpersist()
     return made, model

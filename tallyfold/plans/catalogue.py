@@ -992,7 +992,7 @@ def l19_baseline_comparison(spark, d):
 @query()
 def l17_boosted_trees(spark, d):
     x = rg.dataset(ad.prices(spark, d)).join(F.broadcast(rg.splits(ad.prices(spark, d))), "date")
-    made, model = rg.train_trees(x.where("split = 'train'"), max_iter=5)
+    made, model = rg.train_trees(x.where("split = 'train'"))
     out = model.transform(made.transform(x.where("split <> 'train'"))).withColumn("predicted", F.col("prediction").cast("int"))
     from pyspark.ml.functions import vector_to_array
 
@@ -1001,24 +1001,26 @@ def l17_boosted_trees(spark, d):
 
 @query()
 def l20_walk_forward(spark, d):
-    """Two expanding folds, each fitted on the cluster; folds with one class are skipped."""
-    x = rg.dataset(ad.prices(spark, d)).join(F.broadcast(rg.folds(ad.prices(spark, d), 2)), "date")
+    """Five expanding folds, each fitted on the cluster; folds with one class are skipped."""
+    from tallyfold.llm.common import staged
+
+    x = staged(rg.dataset(ad.prices(spark, d)).join(F.broadcast(rg.folds(ad.prices(spark, d))), "date"), "folds")
     out = None
-    for k in (1, 2):
+    for k in [row[0] for row in x.select("fold").distinct().orderBy("fold").collect()]:
         f = x.where(F.col("fold") == k)
         if f.where("part = 'train'").select("label").distinct().count() < 2:
             continue
-        made, model = rg.train_trees(f.where("part = 'train'"), max_iter=3)
+        made, model = rg.train_trees(f.where("part = 'train'"))
         one = model.transform(made.transform(f.where("part = 'test'"))).withColumn("predicted", F.col("prediction").cast("int"))
         m = rg.binary_metrics(one, ["fold"])
         out = m if out is None else out.union(m)
-    return r(out)
+    return r(out) if out is not None else spark.createDataFrame([], "fold int, precision double, recall double, f1 double")
 
 
 @query()
 def l22_feature_importances(spark, d):
     x = rg.dataset(ad.prices(spark, d))
-    _, model = rg.train_trees(x, max_iter=3)
+    _, model = rg.train_trees(x)
     return spark.createDataFrame([(n, float(v)) for n, v in zip(rg.FEATURES, model.featureImportances.toArray(), strict=True)], "feature string, importance double").orderBy(F.desc("importance"))
 
 

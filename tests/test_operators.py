@@ -202,3 +202,29 @@ def test_stream_equals_batch(spark, tmp_path):
     for p, (have, cost) in state.items():
         last = max((r for r in got if r.position == p and r.outcome == "applied"), key=lambda r: r.event_id)
         assert last.qty == pytest.approx(have) and last.cost == pytest.approx(cost, abs=1e-6)
+
+
+def test_tree_queries_train_the_whole_model(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.sql import functions as F
+    from tallyfold.operators import regime as rg
+    from tallyfold.plans import adapter
+    from tallyfold.plans.catalogue import QUERIES
+
+    days = spark.range(500).select(F.lit("A").alias("symbol"), F.date_add(F.lit("2020-01-01").cast("date"), F.col("id").cast("int")).alias("date"), (100 + 9 * F.rand(1) * F.sin(F.col("id") / 9)).alias("close"), (1000 + F.col("id") % 7).alias("volume"))
+    days = spark.createDataFrame(days.collect(), days.schema)
+    asked = []
+
+    def train(rows, max_iter=200):
+        asked.append(max_iter)
+        constant = lambda x: x.withColumn("prediction", F.lit(1.0)).withColumn("probability", array_to_vector(F.array(F.lit(0.4), F.lit(0.6))))
+        return SimpleNamespace(transform=lambda x: x), SimpleNamespace(transform=constant, featureImportances=SimpleNamespace(toArray=lambda: [0.0] * len(rg.FEATURES)))
+
+    monkeypatch.setattr(rg, "train_trees", train)
+    monkeypatch.setattr(adapter, "prices", lambda spark, d: days)
+    assert {r.split for r in QUERIES["l17_boosted_trees"](spark, "").collect()} == {"val", "test"}
+    assert sorted(r.fold for r in QUERIES["l20_walk_forward"](spark, "").collect()) == [1, 2, 3, 4, 5]
+    assert QUERIES["l22_feature_importances"](spark, "").count() == len(rg.FEATURES)
+    assert asked == [200] * 7
