@@ -21,17 +21,17 @@ MAX_TRAIN = 20_000  # training rows expected at most; the bound on the fit's inp
 MAX_LANGUAGES = 1000
 _UNIT = 1_000_000  # prototypes are summed in whole numbers, so their order does not matter
 _PIECE = 1 << 20
+FULL = 128  # trigrams from which a text's cosine is taken as it is; below, it is expected to fall as their root
 
 
 def letter_classes() -> np.ndarray:
     table = np.zeros(0x110000, np.uint8)
-    for low, high in ((0x41, 0x2FFF), (0x3040, 0x3100), (0xAC00, 0xD7A4), (0xF900, 0xFFDD)):
-        for c in range(low, high):
-            if chr(c).isalpha():
-                x = ord(chr(c).lower()[0])
-                table[c] = x - 96 if 97 <= x <= 122 else 27 + (x * 40503 >> 4) % (CLASSES - 27)
-    wide = np.r_[np.arange(0x3400, 0x4DC0), np.arange(0x4E00, 0xA000), np.arange(0x20000, 0x323B0)]
-    table[wide] = 27 + (wide * 40503 >> 4) % (CLASSES - 27)
+    letters = np.flatnonzero(np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000))
+    table[letters] = 27 + (letters * 40503 >> 4) % (CLASSES - 27)
+    for c in letters.tolist():
+        x = ord(chr(c).lower()[0])
+        if x != c or 97 <= x <= 122:
+            table[c] = x - 96 if 97 <= x <= 122 else 27 + (x * 40503 >> 4) % (CLASSES - 27)
     return table
 
 
@@ -73,15 +73,20 @@ class Profiles:
             yield i, self.bundle([self.trigrams(t or "") for t in texts[i : i + 128]])
 
 
+def _training(docs: DataFrame, lang_col: str, max_train: int) -> DataFrame:
+    labelled = docs.where(F.col(lang_col).isNotNull())
+    n = labelled.count()
+    if n > max_train:
+        labelled = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * max_train / n))
+    return labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+
+
 def fit(docs: DataFrame, lang_col: str = "lang", max_train: int = MAX_TRAIN) -> dict[str, np.ndarray]:
     """Unit prototypes by language, from about `max_train` rows at most, chosen by their hashed ids.
 
     Rows with null language, null text or no letter teach nothing. Over 1000 languages are refused.
     """
-    labelled = docs.where(F.col(lang_col).isNotNull())
-    n = labelled.count()
-    if n > max_train:
-        labelled = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * max_train / n))
+    labelled = _training(docs, lang_col, max_train)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         profiles, total = Profiles(), defaultdict(lambda: np.zeros(DIMENSIONS, np.int64))
@@ -93,7 +98,7 @@ def fit(docs: DataFrame, lang_col: str = "lang", max_train: int = MAX_TRAIN) ->
         for lang, v in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang] * DIMENSIONS), pa.array(np.arange(DIMENSIONS, dtype=np.int32)), pa.array(v)], names=["lang", "k", "v"])
 
-    sums = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col("text").cast("string").alias("text")).mapInArrow(add, "lang string, k int, v long").groupBy("lang", "k").agg(F.sum("v").alias("v"))
+    sums = labelled.mapInArrow(add, "lang string, k int, v long").groupBy("lang", "k").agg(F.sum("v").alias("v"))
     rows = sums.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("k", "v"))).alias("v")).select("lang", "v.v").limit(MAX_LANGUAGES + 1).collect()
     if len(rows) > MAX_LANGUAGES:
         raise ValueError(f"over {MAX_LANGUAGES} languages")
@@ -128,15 +133,52 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray]) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(label, "doc_id long, lang_pred string, score double")
 
 
-def keep_known(docs: DataFrame, prototypes: dict[str, np.ndarray], least: float) -> DataFrame:
-    """The rows of `docs` in a known language with a cosine of at least `least`, with all their columns."""
+def _measured(profiles: Profiles, texts: list[str | None], matrix: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(start, cosines, shrinkage by trigrams) of runs of up to 128 texts."""
+    for i in range(0, len(texts), 128):
+        found = [profiles.trigrams(t or "") for t in texts[i : i + 128]]
+        yield i, profiles.bundle(found) @ matrix, np.sqrt(np.minimum(1, np.array([c.sum() for _, c in found]) / FULL))
+
+
+def limits(docs: DataFrame, prototypes: dict[str, np.ndarray], lang_col: str = "lang", max_train: int = MAX_TRAIN) -> dict[str, float]:
+    """By language, half the 1st percentile of its training rows' cosines with its prototype.
+
+    Cosines of texts under 128 trigrams are first divided by the root of their share of 128.
+    """
+    names = sorted(prototypes)
+    matrix = np.array([prototypes[k] for k in names], np.float32).reshape(len(names), DIMENSIONS).T
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        profiles = Profiles()
+        for b in batches:
+            langs, kept, out = b.column(0).to_pylist(), [], []
+            for i, cosine, part in _measured(profiles, b.column(1).to_pylist(), matrix):
+                for lang, c, p in zip(langs[i:], cosine, part, strict=False):
+                    if lang in prototypes and c.any():
+                        kept.append(lang)
+                        out.append(float(c[names.index(lang)] / p))
+            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string()), pa.array(out, pa.float64())], names=["lang", "cosine"])
+
+    rows = _training(docs, lang_col, max_train).mapInArrow(measure, "lang string, cosine double").groupBy("lang").agg(F.percentile("cosine", F.lit(0.01))).collect()
+    return {r[0]: r[1] / 2 for r in rows}
+
+
+def keep_known(docs: DataFrame, prototypes: dict[str, np.ndarray], least: float, limits: dict[str, float] | None = None) -> DataFrame:
+    """The rows of `docs` in a known language, with all their columns.
+
+    The nearest cosine must be at least `least` and at least its language's limit, which is shrunk for
+    texts under 128 trigrams, so short clean texts stay.
+    """
     at = docs.columns.index("text")
     matrix = np.array(list(prototypes.values()), np.float32).reshape(len(prototypes), DIMENSIONS).T
+    limit = np.array([(limits or {}).get(k, 0.0) for k in prototypes])
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         profiles = Profiles()
         for b in batches:
-            good = [(v @ matrix).max(1) >= least for _, v in profiles.of(b.column(at).to_pylist())] if matrix.size else []
+            good = []
+            for _, cosine, part in _measured(profiles, b.column(at).to_pylist(), matrix) if matrix.size else ():
+                good.append(cosine.max(1) >= np.maximum(least, limit[cosine.argmax(1)] * part))
             yield b.filter(pa.array(np.concatenate(good), pa.bool_())) if good else b.slice(0, 0)
 
     return docs.mapInArrow(keep, docs.schema)

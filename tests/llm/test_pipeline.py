@@ -1,5 +1,7 @@
 """The pipeline against plain versions of its stages, and its stages on odd tables."""
 
+import random
+
 import corpus_pipeline
 from pyspark.sql import functions as F
 
@@ -46,3 +48,20 @@ def test_stages_keep_columns_on_odd_and_empty_tables(spark):
             out = stage(spark, df, D)
             out.collect()
             assert name == "packing" or out.columns == df.columns
+
+
+def test_language_stage_drops_noise_and_foreign_texts_and_keeps_clean_ones(spark):
+    rnd = random.Random(5)
+    docs = spark.read.parquet(f"{D}/documents.parquet").where("doc_id >= 0")
+    noise = ["".join(rnd.choices("bcdfghjklmnpqrstvwxz ", k=300)) for _ in range(40)] + ["".join(chr(rnd.randint(0x4E00, 0x9FFF)) for _ in range(200)) for _ in range(40)]
+    noise += ["Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью и должны поступать в отношении друг друга в духе братства."]
+    rows = spark.createDataFrame([(-1 - i, t) for i, t in enumerate(noise)], "doc_id long, text string")
+    kept = {r.doc_id for r in corpus_pipeline.language_stage(spark, docs.unionByName(rows, allowMissingColumns=True), D).select("doc_id").collect()}
+    clean = {r.doc_id for r in langid.predict(docs, langid.fit(docs.where(fold(4) != 2))).where(F.col("score") >= corpus_pipeline.LEAST_COSINE).select("doc_id").collect()}
+    assert kept == clean
+
+
+def test_letters_of_every_script_count():
+    table = langid.letter_classes()
+    assert all((table[c] > 0) == chr(c).isalpha() for c in range(0x110000))
+    assert table[ord("A")] == table[ord("a")] == 1 and table[ord("Д")] == table[ord("д")]
