@@ -3,38 +3,21 @@
 from __future__ import annotations
 
 import sys
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyfold.sources.shared import shared_dir, staged  # noqa: F401
+
 # Workers receive these functions by value, so executors need no copy of the library.
 cloudpickle.register_pickle_by_value(sys.modules["tallyfold.llm"])
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder. Only where none is named (tests on one machine) is one made."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write a table into the shared folder and read it back.
-
-    Later steps then neither repeat the work nor depend on an executor's local files.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tallyfold/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+EDGES = 1 << 19  # edges shrunk in one piece
+SPOKES = 4096  # of a node's edges, joined in one part
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
@@ -84,37 +67,53 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _forest_of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    tables = [b for b in batches if b.num_rows]
-    if tables:
-        t = pa.Table.from_batches(tables)
+    """Each run of about EDGES edges becomes its forest; what is held is bounded by the run."""
+    held: list[pa.RecordBatch] = []
+
+    def shrunk() -> pa.RecordBatch:
+        t = pa.Table.from_batches(held)
         a, b = forest(t["a"].to_numpy(), t["b"].to_numpy())
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=schema)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+        if sum(b.num_rows for b in held) >= EDGES:
+            yield shrunk()
+            held = []
+    if held:
+        yield shrunk()
 
-def components(edges: DataFrame, name: str = "components", rounds: int = 60) -> DataFrame:
+
+def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Connected components of undirected edges (a, b): rows (node, root) for every node of an edge.
 
     `root` is the smallest node reachable; nodes that are their own root are left out. Each task first
     shrinks its edges to a forest; then large-star and small-star steps alternate, each one a grouped
-    minimum and a join, until the edges stop changing. Every round is written to the shared folder.
+    minimum and a join, until the edges stop changing. Every round is written to the shared folder. A
+    node's edges are joined with its one minimum, in parts of SPOKES, so a hub's edges are shared out.
     """
     e = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
     e = staged(e.mapInArrow(_forest_of_task, "a long, b long").distinct(), name)
     seen = None
-    for _ in range(rounds):
+    while True:
         mark = e.agg(F.count("*"), F.expr("sum(cast(xxhash64(a, b) as decimal(38,0)))")).first()
         if mark == seen:
             return e.select(F.col("b").alias("node"), F.col("a").alias("root"))
         seen = mark
-        both = e.union(e.select("b", "a")).toDF("u", "v")
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct()
-        down = large.where("a < b").select(F.col("b").alias("u"), F.col("a").alias("v"))
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(least, "u").select(F.expr("inline(array(struct(m as a, v as b), struct(m as a, u as b)))"))
+        large = _least(e.union(e.select("b", "a")).toDF("u", "v")).where("v > u").select(F.least("u", "m").alias("a"), F.col("v").alias("b")).distinct()
+        small = _least(large.where("a < b").select(F.col("b").alias("u"), F.col("a").alias("v"))).select(F.expr("inline(array(struct(m as a, v as b), struct(m as a, u as b)))"))
         e = staged(small.where("a < b").distinct(), name)
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
+
+
+def _least(edges: DataFrame) -> DataFrame:
+    """u, v, m: each edge with the smallest neighbour of u."""
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    parts = least.select("u", "m", F.explode(F.expr(f"sequence(0L, (n - 1) div {SPOKES})")).alias("part"))
+    heavy = least.where(F.col("n") > SPOKES).select("u", F.expr(f"(n - 1) div {SPOKES} + 1").alias("parts"))
+    # At most one hub for each SPOKES edges: few rows, which the optimizer broadcasts by their size.
+    dealt = edges.join(heavy, "u", "left").select("u", "v", F.expr("pmod(xxhash64(v), coalesce(parts, 1L))").alias("part"))
+    return dealt.join(parts, ["u", "part"]).select("u", "v", "m")
 
 
 def to_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:

@@ -242,12 +242,11 @@ def test_token_files_round_trip(spark, odd, tmp_path):
     tokenizers = pytest.importorskip("tokenizers")
     path = queries.tokenizer_path()
     rnd = random.Random(9)
-    bits = ["a", "Word", " ", "  ", "\n", "\t", "é", "1", "'s", ".", ",", ".\n", "<|endoftext|>", "\x85", "\0", "_", "!", "漢"]
+    bits = ["a", "Word", " ", "  ", "\n", "\t", "é", "1", "'s", ".", ",", ".\n", "<|endoftext|>", "\x85", "\0", "_", "!", "漢", "\u2003", "\u2019", "\u201c", "\u00d7", "\u00f1", " the", "\r\n"]
     texts = [*odd, *["".join(rnd.choices(bits, k=rnd.randint(0, 12))) for _ in range(500)]]
     out = tokenbin.write(docs(spark, texts), path, path=f"file://{tmp_path}/t")
     got = sorted(tokenbin.read(spark, out).collect(), key=lambda r: r.doc_id)
     t = tokenizers.Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     at = 0
     for r, e in zip(got, t.encode_batch([x or "" for x in texts], add_special_tokens=False), strict=True):
         ids = np.array([*e.ids, 2], "<u4").tobytes()
