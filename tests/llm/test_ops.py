@@ -88,23 +88,56 @@ def test_signature_estimates(spark):
     assert float(neardup.estimate(sign(x)[1], sign(x)[1])) == 1
 
 
-def test_top_k_matches_brute_force(spark):
+def test_top_k_matches_brute_force(spark, monkeypatch):
     rnd = np.random.default_rng(3)
     v = np.r_[rnd.normal(size=(120, 6)), np.zeros((3, 6)), np.ones((5, 6))].astype(float)
-    rows = [(i, [float(x) for x in r]) for i, r in enumerate(v)] + [(200, None), (201, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (202, [float("nan")] * 6), (203, []), (204, [1.0]), (None, [1.0] * 6), (7, [float(x) for x in v[7]])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("v", F.lit(0))
-    got = {}
-    for r in knn.top_k(df, F.col("vec_id") % 10 == 0, 5).collect():
-        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
-    e = np.floor(256 * v).astype(int)
-    for q in range(0, 128, 10):
-        s = e @ e[q]
-        order = [i for i in np.lexsort((np.arange(len(e)), -s)) if i != q][:5]
-        assert sorted(got[q]) == [(n + 1, i, s[i]) for n, i in enumerate(order)]
-    assert set(got) == set(range(0, 128, 10))
+    more = [(7, [float(x) for x in v[7]]), (7, [3.0] * 6), (20, [2.0] * 6), (3, [1.0, 2.0]), (4, [5.0, 1.0]), (10, [1.0, 1.0]), (10, [0.0, 4.0])]
+    rows = [(i, [float(x) for x in r]) for i, r in enumerate(v)] + [(200, None), (201, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (202, [float("nan")] * 6), (203, []), (204, [1.0]), (None, [1.0] * 6), *more]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("v", F.lit(0)).withColumn("q", F.lit("x"))
+    valid = [(i, np.floor(256 * np.array(x)).astype(int)) for i, x in rows if i is not None and x and all(y is not None and np.isfinite(y) for y in x)]
+    want = {}
+    for q, a in valid:
+        if q % 10 == 0:
+            want.setdefault(q, []).extend((-int(a @ b), i) for i, b in valid if i != q and len(a) == len(b))
+    want = {q: [(n + 1, i, -s) for n, (s, i) in enumerate(sorted(x)[:5])] for q, x in want.items() if x}
+    for group, chunk in ((8192, 32768), (3, 7)):
+        monkeypatch.setattr(knn, "QUERY_GROUP", group)
+        monkeypatch.setattr(knn, "CHUNK", chunk)
+        got = {}
+        for r in knn.top_k(df, F.col("vec_id") % 10 == 0, 5).collect():
+            got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+        assert {q: sorted(x) for q, x in got.items()} == want
     few = df.where("vec_id in (0, 1, 2)")
     assert knn.top_k(few, F.col("vec_id") == 0, 5).count() == 2
     assert knn.top_k(df.where("false"), F.col("vec_id") == 0, 5).count() == 0
+    assert knn.top_k(df, F.col("vec_id") == -1, 5).count() == 0
+
+
+def test_top_k_sends_clustered_vectors_only_where_they_can_matter(spark):
+    rnd = np.random.default_rng(4)
+    centres = rnd.normal(size=(20, 8)) * 4
+    centres /= np.linalg.norm(centres, axis=1, keepdims=True)
+    v = centres[np.arange(2000) % 20] + rnd.normal(size=(2000, 8)) * 0.01
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "vec_id long, embedding array<double>")
+    sent = []
+    real = type(df).mapInArrow
+
+    def counted(self, f, schema, *rest):
+        out = real(self, f, schema, *rest)
+        if f.__name__ == "send":
+            sent.append(out.count() / 2000)
+        return out
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(knn, "QUERY_GROUP", 10)
+        m.setattr(type(df), "mapInArrow", counted)
+        got = knn.top_k(df, F.col("vec_id") % 50 == 0, 5).collect()
+    e = np.floor(256 * v).astype(int)
+    for r in got:
+        s = e @ e[r.query_id]
+        s[r.query_id] = -(10**9)
+        assert np.lexsort((np.arange(2000), -s))[r["rank"] - 1] == r.vec_id
+    assert len(got) == 200 and sent and sent[0] < 2
 
 
 def test_chat_round_trip(spark):
