@@ -26,28 +26,31 @@ def unescaped(text: Column) -> Column:
 
 
 def expand(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", trained_role: str = "assistant") -> DataFrame:
-    """conv_id, example, formatted, loss_start, loss_length: one row per turn of `trained_role`.
+    """conv_id, part, example, formatted, loss_start, loss_length: one row per turn of `trained_role`.
 
     loss_start (from 0) and loss_length are code points of `formatted`; they span the reply's text alone.
     Turns after the last such turn make one more example without anything trainable (loss_length 0), so no
     turn is lost. Null roles and texts count as empty. Turns are ordered by turn, then role, then text;
-    nulls come first, and repeated rows stay as turns of their own. Rows without conv_id form one
-    conversation. Other columns are ignored.
+    nulls come first, and repeated rows stay as turns of their own. Each row without conv_id is a
+    conversation by itself, told apart by `part` (0 elsewhere). Texts are kept whole; an empty table gives
+    no examples. Other columns are ignored.
     """
+    part = F.when(F.col(conv_col).isNull(), 1 + F.monotonically_increasing_id()).otherwise(0)
     turns = conversations.select(
-        F.col(conv_col).alias("conv_id"), F.struct(F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).alias("t")
+        F.col(conv_col).alias("conv_id"), part.alias("part"), F.struct(F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).alias("t")
     )
-    whole = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    whole = turns.groupBy("conv_id", "part").agg(F.sort_array(F.collect_list("t")).alias("turns"))
     head = lambda t: F.concat(F.lit(TURN), escaped(t["role"]), F.lit(TEXT))
     shown = F.transform("turns", lambda t: F.struct((t["role"] == trained_role).alias("trained"), head(t).alias("head"), escaped(t["text"]).alias("text")))
-    whole = whole.select("conv_id", shown.alias("turns"), F.transform("turns", lambda t: F.concat(head(t), escaped(t["text"]), F.lit(END))).alias("shown"))
+    whole = whole.select("conv_id", "part", shown.alias("turns"), F.transform("turns", lambda t: F.concat(head(t), escaped(t["text"]), F.lit(END))).alias("shown"))
     ends = F.filter(F.sequence(F.lit(1), F.size("turns")), lambda i: F.get("turns", i - 1)["trained"] | (i == F.size("turns")))
-    example = whole.select("conv_id", "turns", "shown", F.posexplode(ends).alias("example", "n"))
+    example = whole.select("conv_id", "part", "turns", "shown", F.posexplode(ends).alias("example", "n"))
     before = F.array_join(F.expr("slice(shown, 1, n - 1)"), "")
     last = F.get("turns", F.col("n") - 1)
-    example = example.select("conv_id", "example", F.concat(before, last["head"]).alias("context"), last["text"].alias("reply"), last["trained"].alias("trained"))
+    example = example.select("conv_id", "part", "example", F.concat(before, last["head"]).alias("context"), last["text"].alias("reply"), last["trained"].alias("trained"))
     return example.select(
         "conv_id",
+        "part",
         "example",
         F.concat("context", "reply", F.lit(END)).alias("formatted"),
         F.char_length("context").cast("long").alias("loss_start"),
@@ -70,7 +73,7 @@ def trained_text(formatted: Column, start: Column, length: Column) -> Column:
 def digests(examples: DataFrame) -> DataFrame:
     """Per conversation what its examples hold: turns, trainable text and formatted size, with digests."""
     loss = F.sort_array(F.collect_list(F.when(F.col("loss_length") > 0, F.struct("example", trained_text(F.col("formatted"), F.col("loss_start"), F.col("loss_length")).alias("text")))))
-    each = examples.groupBy("conv_id").agg(F.max_by("formatted", "example").alias("last"), loss.alias("loss"), F.sum(F.char_length("formatted")).alias("formatted_chars"))
+    each = examples.groupBy("conv_id", "part").agg(F.max_by("formatted", "example").alias("last"), loss.alias("loss"), F.sum(F.char_length("formatted")).alias("formatted_chars"))
     each = each.select("conv_id", read_back(F.col("last")).alias("turns"), F.array_join(F.transform("loss", lambda x: x["text"]), "").alias("loss"), "formatted_chars")
     lines = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
     return each.select(

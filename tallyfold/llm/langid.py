@@ -1,6 +1,6 @@
 """Language identification by hyperdimensional profiles.
 
-Every letter class has a random vector of +1 and -1. A letter trigram is bound as the product of its
+Every letter has a random vector of +1 and -1, drawn from its code point. A letter trigram is bound as the product of its
 letters' vectors, rotated by their place; a text is the bundle (sum) of its trigrams' vectors; a language's
 prototype is the sum of its training texts' unit vectors. A text gets the language of the nearest cosine.
 """
@@ -16,44 +16,63 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DIMENSIONS = 1024
-CLASSES = 128  # letter classes: 0 a gap, 1-26 a-z, others hashed
-MAX_TRAIN = 20_000  # training rows expected at most; the bound on the fit's input
-MAX_LANGUAGES = 1000
+MAX_TRAIN = 20_000  # training rows expected at most; the bound on the fit's input, and so on the languages learned
 _UNIT = 1_000_000  # prototypes are summed in whole numbers, so their order does not matter
 _PIECE = 1 << 20
 FULL = 128  # trigrams from which a text's cosine is taken as it is; below, it is expected to fall as their root
 
 
-def letter_classes() -> np.ndarray:
-    table = np.zeros(0x110000, np.uint8)
-    letters = np.flatnonzero(np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000))
-    table[letters] = 27 + (letters * 40503 >> 4) % (CLASSES - 27)
-    for c in letters.tolist():
-        x = ord(chr(c).lower()[0])
-        if x != c or 97 <= x <= 122:
-            table[c] = x - 96 if 97 <= x <= 122 else 27 + (x * 40503 >> 4) % (CLASSES - 27)
-    return table
+def letter_of(code: int) -> int:
+    """The lower-case letter that a code point stands for; 0 if it is no letter."""
+    c = chr(code)
+    return ord(c.lower()[0]) if c.isalpha() else 0
 
 
 class Profiles:
+    """Letters are numbered as they are met; a number's meaning never leaves the task."""
+
     def __init__(self) -> None:
-        letters = np.random.default_rng(7).integers(0, 2, (CLASSES, DIMENSIONS), dtype=np.int8) * np.int8(2) - np.int8(1)
-        self.places = [np.roll(letters, 2, 1), np.roll(letters, 1, 1), letters]
-        self.table = letter_classes()
+        self.table = np.full(0x110000, -1, np.int32)  # code point to letter number; 0 is a gap
+        self.numbers = {0: 0}
+        self.vectors = [self._vector(0)]
+        self.places: list[np.ndarray] = []
+
+    @staticmethod
+    def _vector(letter: int) -> np.ndarray:
+        return np.random.default_rng([7, letter]).integers(0, 2, DIMENSIONS, dtype=np.int8) * np.int8(2) - np.int8(1)
+
+    def _numbered(self, codes: np.ndarray) -> np.ndarray:
+        out = self.table[codes]
+        if (out < 0).any():
+            for c in np.unique(codes[out < 0]).tolist():
+                letter = letter_of(c)
+                if letter not in self.numbers:
+                    self.numbers[letter] = len(self.vectors)
+                    self.vectors.append(self._vector(letter))
+                self.table[c] = self.numbers[letter]
+            self.places = []
+            out = self.table[codes]
+        return out
 
     def trigrams(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Distinct trigram codes and their counts; words are parted by one gap. Long texts go in pieces."""
         codes, counts, tail = [], [], np.zeros(1, np.int32)
         for i in range(0, len(text), _PIECE):
-            c = self.table[np.frombuffer(text[i : i + _PIECE].encode("utf-32-le", "replace"), np.uint32)].astype(np.int32)
+            c = self._numbered(np.frombuffer(text[i : i + _PIECE].encode("utf-32-le", "replace"), np.uint32))
             c = np.r_[tail, c, np.zeros(int(i + _PIECE >= len(text)), np.int32)]
             c = c[np.r_[True, (c[1:] != 0) | (c[:-1] != 0)]]
             tail = c[-2:]
-            code, count = np.unique((c[:-2] << 14) | (c[1:-1] << 7) | c[2:], return_counts=True)
+            if len(self.vectors) <= 1 << 10:  # the usual alphabets fit shorter codes, which sort faster
+                code, count = np.unique((c[:-2] << 20) | (c[1:-1] << 10) | c[2:], return_counts=True)
+                code = code.astype(np.int64)
+                code = ((code >> 20) << 42) | ((code >> 10 & 1023) << 21) | (code & 1023)
+            else:
+                c = c.astype(np.int64)
+                code, count = np.unique((c[:-2] << 42) | (c[1:-1] << 21) | c[2:], return_counts=True)
             codes.append(code)
             counts.append(count)
         if len(codes) <= 1:
-            return (codes[0], counts[0]) if codes else (np.zeros(0, np.int32), np.zeros(0, int))
+            return (codes[0], counts[0]) if codes else (np.zeros(0, np.int64), np.zeros(0, int))
         code, at = np.unique(np.concatenate(codes), return_inverse=True)
         return code, np.bincount(at, np.concatenate(counts)).astype(int)
 
@@ -63,7 +82,10 @@ class Profiles:
         row = np.repeat(np.arange(len(profiles)), [len(p[0]) for p in profiles])
         dense = np.zeros((len(profiles), len(code)), np.float32)
         dense[row, at] = np.concatenate([p[1] for p in profiles])
-        bound = self.places[0][code >> 14] * self.places[1][(code >> 7) & 127] * self.places[2][code & 127]
+        if not self.places:
+            letters = np.array(self.vectors)
+            self.places = [np.roll(letters, 2, 1), np.roll(letters, 1, 1), letters]
+        bound = self.places[0][code >> 42] * self.places[1][(code >> 21) & 0x1FFFFF] * self.places[2][code & 0x1FFFFF]
         out = dense @ bound.astype(np.float32)
         return out / np.maximum(np.sqrt((out * out).sum(1, keepdims=True)), 1e-9)
 
@@ -77,14 +99,16 @@ def _training(docs: DataFrame, lang_col: str, max_train: int) -> DataFrame:
     labelled = docs.where(F.col(lang_col).isNotNull())
     n = labelled.count()
     if n > max_train:
-        labelled = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * max_train / n))
+        labelled = labelled.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int((1 << 30) * max_train / n))
     return labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
 
 
 def fit(docs: DataFrame, lang_col: str = "lang", max_train: int = MAX_TRAIN) -> dict[str, np.ndarray]:
-    """Unit prototypes by language, from about `max_train` rows at most, chosen by their hashed ids.
+    """Unit prototypes by language, from about `max_train` rows at most, chosen by their hashed ids and texts.
 
-    Rows with null language, null text or no letter teach nothing. Over 1000 languages are refused.
+    Rows with null language, null text or no letter teach nothing; repeated rows teach as often as they
+    come. Each training row teaches one language, so there are no more prototypes than training rows. An
+    empty table gives none. Other columns are ignored.
     """
     labelled = _training(docs, lang_col, max_train)
 
@@ -99,9 +123,7 @@ def fit(docs: DataFrame, lang_col: str = "lang", max_train: int = MAX_TRAIN) ->
             yield pa.RecordBatch.from_arrays([pa.array([lang] * DIMENSIONS), pa.array(np.arange(DIMENSIONS, dtype=np.int32)), pa.array(v)], names=["lang", "k", "v"])
 
     sums = labelled.mapInArrow(add, "lang string, k int, v long").groupBy("lang", "k").agg(F.sum("v").alias("v"))
-    rows = sums.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("k", "v"))).alias("v")).select("lang", "v.v").limit(MAX_LANGUAGES + 1).collect()
-    if len(rows) > MAX_LANGUAGES:
-        raise ValueError(f"over {MAX_LANGUAGES} languages")
+    rows = sums.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("k", "v"))).alias("v")).select("lang", "v.v").collect()
     out = {r[0]: np.array(r[1], float) for r in sorted(rows)}
     return {k: v / np.linalg.norm(v) for k, v in out.items() if v.any()}
 
@@ -109,7 +131,9 @@ def fit(docs: DataFrame, lang_col: str = "lang", max_train: int = MAX_TRAIN) ->
 def predict(docs: DataFrame, prototypes: dict[str, np.ndarray]) -> DataFrame:
     """doc_id, lang_pred, score of every row. Null texts and texts without a letter: `und`, score 0.
 
-    The score is the cosine, 0 at least; equal cosines go to the first language by name.
+    The score is the cosine, 0 at least; equal cosines go to the first language by name. Texts are read
+    whole. Repeated rows and null ids come back as they are; an empty table gives no rows. Only doc_id and
+    text are read; without prototypes every row is `und`.
     """
     names = sorted(prototypes)
     matrix = np.array([prototypes[k] for k in names], np.float32).reshape(len(names), DIMENSIONS).T
@@ -167,7 +191,8 @@ def keep_known(docs: DataFrame, prototypes: dict[str, np.ndarray], least: float,
     """The rows of `docs` in a known language, with all their columns.
 
     The nearest cosine must be at least `least` and at least its language's limit, which is shrunk for
-    texts under 128 trigrams, so short clean texts stay.
+    texts under 128 trigrams, so short clean texts stay. Null texts and texts without a letter go; repeated
+    rows and rows with null ids are judged by their text alone; other columns are not read and stay.
     """
     at = docs.columns.index("text")
     matrix = np.array(list(prototypes.values()), np.float32).reshape(len(prototypes), DIMENSIONS).T

@@ -1,6 +1,6 @@
 """Conflict-constrained best-fit packing of documents into sequences of fixed length.
 
-Documents are dealt by hashed id into shards of bounded size, and each shard is packed by itself: longest
+Documents are dealt by row number into shards of bounded size, and each shard is packed by itself: longest
 first, every piece into the open bin with the least room that holds it and whose source and duplicate
 cluster bitmaps are free of the piece's bits; the successor search goes on until such a bin is found.
 """
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tallyfold.llm.common import staged, whole_groups
 
-CAPACITY = 2048
+CAPACITY = 2048  # in the unit of the sizes given
 SHARD_ROWS = 4096
 
 
@@ -49,19 +49,27 @@ def best_fit(sizes: list[int], sources: list[int], clusters: list[int], capacity
     return out
 
 
-def pack(docs: DataFrame, size: Column, cluster: Column, id_col: str = "doc_id", source_col: str = "source", capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """doc_id, piece, n_tokens, shard, bin, bin_offset, bin_used of every piece of every row.
+def pack(docs: DataFrame, size: Column, cluster: Column, id_col: str = "doc_id", source_col: str = "source", capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS, shards: int | None = None) -> DataFrame:
+    """doc_id, piece, size, shard, bin, bin_offset, bin_used of every piece of every row.
 
-    `size` is a row's length in tokens. Longer rows than `capacity` are cut: each full piece fills a bin of
-    its own, and the rest is packed like any row. Within a bin no two pieces share a source, and none share
-    a duplicate cluster; null sources and clusters conflict with nothing. Rows of length 0 or null have one
-    piece of length 0 and no bin. Rows are packed longest first, then by id, source and cluster; repeated
-    rows are packed as often as they come. Bins are numbered within their shard; `shard` is part of the key.
+    `size` is a row's length in the unit of `capacity` (tokens, or words as in the registered query; an
+    encoder's counts make bins that fit a model's sequences). Longer rows than `capacity` are cut: each full
+    piece fills a bin of its own, and the rest is packed like any row. Within a bin no two pieces share a
+    source, and none share a duplicate cluster; null sources and clusters conflict with nothing. Rows of
+    size 0 or null have one piece of size 0 and no bin. Rows are packed longest first, then by id, source
+    and cluster; repeated rows are packed as often as they come; an empty table gives no rows; other columns
+    are ignored. Bins are numbered within their shard; `shard` is part of the key.
+
+    Rows are dealt into `shards` (by default one for each `shard_rows` rows) by the hash of a row number
+    that is written with them: equal rows fill no shard, and a lost task deals its rows as before. The
+    numbers follow the input's files and partitions, so another layout of a table gives other bins of the
+    same kind. Give `shards` to keep their number while a table grows; 1 packs all rows together, in one
+    task.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(source_col)).alias("source"), F.col(source_col).isNull().alias("no_source"), cluster.cast("long").alias("cluster"), F.coalesce(size.cast("long"), F.lit(0)).alias("n"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(source_col)).alias("source"), F.col(source_col).isNull().alias("no_source"), cluster.cast("long").alias("cluster"), F.coalesce(size.cast("long"), F.lit(0)).alias("n"), F.monotonically_increasing_id().alias("row"))
     rows = staged(rows, "sizes")
-    shards = max(1, -(-rows.count() // shard_rows))
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "n", "cluster"), F.lit(shards)).cast("long"))
+    shards = shards or max(1, -(-rows.count() // shard_rows))
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("long"))
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, "shard"):
@@ -96,10 +104,10 @@ def pack(docs: DataFrame, size: Column, cluster: Column, id_col: str = "doc_id",
                 b, free = free, free + 1
             out.append((doc_id, p, size, shard, b, offset, total))
         columns = list(zip(*out, strict=True)) or [()] * 7
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "piece", "n_tokens", "shard", "bin", "bin_offset", "bin_used"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "piece", "size", "shard", "bin", "bin_offset", "bin_used"])
 
     dealt = rows.select("shard", "doc_id", "source", "no_source", "cluster", "n").repartition("shard").sortWithinPartitions("shard")
-    return dealt.mapInArrow(fit, "doc_id long, piece long, n_tokens long, shard long, bin long, bin_offset long, bin_used long")
+    return dealt.mapInArrow(fit, "doc_id long, piece long, size long, shard long, bin long, bin_offset long, bin_used long")
 
 
 def count_words(text: Column) -> Column:

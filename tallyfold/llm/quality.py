@@ -71,8 +71,9 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_trai
     """Weights learned from at most `max_train` labelled documents: those with the smallest hashed ids.
 
     Features are made in parallel; the passes over the bounded sample run in one task. Labels other than
-    0 and 1 and null ids are left out; of a document's repeated labels the largest counts. Without any
-    labelled document all weights are 0.
+    0 and 1 and null ids are left out; of a document's repeated labels the largest counts, of its repeated
+    rows the text with the smallest hash. Without any labelled document all weights are 0. Of `docs` only
+    doc_id and text are read.
     """
     chosen = labels.where(F.col("doc_id").isNotNull() & F.col(label_col).isin(0, 1)).groupBy("doc_id").agg(F.max(label_col).cast("int").alias("label"))
     chosen = chosen.withColumn("rank", F.xxhash64("doc_id")).orderBy("rank", "doc_id").limit(max_train)
@@ -88,7 +89,9 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_trai
         w = ftrl(list(zip(pdf["at"], pdf["value"], pdf["label"], strict=True)), alpha, beta, l1, l2, epochs)
         return pd.DataFrame({"weights": [w.astype(np.float32).tobytes()]})
 
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("rank", "label", "text")
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    # A sampled id teaches once, however often its rows repeat; maps pre-aggregate before the shuffle.
+    rows = rows.groupBy("doc_id", "rank", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("rank", "label", "text")
     made = rows.mapInArrow(features, "rank long, label int, at array<int>, value array<float>")
     out = made.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(train, "weights binary").first()
     return np.frombuffer(bytes(out[0]), np.float32) if out else np.zeros(BUCKETS, np.float32)
@@ -97,7 +100,8 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_trai
 def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     """doc_id, score of every row: the chance of label 1. Null and empty texts get the bias alone.
 
-    Texts are scored whole, each as a sparse dot product with the weights (1 MB, of fixed size).
+    Texts are scored whole, each as a sparse dot product with the weights (1 MB, of fixed size). Repeated
+    rows and null ids come back as they are; an empty table gives no rows. Only doc_id and text are read.
     """
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,7 +117,11 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, weights: np.ndarray, least: float = 0.5) -> DataFrame:
-    """The rows of `docs` whose score is at least `least`, with all their columns."""
+    """The rows of `docs` whose score is at least `least`, with all their columns.
+
+    Null and empty texts have the bias's score. Repeated rows and rows with null ids are judged by their
+    text alone; a tie with `least` stays.
+    """
     at = docs.columns.index("text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

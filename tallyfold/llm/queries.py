@@ -89,18 +89,18 @@ r as (select *, cast(row_number() over (partition by query_id order by score des
 select query_id, rank, vec_id, score from r where rank <= 5""",
     "op3_chat_prefix_targets": f"""
 with c as (
-  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
-  union all select * from (values (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))),
+  select conv_id, case when conv_id is null then row_number() over () else 0 end as part, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select * from (values (-7, 0, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 0, 1, 'assistant', '</s>[INST] ok [/INST]'))),
 t as (
-  select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as rn, count(*) over (partition by conv_id) as n,
+  select *, row_number() over (partition by conv_id, part order by turn nulls first, role, text) as rn, count(*) over (partition by conv_id, part) as n,
     {len(chat.TURN) + len(chat.TEXT) + len(chat.END)} + length({_ESCAPED.format("role")}) + length({_ESCAPED.format("text")}) as chars
   from c),
-u as (select *, sum(chars) over (partition by conv_id order by rn) as upto from t)
+u as (select *, sum(chars) over (partition by conv_id, part order by rn) as upto from t)
 select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by rn)) as turns_sha256,
   cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
   sha256(coalesce(string_agg(text, '' order by rn) filter (role = 'assistant'), '')) as loss_sha256,
   cast(sum(upto) filter (role = 'assistant' or rn = n) as bigint) as formatted_chars
-from u group by conv_id""",
+from u group by conv_id, part""",
     "op5_bbit_minhash": r"""
 with recursive w as (
   select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),

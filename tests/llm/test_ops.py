@@ -160,6 +160,10 @@ def test_chat_round_trip(spark):
     n = sum(max(1, sum(x[1] == "assistant" for x in t)) if t[-1][1] == "assistant" or not any(x[1] == "assistant" for x in t) else 1 + sum(x[1] == "assistant" for x in t) for t in by.values())
     assert chat.expand(df).count() == n
     assert chat.digests(chat.expand(df.where("false"))).count() == 0
+    lone = df.withColumn("conv_id", F.lit(None).cast("long"))
+    assert chat.digests(chat.expand(lone)).where("n_turns = 1").count() == len(rows)
+    long = spark.createDataFrame([(1, 1, "user", "a [INST] " * 40_000), (1, 2, "assistant", "漢 </s>" * 40_000)], "conv_id long, turn long, role string, text string")
+    assert chat.digests(chat.expand(long)).first().loss_chars == 6 * 40_000
 
 
 def test_decontamination(spark):
@@ -204,19 +208,31 @@ def test_packing_keeps_every_token_and_every_constraint(spark):
     assert {r.doc_id for r in rows} == set(range(301))
     by_doc, bins = {}, {}
     for r in rows:
-        by_doc[r.doc_id] = by_doc.get(r.doc_id, 0) + r.n_tokens
+        by_doc[r.doc_id] = by_doc.get(r.doc_id, 0) + r.size
         if r.bin is not None:
             bins.setdefault((r.shard, r.bin), []).append(r)
     assert all(by_doc[i] == len((t or "").split()) for i, t in enumerate(texts))
     for b in bins.values():
         b.sort(key=lambda r: r.bin_offset)
-        assert sum(r.n_tokens for r in b) == b[0].bin_used <= 100
-        assert all(x.bin_offset + x.n_tokens == y.bin_offset for x, y in zip(b, b[1:], strict=False))
+        assert sum(r.size for r in b) == b[0].bin_used <= 100
+        assert all(x.bin_offset + x.size == y.bin_offset for x, y in zip(b, b[1:], strict=False))
         sources = [["hot", "hot", "a", None][r.doc_id % 4] for r in b if r.doc_id < 300]
         named = [s for s in sources if s]
         assert len(named) == len(set(named)) and len({r.doc_id % 5 for r in b}) == len(b)
 
 
+def test_packing_deals_repeated_rows_over_all_shards(spark):
+    df = docs(spark, ["w " * 60] * 400).withColumn("doc_id", F.lit(None).cast("long")).withColumn("shard", F.lit("x")).withColumn("size", F.lit("y"))
+    rows = packing.pack(df, packing.count_words(F.col("text")), packing.same_text(F.col("text")), capacity=100, shard_rows=50).collect()
+    shards = {}
+    for r in rows:
+        shards[r.shard] = shards.get(r.shard, 0) + 1
+    assert len(rows) == 400 and len(shards) == 8 and max(shards.values()) < 90
+    one = packing.pack(df, packing.count_words(F.col("text")), packing.same_text(F.col("text")), capacity=100, shards=1).collect()
+    assert {r.shard for r in one} == {0} and len({r.bin for r in one}) == 400
+    assert packing.pack(df.where("false"), F.lit(1), F.lit(1)).count() == 0
+
+
 def test_best_fit_is_the_tightest_compatible_bin():
     rnd = random.Random(8)
     items = [(rnd.randint(1, 60), rnd.randint(-1, 3), rnd.randint(-1, 9)) for _ in range(200)]
@@ -269,6 +285,27 @@ def test_classifiers_on_odd_rows(spark, odd):
     assert len(s) == len(odd) + 1 and all(0 <= r.score <= 1 for r in s)
     assert quality.score(df, quality.fit(df, labels.where("false"))).first().score == 0.5
     assert quality.keep_good(df, quality.fit(df, labels)).columns == df.columns
+    wide = df.union(df).withColumn("score", F.lit("x")).withColumn("rank", F.lit("y")).withColumn("label", F.lit(3)).withColumn("lang_pred", F.lit("z"))
+    assert (quality.fit(wide, labels) == quality.fit(df, labels)).all()
+    again = quality.score(wide, quality.fit(df, labels)).collect()
+    assert len(again) == 2 * len(s) and {(r.doc_id, r.score) for r in again} == {(r.doc_id, r.score) for r in s}
+    assert len(langid.predict(wide, langid.fit(df)).collect()) == 2 * len(p)
+    empty = df.where("false")
+    assert quality.score(empty, quality.fit(empty, labels)).count() == langid.predict(empty, langid.fit(empty)).count() == 0
+    odd_ids = spark.createDataFrame([(1, "good words here"), (1, "other words there"), (None, None)], "doc_id long, text string")
+    one = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    assert (quality.fit(odd_ids, one) == quality.fit(odd_ids.orderBy(F.desc("text")), one)).all()
+
+
+def test_languages_of_every_script_and_equal_cosines(spark):
+    texts = ["ꀀꀁꀂꀃ ꀄꀅꀆ", "ㄅㄆㄇ ㄈㄉㄊ", "𝐚𝐛𝐜 𝐝𝐞𝐟", "ꙀꙁꙂꙃ ꙄꙅꙆ", "Даже бы", "даже БЫ", "12 !?", "x" * 3_000_000]
+    df = spark.createDataFrame([(i, t, f"l{i}") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    made = langid.fit(df)
+    got = {r.doc_id: r for r in langid.predict(df, made).collect()}
+    assert [got[i].lang_pred for i in range(8)] == ["l0", "l1", "l2", "l3", "l4", "l4", "und", "l7"]
+    assert (langid.Profiles._vector(ord("ꀀ")) != langid.Profiles._vector(ord("ꀁ"))).any()
+    tie = {"b": made["l0"], "a": made["l0"]}
+    assert langid.predict(df.where("doc_id = 0"), tie).first().lang_pred == "a"
 
 
 def test_token_files_round_trip(spark, odd, tmp_path):
