@@ -1,4 +1,11 @@
-"""Licence scan by a positional rare-token index of licence templates."""
+"""Licence scan by a positional rare-token index of licence templates.
+
+Postings map a word to the (template, place) pairs that hold it. A file's licence words are taken in order
+of their inverse document frequency in the corpus, rarest first; each place of such a word votes, through
+the word's postings, for the starts at which a template would have it there. Votes are intersected by
+relative position: a start is verified if the template's own rarest mandatory word voted for it. Then the
+template's other words are met at their places, and its mandatory phrases must stand there.
+"""
 
 from __future__ import annotations
 
@@ -15,20 +22,52 @@ from tallyfold.llm.common import to_bytes
 # Phrases whose every place is reported, with their labels.
 BASE_PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-# Customary notice lines of licences (in the words of the licences), and the phrases that must be there.
+LEAST_SHARE = 0.4  # of a template's weight that must stand at its places
+NEAR = (4, 8)  # words before and after a template's place in which its mandatory phrases may stand
+
+# Texts and customary notices of licences (in the words of the licences), and the phrases that must be there.
 TEMPLATES: dict[str, tuple[str, tuple[str, ...]]] = {
     "apache-2.0": ("licensed under the apache license version 2 0", ("apache license", "2 0")),
+    "apache-2.0-notice": (
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
+        ("apache license", "as is basis"),
+    ),
     "mit": ("released under the mit license", ("mit license",)),
-    "mit-grant": ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", ("permission is hereby granted", "free of charge")),
-    "bsd": ("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ("redistribution and use", "source and binary forms")),
-    "isc": ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ("with or without fee",)),
+    "mit-text": (
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+        ("permission is hereby granted", "free of charge"),
+    ),
+    "bsd-3-clause": (
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met 1 redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer 2 redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution 3 neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+        ("redistribution and use", "source and binary forms", "neither the name"),
+    ),
+    "bsd-2-clause": (
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met 1 redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer 2 redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+        ("redistribution and use", "source and binary forms"),
+    ),
+    "isc": (
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits",
+        ("with or without fee",),
+    ),
+    "zlib": (
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions the origin of this software must not be misrepresented you must not claim that you wrote the original software altered source versions must be plainly marked as such and must not be misrepresented as being the original software this notice may not be removed or altered from any source distribution",
+        ("must not be misrepresented",),
+    ),
     "gpl-2.0": ("licensed under the gnu general public license version 2", ("general public license version 2",)),
     "gpl-3.0": ("licensed under the gnu general public license version 3", ("general public license version 3",)),
+    "gpl-notice": (
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details you should have received a copy of the gnu general public license along with this program",
+        ("gnu general public license", "any later version"),
+    ),
     "lgpl": ("licensed under the gnu lesser general public license", ("lesser general public license",)),
     "agpl": ("licensed under the gnu affero general public license", ("affero general public license",)),
-    "mpl-2.0": ("this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
-    "epl-2.0": ("made available under the terms of the eclipse public license 2 0", ("eclipse public license",)),
-    "unlicense": ("this is free and unencumbered software released into the public domain", ("unencumbered software", "public domain")),
+    "mpl-2.0": ("this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at", ("mozilla public license",)),
+    "epl-2.0": ("this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at", ("eclipse public license",)),
+    "bsl-1.0": ("distributed under the boost software license version 1 0", ("boost software license",)),
+    "unlicense": (
+        "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
+        ("unencumbered software", "public domain"),
+    ),
     "cc-by-4.0": ("licensed under cc by 4 0", ("cc by 4 0",)),
     "cc-by-nc-4.0": ("licensed under cc by nc 4 0", ("cc by nc 4 0",)),
     "cc-by-sa-4.0": ("licensed under cc by sa 4 0", ("cc by sa 4 0",)),
@@ -46,49 +85,74 @@ def words(text: bytes) -> list[bytes]:
 
 
 class Index:
-    """Postings word -> (template, place), with the words' inverse document frequencies."""
+    """Postings word -> (template, place) of the rare words, with the words' inverse document frequencies.
+
+    Base phrases are templates too, all of whose words are mandatory. A template's anchor is its mandatory
+    word of highest IDF; only words at least as rare as the least rare anchor are looked up, since a start
+    counts only with its template's anchor.
+    """
 
     def __init__(self, templates: dict, frequencies: dict[str, int], documents: int):
-        self.names = list(templates)
-        self.texts = [t.encode().split() for t, _ in templates.values()]
-        self.phrases = [[p.encode().split() for p in ps] for _, ps in templates.values()]
+        self.names = [*BASE_PHRASES.values(), *templates]
+        self.n_base = len(BASE_PHRASES)
+        self.texts = [p.encode().split() for p in [*BASE_PHRASES, *(t for t, _ in templates.values())]]
+        self.phrases = [[t] for t in self.texts[: self.n_base]] + [[p.encode().split() for p in ps] for _, ps in templates.values()]
+        vocabulary = sorted({w for t in self.texts for w in t} | {w for ps in self.phrases for p in ps for w in p})
+        self.idf = {w: math.log((1 + documents) / (1 + frequencies.get(w.decode(), 0))) + 1 for w in vocabulary}
+        self.weight = [sum(self.idf[w] for w in t) for t in self.texts]
+        # Words that are mandatory and stand in the template; the rarest is the anchor.
+        needed = [sorted({w for p in ps for w in p if w in set(t)}) for t, ps in zip(self.texts, self.phrases, strict=True)]
+        self.anchors = [max(need, key=lambda w: self.idf[w]) for need in needed]
+        least = min(self.idf[a] for a in self.anchors)
         self.postings: dict[bytes, list[tuple[int, int]]] = {}
         for k, text in enumerate(self.texts):
             for i, w in enumerate(text):
-                self.postings.setdefault(w, []).append((k, i))
-        self.idf = {w: math.log((1 + documents) / (1 + frequencies.get(w.decode(), 0))) + 1 for w in self.postings}
-        self.weight = [sum(self.idf[w] for w in t) for t in self.texts]
-        self.base = [(p.encode().split(), label) for p, label in BASE_PHRASES.items()]
-        self.starts = {p[0] for p, _ in self.base}
-        self.vocabulary = set(self.postings)
-        self.needed = [{w for p in ps for w in p} for ps in self.phrases]
-        # The rarest word that must be there fixes where a template may stand.
-        self.anchors = [max(sorted(need), key=lambda w: self.idf.get(w, 0)) for need in self.needed]
+                if self.idf[w] >= least:
+                    self.postings.setdefault(w, []).append((k, i))
+        self.order = {w: n for n, w in enumerate(sorted(self.postings, key=lambda w: (-self.idf[w], w)))}
+        self.lookup = frozenset(self.postings)
+        self.rare = frozenset(self.anchors)
+
+    def starts(self, found: list[bytes]) -> dict[tuple[int, int], float]:
+        """(template, start) pairs that the template's anchor voted for, with the weight of all votes."""
+        if self.rare.isdisjoint(found):
+            return {}
+        places: dict[bytes, list[int]] = {}
+        for i, w in enumerate(found):
+            if w in self.lookup:
+                places.setdefault(w, []).append(i)
+        votes: dict[tuple[int, int], float] = {}
+        anchored: set[tuple[int, int]] = set()
+        for w in sorted(places, key=self.order.__getitem__):  # rarest first
+            weight = self.idf[w]
+            for k, at in self.postings[w]:
+                is_anchor = self.anchors[k] == w
+                for i in places[w]:
+                    key = (k, i - at)
+                    votes[key] = votes.get(key, 0.0) + weight
+                    if is_anchor:
+                        anchored.add(key)
+        return {key: votes[key] for key in anchored}
 
     def scan(self, found: list[bytes]) -> tuple[list[int], set[str], float]:
         """Starts of the base phrases, all labels, and the best share of a template's weight."""
         places, labels, best = [], set(), 0.0
-        if not self.starts.isdisjoint(found):
-            for i in [i for i, w in enumerate(found) if w in self.starts]:
-                for phrase, label in self.base:
-                    if found[i : i + len(phrase)] == phrase:
-                        places.append(i)
-                        labels.add(label)
-                        best = max(best, 0.5)
-        present = self.vocabulary.intersection(found)
-        for k, text in enumerate(self.texts):
-            if not self.needed[k] <= present:
-                continue
-            places_in_text = [at for t, at in self.postings[self.anchors[k]] if t == k]
-            for start in {i - at for i, w in enumerate(found) if w == self.anchors[k] for at in places_in_text}:
-                met = sum(self.idf[w] for j, w in enumerate(text) if 0 <= start + j < len(found) and found[start + j] == w)
-                share = met / self.weight[k]
-                if share < 0.4:
-                    continue
-                near = found[max(0, start - 4) : start + len(text) + 8]
-                if all(any(near[j : j + len(p)] == p for j in range(len(near))) for p in self.phrases[k]):
+        for (k, start), _ in self.starts(found).items():
+            text = self.texts[k]
+            if k < self.n_base:
+                if start >= 0 and found[start : start + len(text)] == text:
+                    places.append(start)
                     labels.add(self.names[k])
-                    best = max(best, min(1.0, share))
+                    best = max(best, 0.5)
+                continue
+            met = sum(self.idf[w] for j, w in enumerate(text) if 0 <= start + j < len(found) and found[start + j] == w)
+            share = met / self.weight[k]
+            if share < LEAST_SHARE:
+                continue
+            near = found[max(0, start - NEAR[0]) : max(0, start + len(text) + NEAR[1])]
+            if all(any(near[j : j + len(p)] == p for j in range(len(near))) for p in self.phrases[k]):
+                labels.add(self.names[k])
+                best = max(best, min(1.0, share))
         return places, labels, best
 
 
@@ -114,15 +178,16 @@ def scan(docs: DataFrame, templates: dict | None = None, id_col: str = "doc_id",
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for every row of `docs`.
 
     Words are runs of digits, letters and non-ASCII bytes, A-Z lower-cased. Base phrases are found at
-    every place where their words stand in a row. A template is looked up by its mandatory word of highest IDF in
-    the corpus: each place of that word fixes where the template would start, its other words are met by
-    relative position, and it counts if they hold 40 % of its IDF weight and all its mandatory phrases
-    stand there. score: the largest such share; 0.5 for base phrases alone; 0 without a label. Null texts
-    count as empty; repeated rows and null ids come back as they are; other columns are ignored.
+    every place where their words stand in a row. A template counts at a start where its anchor (its
+    mandatory word of highest IDF) stands in place, its words in place hold 40 % of its IDF weight, and all
+    its mandatory phrases stand there or a few words off. score: the largest such share; 0.5 for base
+    phrases alone; 0 without a label; equal shares score alike. Texts are read whole; null texts count as
+    empty; repeated rows and null ids come back as they are; an empty table gives no rows; other columns
+    are ignored.
     """
     templates = TEMPLATES if templates is None else templates
-    vocabulary = {w for t, _ in templates.values() for w in t.encode().split()}
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    vocabulary = {w for t in [*BASE_PHRASES, *(t for t, _ in templates.values()), *(p for _, ps in templates.values() for p in ps)] for w in t.encode().split()}
     frequencies, n = word_frequencies(texts, vocabulary)
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

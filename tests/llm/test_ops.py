@@ -250,20 +250,53 @@ def test_best_fit_is_the_tightest_compatible_bin():
         held[want][1].add(c)
 
 
-def test_license_scan_matches_brute_force(spark, odd):
-    texts = [*odd, "All Rights Reserved. all rights\nreserved", "CC BY-NC 4.0 cc-by", "GNU General Public License, version 3 general public license version 3 all rights reserved", "Licensed under the Apache License, Version 2.0.", "apache pie version 2.0", "Released under the MIT License."]
-    got = {r.doc_id: r for r in license.scan(docs(spark, texts)).collect()}
-    for i, t in enumerate(texts):
-        w = re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (t or "").encode()))
+def plain_licences(texts):
+    """labels, score and base places of each text, by trying every template at every start."""
+    split = [re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (t or "").encode())) for t in texts]
+    held = {}
+    for w in split:
+        for x in set(w):
+            held[x] = held.get(x, 0) + 1
+    idf = lambda w: np.log((1 + len(texts)) / (1 + held.get(w, 0))) + 1
+    out = []
+    for w in split:
         places = sorted((k, label) for k in range(len(w)) for p, label in license.BASE_PHRASES.items() if w[k : k + len(p.split())] == p.encode().split())
-        r = got[i]
-        assert (r.n_words, r.n_base) == (len(w), len(places))
+        labels, best = {p[1] for p in places}, 0.5 if places else 0.0
+        for name, (text, phrases) in license.TEMPLATES.items():
+            text, phrases = text.encode().split(), [p.encode().split() for p in phrases]
+            anchor = max(sorted({x for p in phrases for x in p if x in text}), key=idf)
+            weight = sum(idf(x) for x in text)
+            for start in range(-len(text), len(w)):
+                here = [j for j, x in enumerate(text) if 0 <= start + j < len(w) and w[start + j] == x]
+                share = sum(idf(text[j]) for j in here) / weight
+                near = w[max(0, start - 4) : max(0, start + len(text) + 8)]
+                if share >= 0.4 and any(text[j] == anchor for j in here) and all(any(near[j : j + len(p)] == p for j in range(len(near))) for p in phrases):
+                    labels.add(name)
+                    best = max(best, share)
+        out.append((len(w), places, ",".join(sorted(labels)), best))
+    return out
+
+
+def test_license_scan_matches_brute_force(spark, odd):
+    rnd = random.Random(11)
+    full = [t for t, _ in license.TEMPLATES.values()]
+    texts = [x for x in odd if len(x or "") < 5000]
+    texts += ["All Rights Reserved. all rights\nreserved", "CC BY-NC 4.0 cc-by", "GNU General Public License, version 3 general public license version 3 all rights reserved", "Licensed under the Apache License, Version 2.0.", "apache pie version 2.0", "Released under the MIT License."]
+    n = len(texts) - 6
+    for t in full:
+        texts += ["x y " + t + " z", t.upper(), " ".join(x if rnd.random() < 0.8 else "zz" for x in t.split()), " ".join(t.split()[: rnd.randint(3, len(t.split()))]), " ".join(rnd.choices(t.split(), k=40)), t[: len(t) // 2] + " and " + rnd.choice(full)]
+    df = docs(spark, texts).withColumn("labels", F.lit("x")).withColumn("score", F.lit(1)).withColumn("w", F.lit(2))
+    got = {r.doc_id: r for r in license.scan(df.union(df)).collect()}
+    want = plain_licences(texts + texts)
+    for i in range(len(texts)):
+        r, (size, places, labels, best) = got[i], want[i]
+        assert (r.n_words, r.n_base, r.labels) == (size, len(places), labels)
         assert (r.first_word, r.last_word) == ((places[0][0], places[-1][0]) if places else (None, None))
         assert r.base_labels == ",".join(sorted({p[1] for p in places}))
-        assert set(r.base_labels.split(",")) - {""} <= set(r.labels.split(",")) and 0 <= r.score <= 1
-    n = len(odd)
-    assert [got[n + k].labels for k in (3, 4, 5)] == ["apache-2.0", "", "mit"]
+        assert r.score == pytest.approx(best)
+    assert got[n + 3].labels == "apache-2.0" and got[n + 4].labels == "" and got[n + 5].labels == "mit"
     assert "cc-by-nc-4.0" in got[n + 1].labels and "gpl-3.0" in got[n + 2].labels
+    assert license.scan(df.where("false")).count() == 0
 
 
 def test_language_and_quality_on_held_out_rows(spark):
