@@ -376,6 +376,46 @@ def test_html_extraction(spark):
     assert len(got) == 7 and all(t == want[i] and n == len(t) for i, t, n in got)
 
 
+def test_html_attributes_and_names_that_only_look_like_boilerplate(spark):
+    pages = [
+        '<body><article><div class="article-header"><h1>Title</h1></div><div class="comment-on-law"><p>Body</p></div><p>rest</p></article></body>',
+        "<body><p title=it's>One</p><p data-x=a/b'c\">two</p></body>",
+        '<body><main><header><h1>T</h1></header><p hidden>no</p><p title="a > b" class=x>yes</p><div id="comments"><p>no</p></div><div class="user-comments list"><p>no</p></div><div class="adverse">ok</div></main></body>',
+        "<p>1 < 2 & 3 &gt; 2</p><p>unclosed <b>bold<p>next",
+        "<p>" + "long words " * 200_000 + "</p>",
+    ]
+    df = spark.createDataFrame([(i, f"http://h{i}.example/", x) for i, x in enumerate(pages)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in htmlwrap.extract(df).collect()}
+    assert [got[i] for i in range(4)] == ["Title\nBody\nrest", "One\ntwo", "T\nyes\nok", "1 < 2 & 3 > 2\nunclosed bold\nnext"]
+    assert got[4] == ("long words " * 200_000).strip()
+    assert htmlwrap.extract(df.where("false")).count() == 0
+
+
+def test_html_of_a_host_that_only_its_wrapper_explains(spark):
+    def page(i, n, extra=""):
+        body = "".join(f"<div>Sentence {i} {k} of the text.</div>" for k in range(n))
+        return f"<html><body><div><div>My Site</div><div><a href=/a>Home</a> <a href=/b>About</a></div></div><div><h2>Head {i}</h2>{body}<h4>Tell your friends</h4>{extra}</div><div>All rights ours</div></body></html>"
+
+    rows = [(i, "http://plain.example/p", page(i, 2 + i % 4)) for i in range(12)]
+    rows.append((99, "http://plain.example/p", page(99, 3, "<table><tr><td>new form</td></tr></table>")))
+    got = {r.page_id: r.text for r in htmlwrap.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(12):
+        assert got[i] == "\n".join([f"Head {i}", *(f"Sentence {i} {k} of the text." for k in range(2 + i % 4))])
+    assert got[99].split("\n")[0] == "Head 99" and "new form" in got[99]  # a page of another form
+    made = htmlwrap.wrappers(spark.createDataFrame(rows[:12], "page_id long, url string, html string")).first()
+    assert "My Site" in made.wrapper and "#" in made.wrapper and made.n_sample == 8
+
+
+def test_wrappers_are_shared_out_when_they_are_many(spark, monkeypatch):
+    monkeypatch.setattr(htmlwrap, "BROADCAST_CHARS", 0)
+    rows = [(i, f"http://h{i % 3}.example/", f"<body><nav>n</nav><div><p>text {i}</p></div></body>") for i in range(30)]
+    got = {r.page_id: r.text for r in htmlwrap.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"text {i}" for i in range(30)}
+
+
 def test_wrappers_repeat_and_option():
-    w = htmlwrap.align(htmlwrap.fold(["<p>", "#a", "</p>"] * 3), htmlwrap.fold(["<h1>", "#t", "</h1>"] + ["<p>", "#b", "</p>"] * 2))
-    assert "".join(w) == "(<h1>#</h1>)?(<p>#</p>)+"
+    w = htmlwrap.align(htmlwrap.fold(["<p>", ["#", "a"], "</p>"] * 3), ["<h1>", ["#", "t"], "</h1>"] + ["<p>", ["#", "b"], "</p>"] * 4)
+    assert htmlwrap.shown(w) == "(<h1>#</h1>)?(<p>#</p>)+"
+    nav = lambda n, x: ["<ul>", *["<li>", ["#", x], "</li>"] * n, "</ul>", ["#", "same"]]
+    w = htmlwrap.align(htmlwrap.fold(nav(1, "a")), nav(4, "b"))
+    assert htmlwrap.shown(w) == "<ul>(<li>#</li>)+</ul>same" and htmlwrap.align(w, nav(2, "c")) == w
