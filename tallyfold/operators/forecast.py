@@ -27,7 +27,7 @@ def drift_forecast(series: DataFrame, keys: list[str], horizon: int, value: str
 def backtest(series: DataFrame, keys: list[str], horizon: int, origins: int = 5, min_train: int = 100, value: str = "value") -> DataFrame:
     """forecast at each origin against the row `horizon` later; running windows hold every origin's fit.
 
-    Series shorter than min_train + horizon + 1 give no rows.
+    Series of min_train + horizon + 1 rows or fewer give no rows.
     """
     w = by(*keys)
     run = w.rowsBetween(Window.unboundedPreceding, 0)
@@ -35,7 +35,7 @@ def backtest(series: DataFrame, keys: list[str], horizon: int, origins: int = 5,
     s = s.withColumn("drift", F.avg("d").over(run)).withColumn("sigma", F.stddev_pop("d").over(run)).withColumn("actual", F.lead(value, horizon).over(w))
     a, b = F.lit(min_train), F.col("n") - horizon - 1
     at = F.transform(F.sequence(F.lit(0), F.lit(origins - 1)), lambda k: F.floor(a + (b - a) * k / max(1, origins - 1)))
-    s = s.where((F.col("n") >= min_train + horizon + 1) & F.array_contains(at, F.col("i").cast("long")))
+    s = s.where((F.col("n") > min_train + horizon + 1) & F.array_contains(at, F.col("i").cast("long")))
     point = F.col(value) + horizon * F.col("drift")
     out = s.withColumn("point", point)
     for p in (0.8, 0.95):

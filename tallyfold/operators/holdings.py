@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyfold.operators.temporal import asof_join, densify
+from tallyfold.operators.temporal import carry
 
 EPS = 1e-9
 KEY = ["portfolio", "symbol"]
@@ -17,28 +18,33 @@ KEY = ["portfolio", "symbol"]
 def mark_oversold(trades: DataFrame, keys: list[str] = KEY, order: tuple[str, ...] = ("date", "row_idx")) -> DataFrame:
     """V8: adds `rejected`: sells of more than is held at that point; a rejected sell changes nothing.
 
-    The fold is not linear, so positions are walked trade by trade: rows are dealt by position, sorted (Spark
-    spills), and streamed through one state per position. No position is held in memory whole.
+    Until a position's running quantity first falls below zero nothing is rejected, which windows find. Only
+    from there on is it walked trade by trade, as the fold is not linear: rows come dealt by position and
+    sorted (Spark spills), and stream through one state. No position is held in memory whole.
     """
     names = trades.columns
-    at = {n: i for i, n in enumerate(names)}
+    at = {n: i for i, n in enumerate([*names, "__run", "__low"])}
+    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    signed = F.when(F.col("kind") == "BUY", F.col("qty")).when(F.col("kind") == "SELL", -F.col("qty")).otherwise(0.0)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, last = 0.0, None
         for b in batches:
-            out = []
-            for k, kind, q in zip(zip(*(b.column(at[c]).to_pylist() for c in keys), strict=True), b.column(at["kind"]).to_pylist(), b.column(at["qty"]).to_pylist(), strict=True):
-                if k != last:
-                    held, last = 0.0, k
+            out = np.zeros(b.num_rows, bool)
+            rows = np.flatnonzero(b.column(at["__low"]).to_numpy(zero_copy_only=False) < -EPS)
+            part = b.take(pa.array(rows))
+            for i, k, kind, q, run in zip(rows, zip(*(part.column(at[c]).to_pylist() for c in keys), strict=True), *(part.column(at[c]).to_pylist() for c in ("kind", "qty", "__run")), strict=True):
+                if k != last:  # the sell at which the position first falls below zero
+                    held, last = run + q, k
                 bad = kind == "SELL" and q > held + EPS
                 if kind == "BUY":
                     held += q
                 elif kind == "SELL" and not bad:
                     held -= q
-                out.append(bad)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.bool_())], names=[*names, "rejected"])
+                out[i] = bad
+            yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(out)], names=[*names, "rejected"])
 
-    dealt = trades.repartition(*keys).sortWithinPartitions(*keys, *order)
+    dealt = trades.withColumn("__run", F.sum(signed).over(w)).withColumn("__low", F.min("__run").over(w))
     return dealt.mapInArrow(walk, ", ".join(f"`{n}` {t}" for n, t in trades.dtypes) + ", rejected boolean")
 
 
@@ -76,7 +82,7 @@ def positions(day_moves: DataFrame, keys: list[str] = KEY) -> DataFrame:
 
 def daily_cube(held: DataFrame, until, keys: list[str] = KEY) -> DataFrame:
     """H4: each position's state on every day from its first move to `until`."""
-    return asof_join(densify(held, keys, "date", until), held, keys, "date", "date", ["qty", "cost"])
+    return carry(held, keys, "date", until, ["qty", "cost"])
 
 
 def net_invested_cube(ledger: DataFrame, until, keys: list[str] = KEY) -> DataFrame:
@@ -85,15 +91,24 @@ def net_invested_cube(ledger: DataFrame, until, keys: list[str] = KEY) -> DataFr
     d = ledger.groupBy(*keys, "date").agg(F.sum(F.when(buy, F.col("qty")).otherwise(-F.col("qty"))).alias("dq"), F.sum(F.when(buy, F.col("price") * F.col("qty")).otherwise(-F.col("price") * F.col("qty"))).alias("dc"))
     w = Window.partitionBy(*keys).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     run = d.select(*keys, "date", F.sum("dq").over(w).alias("qty"), F.sum("dc").over(w).alias("net_invested"))
-    return asof_join(densify(run, keys, "date", until), run, keys, "date", "date", ["qty", "net_invested"])
+    return carry(run, keys, "date", until, ["qty", "net_invested"])
 
 
-def mark_to_market(cube: DataFrame, prices: DataFrame) -> DataFrame:
-    """M1: cube rows with the last close and market value; 0 where never priced."""
-    m = asof_join(cube, prices, ["symbol"], "date", "date", ["close"])
+def mark_to_market(cube: DataFrame, prices: DataFrame, until) -> DataFrame:
+    """M1: cube rows with the last close and market value; 0 where never priced.
+
+    Closes are carried to every day once, by symbol; the cube then meets them by symbol and day, so no
+    symbol's positions stand in one task.
+    """
+    m = cube.join(carry(prices, ["symbol"], "date", until, ["close"]), ["symbol", "date"], "left")
     return m.withColumn("mv", F.col("qty") * F.coalesce("close", F.lit(0.0)))
 
 
+def fill_gaps(marked: DataFrame) -> DataFrame:
+    """`value` is the market value, or the cost where something is held and has no value."""
+    return marked.withColumn("value", F.when((F.col("qty") > 0) & (F.abs("mv") < EPS), F.col("cost")).otherwise(F.col("mv")))
+
+
 def cash_delta(ledger: DataFrame) -> DataFrame:
     """K1: per portfolio and day cash in less cash out; buys are funded from outside."""
     k, p = F.col("kind"), F.col("price")
@@ -107,10 +122,10 @@ def running_cash(deltas: DataFrame) -> DataFrame:
     return deltas.select("portfolio", "date", F.sum("delta").over(w).alias("balance"))
 
 
-def nav(marked: DataFrame, cash: DataFrame) -> DataFrame:
-    """Market value, cost, carried cash and net asset value by portfolio and day."""
+def nav(marked: DataFrame, cash: DataFrame, until) -> DataFrame:
+    """Market value, cost, carried cash and net asset value by portfolio and day up to `until`."""
     day = marked.groupBy("portfolio", "date").agg(F.sum("mv").alias("mv"), F.sum("cost").alias("cost"))
-    n = asof_join(day, cash, ["portfolio"], "date", "date", ["balance"]).withColumn("cash", F.coalesce("balance", F.lit(0.0))).drop("balance")
+    n = day.join(carry(cash, ["portfolio"], "date", until, ["balance"]), ["portfolio", "date"], "left").withColumn("cash", F.coalesce("balance", F.lit(0.0))).drop("balance")
     return n.withColumn("nav", F.col("mv") + F.col("cash"))
 
 

@@ -6,10 +6,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyfold.functions.stats import DAYS, by, full, ratio
+from tallyfold.sources.shared import shared_dir
 
 FEATURES = ["ret_1", "ret_5", "ret_21", "vol_10", "vol_21", "vol_63", "mom_10", "mom_21", "ma_20", "ma_50", "price_ma_20", "price_ma_50", "volume_z_21", "drawdown_60"]
 
 
+TREE_ROWS = 100_000  # training rows of a partition
+
+
 def features(prices: DataFrame, key: str = "symbol") -> DataFrame:
     """All columns over one partitioning and order; null until each window is full."""
     w = by(key)
@@ -41,16 +45,19 @@ def date_ranks(rows: DataFrame) -> DataFrame:
 
 
 def splits(rows: DataFrame, train: float = 0.7, val: float = 0.15) -> DataFrame:
-    """Date, split by rank of the distinct date."""
-    a, b = F.floor(F.col("n") * train), F.floor(F.col("n") * train) + F.floor(F.col("n") * val)
+    """Date, split by rank of the distinct date; training ends before int(n * train), validation before int(n * (train + val))."""
+    a, b = F.floor(F.col("n") * train), F.floor(F.col("n") * (train + val))
     return date_ranks(rows).select("date", F.when(F.col("rank") < a, "train").when(F.col("rank") < b, "val").otherwise("test").alias("split"))
 
 
 def folds(rows: DataFrame, k: int = 5) -> DataFrame:
-    """Fold, date, part: expanding training blocks and the block after each as test."""
+    """Fold, date, part: expanding training blocks and the block after each as test.
+
+    Block j of k + 1 ends before the date of rank int(n * j / (k + 1)).
+    """
     r = date_ranks(rows).where(F.col("n") >= k + 1)
-    block = F.least(F.floor(F.col("rank") * (k + 1) / F.col("n")), F.lit(k))
-    r = r.withColumn("block", block).withColumn("fold", F.explode(F.sequence(F.lit(1), F.lit(k))))
+    ends = F.transform(F.sequence(F.lit(1), F.lit(k + 1)), lambda j: F.floor(F.col("n") * j / (k + 1)))
+    r = r.withColumn("block", F.size(F.filter(ends, lambda e: e <= F.col("rank")))).withColumn("fold", F.explode(F.sequence(F.lit(1), F.lit(k))))
     return r.where("block <= fold").select(F.col("fold"), "date", F.when(F.col("block") < F.col("fold"), "train").otherwise("test").alias("part"))
 
 
@@ -99,6 +106,21 @@ def binary_metrics(rows: DataFrame, keys: list[str], label: str = "label", predi
     return j.select(*keys, "precision", "recall", "f1", F.when(both, F.col("wins") / F.when(both, F.col("pos") * (F.col("n") - F.col("pos")))).alias("roc_auc"), F.when(both, F.col("ap") / F.when(both, F.col("pos"))).alias("pr_auc"))
 
 
+def against_baseline(model: DataFrame, baseline: DataFrame, keys: list[str]) -> DataFrame:
+    """The model's metrics less the baseline's, and whether it beats it on both F1 and PR-AUC."""
+    j = model.join(baseline.select(*keys, F.col("f1").alias("__f1"), F.col("pr_auc").alias("__pr")), keys)
+    d_f1, d_pr = F.col("f1") - F.col("__f1"), F.col("pr_auc") - F.col("__pr")
+    return j.select(*model.columns, d_f1.alias("delta_f1"), d_pr.alias("delta_pr_auc"), F.coalesce((d_f1 > 0) & (d_pr > 0), F.lit(False)).alias("better"))
+
+
+def promotion(metrics: DataFrame, least: float = 0.05) -> DataFrame:
+    """Of (model, version, delta_f1): whether each version is promoted, and why or why not."""
+    ok = F.coalesce(F.col("delta_f1") >= least, F.lit(False))
+    gain = F.format_string("%.4f", F.col("delta_f1"))
+    why = F.when(ok, F.concat(F.lit("promoted: F1 beats the baseline by "), gain, F.lit(f", at least {least:.4f}"))).otherwise(F.concat(F.lit("rejected: F1 beats the baseline by only "), gain, F.lit(f", under {least:.4f}; the version in production stays")))
+    return metrics.select("model", "version", ok.alias("promoted"), why.alias("reason"))
+
+
 def dataset_version(prices: DataFrame) -> DataFrame:
     """Order-independent content hash (sum of row digests), rows, symbols and date range."""
     row = F.conv(F.substring(F.md5(F.concat_ws("|", "symbol", F.date_format("date", "yyyy-MM-dd"), F.round("close", 9).cast("decimal(20,9)").cast("string"), F.col("volume").cast("string"))), 1, 12), 16, 10).cast("decimal(38,0)")
@@ -107,10 +129,15 @@ def dataset_version(prices: DataFrame) -> DataFrame:
 
 def leakage(prices: DataFrame, cut: str) -> DataFrame:
     """Rows whose features change when every price after `cut` is taken away; must be empty."""
-    cols = ["symbol", "date", *[F.round(c, 9).alias(c) for c in FEATURES]]
+    return changed_without_future(prices, cut, features, FEATURES)
+
+
+def changed_without_future(prices: DataFrame, cut: str, make, columns: list[str]) -> DataFrame:
+    """symbol, date of rows up to `cut` for which `make` gives other `columns` once later prices are gone."""
+    cols = ["symbol", "date", *[F.round(c, 9).alias(c) for c in columns]]
     day = F.lit(cut).cast("date")
-    whole = features(prices).where(F.col("date") <= day).select(*cols)
-    part = features(prices.where(F.col("date") <= day)).select(*cols)
+    whole = make(prices).where(F.col("date") <= day).select(*cols)
+    part = make(prices.where(F.col("date") <= day)).select(*cols)
     return whole.exceptAll(part).select("symbol", "date")
 
 
@@ -119,15 +146,14 @@ def train_trees(rows: DataFrame, max_iter: int = 200, label: str = "label", seed
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    from tallyfold.llm.common import shared_dir
-
     context = rows.sparkSession.sparkContext
     if not context.getCheckpointDir():  # each tree adds to the lineage, which the model's checkpoints cut
         context.setCheckpointDir(shared_dir(rows.sparkSession))
     c = rows.agg(F.sum(label).alias("p"), F.count("*").alias("n")).first()
     weight = (c["n"] - c["p"]) / c["p"] if c["p"] else 1.0
     made = VectorAssembler(inputCols=FEATURES, outputCol="features")
-    x = made.transform(rows).withColumn("w", F.when(F.col(label) == 1, float(weight)).otherwise(1.0)).select("features", "w", label).persist()
+    x = made.transform(rows).withColumn("w", F.when(F.col(label) == 1, float(weight)).otherwise(1.0)).select("features", "w", label)
+    x = x.repartition(max(1, -(-c["n"] // TREE_ROWS))).persist()  # a tree is some jobs over all parts, so small tables get few
     gbt = GBTClassifier(labelCol=label, weightCol="w", maxIter=max_iter, maxDepth=3, stepSize=0.05, subsamplingRate=0.8, featureSubsetStrategy="0.8", checkpointInterval=10, seed=seed)
     model = gbt.fit(x)
     x.unpersist()

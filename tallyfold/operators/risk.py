@@ -50,6 +50,32 @@ def correlations(returns: DataFrame, group: list[str], asset: str, r: str = "r")
     return a.join(b, [*group, "date"]).where("a <= b").groupBy(*group, "a", "b").agg(correlation("x", "y").alias("corr"), F.count("*").alias("n"))
 
 
+def in_window(series: DataFrame, keys: list[str], start: str | None = None, end: str | None = None, least: int = 3) -> DataFrame:
+    """The rows of [start, end], of keys that have at least `least` there; start must be before end."""
+    if start is not None and end is not None and start >= end:
+        raise ValueError("start must be before end")
+    inside = F.lit(True)
+    if start is not None:
+        inside = inside & (F.col("date") >= F.lit(start).cast("date"))
+    if end is not None:
+        inside = inside & (F.col("date") <= F.lit(end).cast("date"))
+    n = F.count("*").over(Window.partitionBy(*keys))
+    return series.where(inside).withColumn("__n", n).where(F.col("__n") >= least).drop("__n")
+
+
+def report(series: DataFrame, benchmark: DataFrame, keys: list[str], value: str = "value", rf: float = 0.07, confidence: float = 0.95, start: str | None = None, end: str | None = None) -> DataFrame:
+    """All measures R1-R9 of each value series within a window, one row for each key.
+
+    series: keys, date, value (R11); benchmark: date, b. Portfolios with under three rows are left out.
+    """
+    s = in_window(series, keys, start, end)
+    w = by(*keys)
+    x = s.withColumn("r", ratio(F.col(value), F.lag(value).over(w)) - 1)
+    span = s.groupBy(*keys).agg(F.min("date").alias("window_start"), F.max("date").alias("window_end"))
+    x = x.where("r is not null")
+    return span.join(summary(x, keys, rf, confidence), keys).join(conditional_var(x, keys, confidence), keys).join(beta_alpha(x, benchmark, keys, rf), keys, "left").join(max_drawdown(s, keys, value), keys)
+
+
 def current_holdings_series(weights: DataFrame, prices: DataFrame) -> DataFrame:
     """Value of today's holdings over all dates on which every held symbol was priced.
 

@@ -26,8 +26,13 @@ def asof_join(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str,
 
     Both sides are stacked and one window carries the last right row along, so the work is one shuffle and one
     sort, whatever the sides' sizes; no pair of rows is formed. Of right rows with equal keys and time the
-    greatest values win. `tolerance_days` limits the distance; `direction` is backward or forward.
+    greatest values win. `tolerance_days` limits the distance; `direction` is backward or forward. Null keys
+    and times match nothing: such left rows come back with nulls, such right rows take no part.
     """
+    known = F.col(right_ts).isNotNull()
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    right = right.where(known)
     back = direction == "backward"
     names = left.columns
     l = left.select(*keys, F.col(left_ts).alias("__t"), F.lit(1 if back else 0).alias("__s"), F.struct(*names).alias("__l"), F.lit(None).cast(right.select(F.struct(F.col(right_ts).alias("t"), *values).alias("x")).schema["x"].dataType).alias("__r"))
@@ -35,7 +40,7 @@ def asof_join(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str,
     order = [F.col("__t"), F.col("__s"), F.col("__r")] if back else [F.col("__t").desc(), F.col("__s").desc(), F.col("__r")]
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     both = l.unionByName(r).withColumn("__r", F.last("__r", ignorenulls=True).over(w)).where("__l is not null")
-    near = F.lit(True) if tolerance_days is None else F.abs(F.datediff("__t", F.col("__r.t"))) <= tolerance_days
+    near = F.col("__t").isNotNull() if tolerance_days is None else F.abs(F.datediff("__t", F.col("__r.t"))) <= tolerance_days
     return both.select("__l.*", *[F.when(near, F.col(f"__r.{v}")).alias(v) for v in values])
 
 
@@ -45,6 +50,18 @@ def densify(rows: DataFrame, keys: list[str], date: str, until: Column) -> DataF
     return first.select(*keys, F.explode(F.sequence("__first", until)).alias(date))
 
 
+def carry(rows: DataFrame, keys: list[str], date: str, until: Column, values: list[str]) -> DataFrame:
+    """D10 on D11: every day from each row's date to the day before the next one of its keys, the last to `until`.
+
+    One window over the rows themselves, before they are spread over days; days are made in place, without a
+    join. Of rows with equal keys and date one counts; rows after `until` or without a date are left out.
+    """
+    r = rows.where(F.col(date) <= until)
+    last = F.coalesce(F.date_sub(F.lead(date).over(Window.partitionBy(*keys).orderBy(date)), 1), until)
+    r = r.withColumn("__last", last).where(F.col("__last") >= F.col(date))
+    return r.select(*keys, F.explode(F.sequence(date, "__last")).alias(date), *values)
+
+
 def scd2_upsert(current: DataFrame, incoming: DataFrame, key: str = "ticker", attributes: tuple[str, ...] = ("sector", "industry")) -> DataFrame:
     """D3: all versions after an upload of (key, attributes, as_of).
 

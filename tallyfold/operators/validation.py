@@ -76,6 +76,7 @@ def clean(valid: DataFrame, aliases: DataFrame, rates: DataFrame, keys: list[str
     t = t.withColumn("quantity", number("quantity")).withColumn("price", number("price"))
     blank = F.coalesce(F.trim("currency"), F.lit("")) == ""
     known = F.substring_index("ticker", ".", -1).isin(*SUFFIXES)
+    t = t.withColumn("currency_original", F.col("currency")).withColumn("imputed", F.col("imputed") + (blank & F.coalesce(known, F.lit(False))).cast("int"))
     t = t.withColumn("currency", F.when(~blank, F.upper(F.trim("currency"))).when(known, SUFFIX_CURRENCY))
     t = t.join(rates, "currency", "left").withColumn("price_base", F.col("price") * F.col("rate")).withColumn("unresolved", F.col("rate").isNull())
     t = pick_one(t, [*keys, "date", "ticker", "transaction_type", "quantity", "price"], [F.col(row)])
@@ -83,7 +84,7 @@ def clean(valid: DataFrame, aliases: DataFrame, rates: DataFrame, keys: list[str
     trade = F.col("transaction_type").isin("BUY", "SELL")
     before = F.last(F.when(trade, F.col("price")), ignorenulls=True).over(Window.partitionBy(*keys, "ticker").orderBy("date", row).rowsBetween(Window.unboundedPreceding, -1))
     moved = F.abs(F.col("price") - before) / F.when(before != 0, before) > threshold
-    return t.withColumn("anomaly", trade & F.coalesce(moved, F.lit(False))).select(*keys, row, "date", "ticker", "transaction_type", "quantity", "price", "fees", "tax", "currency", "price_base", "imputed", "unresolved", "near_duplicate", "anomaly")
+    return t.withColumn("anomaly", trade & F.coalesce(moved, F.lit(False))).select(*keys, row, "date", "ticker", "transaction_type", "quantity", "price", "fees", "tax", "currency", "currency_original", "price_base", "imputed", "unresolved", "near_duplicate", "anomaly")
 
 
 def quality_report(validated: DataFrame, cleaned: DataFrame, keys: list[str]) -> DataFrame:

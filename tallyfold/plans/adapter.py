@@ -16,17 +16,18 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def lines(spark: SparkSession, d: str) -> DataFrame:
-    """Every line item with its portfolio and symbol; customers and parts are joined on their keys."""
+def lines(spark: SparkSession, d: str, fine: bool = False) -> DataFrame:
+    """Every line item with its portfolio and symbol; customers and parts are joined on their keys. `fine`: a portfolio for each segment and nation."""
     li, o, c, p = (table(spark, d, t) for t in ("lineitem", "orders", "customer", "part"))
-    owner = o.join(c, o.o_custkey == c.c_custkey).select("o_orderkey", F.col("c_mktsegment").alias("portfolio"))
+    name = F.concat("c_mktsegment", F.lit("/"), "c_nationkey") if fine else F.col("c_mktsegment")
+    owner = o.join(c, o.o_custkey == c.c_custkey).select("o_orderkey", name.alias("portfolio"))
     brand = p.select("p_partkey", F.col("p_brand").alias("symbol"), "p_type")
     return li.join(owner, li.l_orderkey == owner.o_orderkey).join(brand, li.l_partkey == brand.p_partkey)
 
 
-def raw_trades(spark: SparkSession, d: str) -> DataFrame:
+def raw_trades(spark: SparkSession, d: str, fine: bool = False) -> DataFrame:
     price = F.col("l_extendedprice") / F.col("l_quantity")
-    rows = lines(spark, d).select("portfolio", "symbol", F.col("l_shipdate").cast("date").alias("date"), F.when(F.col("l_returnflag") == "R", "SELL").otherwise("BUY").alias("kind"), F.col("l_quantity").alias("qty"), price.alias("price"), (F.col("l_discount") * price).alias("fees"), (F.col("l_tax") * price).alias("tax"), *ORDER)
+    rows = lines(spark, d, fine).select("portfolio", "symbol", F.col("l_shipdate").cast("date").alias("date"), F.when(F.col("l_returnflag") == "R", "SELL").otherwise("BUY").alias("kind"), F.col("l_quantity").alias("qty"), price.alias("price"), (F.col("l_discount") * price).alias("fees"), (F.col("l_tax") * price).alias("tax"), *ORDER)
     return rows.withColumn("row_idx", F.row_number().over(Window.partitionBy("portfolio", "symbol").orderBy("date", *ORDER))).drop(*ORDER)
 
 
@@ -43,6 +44,10 @@ RAW = f"""raw as materialized (
     row_number() over (partition by c_mktsegment, p_brand order by cast(l_shipdate as date), {", ".join(ORDER)}) as row_idx
   from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join part on l_partkey = p_partkey)"""
 
+RAW_FINE = RAW.replace("c_mktsegment", "(c_mktsegment || '/' || c_nationkey)")
+
+MONTHLY = """monthly as materialized (select symbol, last_day(date) as date, last(close order by date) as close from prices group by symbol, last_day(date))"""
+
 # Oversold sells are found by walking each position trade by trade.
 WALK = """walk as (
   select portfolio, symbol, row_idx, case when kind = 'BUY' then qty when qty > 1e-9 then 0.0 else -qty end as held, kind = 'SELL' and qty > 1e-9 as rejected from raw where row_idx = 1

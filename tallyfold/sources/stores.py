@@ -31,8 +31,19 @@ def read_splits(splits: DataFrame, start: str, end: str) -> DataFrame:
 
 
 def write_prices(prices: DataFrame, path: str) -> None:
-    """Dealt and sorted by symbol and date, so readers of one symbol skip most row groups."""
-    prices.repartition("symbol").sortWithinPartitions("symbol", "date").write.mode("overwrite").parquet(path)
+    """Dealt by ranges of symbol and date and sorted, so readers of one symbol skip most row groups and no symbol is one task."""
+    prices.repartitionByRange("symbol", "date").sortWithinPartitions("symbol", "date").write.mode("overwrite").parquet(path)
+
+
+def read_price_cache(spark: SparkSession, path: str, symbols: list[str] | None = None) -> DataFrame:
+    """The cached prices, all or of some symbols; the symbol filter reaches the scan."""
+    rows = spark.read.parquet(path)
+    return rows if symbols is None else rows.where(F.col("symbol").isin(symbols))
+
+
+def read_mart(mart: DataFrame, key: str, value: str, order: list[str]) -> DataFrame:
+    """One key's rows of a mart, in order; the filter reaches the mart's scan."""
+    return mart.where(F.col(key) == value).orderBy(*order)
 
 
 def replace_history(ledger: DataFrame, path: str) -> None:
@@ -47,10 +58,15 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], version: str) -> Dat
 
 
 def delete_portfolios(rows: DataFrame, gone: DataFrame) -> DataFrame:
-    """S10."""
+    """S10, of one table."""
     return rows.join(gone.select("portfolio").distinct(), "portfolio", "left_anti")
 
 
+def delete_cascade(tables: dict[str, DataFrame], gone: DataFrame) -> dict[str, DataFrame]:
+    """Every table that names portfolios, facts and dimension alike, without those in `gone`."""
+    return {name: delete_portfolios(rows, gone) for name, rows in tables.items()}
+
+
 def register(existing: DataFrame, names: DataFrame) -> DataFrame:
     """Ids for new names, from the largest id on, in name order. Registration batches are small by nature."""
     top = existing.agg(F.coalesce(F.max("portfolio_id"), F.lit(0)).alias("top"))

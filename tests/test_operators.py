@@ -70,10 +70,24 @@ def test_asof_join_backward_forward_and_tolerance(spark):
     assert back == {("a", 5): 2.0, ("a", 1): None, ("b", 5): None}
     ahead = {(r.k, r.d.day): r.v for r in tp.asof_join(left, right, ["k"], "d", "t", ["v"], direction="forward").collect()}
     assert ahead == {("a", 5): None, ("a", 1): 1.0, ("b", 5): None}
+    odd_left = left.union(spark.createDataFrame([(None, D(2024, 1, 5)), ("a", None)], "k string, d date"))
+    odd_right = right.union(spark.createDataFrame([(None, D(2024, 1, 1), 7.0), ("b", None, 8.0)], "k string, t date, v double"))
+    for direction in ("backward", "forward"):
+        plain = sorted((r.k, r.d, r.v or 0) for r in tp.asof_join(left, right, ["k"], "d", "t", ["v"], direction=direction).collect())
+        rows = tp.asof_join(odd_left, odd_right, ["k"], "d", "t", ["v"], direction=direction).collect()
+        assert sorted((r.k, r.d, r.v or 0) for r in rows if r.k and r.d) == plain
+        assert [r.v for r in rows if not (r.k and r.d)] == [None, None]
     near = {(r.k, r.d.day): r.v for r in tp.asof_join(left, right, ["k"], "d", "t", ["v"], tolerance_days=0).collect()}
     assert set(near.values()) == {None}
 
 
+def test_carried_days_equal_an_asof_join_on_every_day(spark):
+    rows = spark.createDataFrame([("a", D(2024, 1, 2), 1.0), ("a", D(2024, 1, 5), 2.0), ("b", D(2024, 1, 6), 3.0), ("c", D(2024, 2, 1), 4.0), ("d", None, 5.0)], "k string, d date, v double")
+    until = F.lit("2024-01-07").cast("date")
+    got = {(r.k, r.d.day): r.v for r in tp.carry(rows, ["k"], "d", until, ["v"]).collect()}
+    assert got == {("a", 2): 1, ("a", 3): 1, ("a", 4): 1, ("a", 5): 2, ("a", 6): 2, ("a", 7): 2, ("b", 6): 3, ("b", 7): 3}
+
+
 def test_versions_never_overlap(spark):
     cols = "ticker string, sector string, industry string, effective_from date, effective_to date, is_current boolean"
     old = spark.createDataFrame([("A", "x", None, D(2020, 1, 1), D(9999, 12, 31), True), ("B", "x", None, D(2020, 1, 1), D(9999, 12, 31), True)], cols)
@@ -91,6 +105,15 @@ def test_reasons(spark):
     assert got == [None, "ambiguous date", "future date", "malformed ticker", "unknown transaction type", "invalid quantity", "invalid price", None, "invalid date"]
 
 
+def test_inferred_currencies_count_as_imputed(spark):
+    rows = [("u", 1, "2024-01-01", "A.NS", "BUY", "1", "2", "", "1", " ", None), ("u", 2, "2024-01-01", "B.NS", "BUY", "1", "2", "1", "1", "USD", None)]
+    valid = spark.createDataFrame(rows, "k string, rid int, date string, ticker string, transaction_type string, quantity string, price string, fees string, tax string, currency string, reason string")
+    rates = spark.createDataFrame(list(va.RATES.items()), "currency string, rate double")
+    none = spark.createDataFrame([], "alias string, ticker string")
+    got = {r.rid: (r.imputed, r.currency, r.currency_original) for r in va.clean(valid, none, rates, ["k"]).collect()}
+    assert got == {1: (2, "INR", " "), 2: (0, "USD", "USD")}
+
+
 def test_split_adjustment(spark):
     t = ledger(spark, [("A", 2, "BUY", 5, 177.85), ("A", 20, "SELL", 50, 18)])
     s = spark.createDataFrame([("A", D(2024, 1, 10), 10.0), ("A", D(2024, 1, 10), 10.0), ("A", D(2024, 1, 1), 2.0)], "symbol string, split_date date, ratio double")
@@ -144,11 +167,64 @@ def test_binary_metrics(spark):
     assert (got.precision, got.recall, got.f1) == (0.5, 0.5, 0.5) and got.roc_auc == pytest.approx(0.875)
 
 
+def test_split_and_fold_edges(spark):
+    def days(n):
+        return spark.createDataFrame([(D(2024, 1, 1) + dt.timedelta(i),) for i in range(n)], "date date")
+
+    for n in (7, 10, 13, 20, 101):
+        got = [r.split for r in rg.splits(days(n)).orderBy("date").collect()]
+        a, b = int(n * 0.7), int(n * 0.85)
+        assert got == ["train"] * a + ["val"] * (b - a) + ["test"] * (n - b)
+        edges = [int(n * k / 6) for k in range(1, 7)]
+        folds = {(r.fold, r.date): r.part for r in rg.folds(days(n)).collect()}
+        for k in range(1, 6):
+            want = {D(2024, 1, 1) + dt.timedelta(i): "train" if i < edges[k - 1] else "test" for i in range(edges[k])}
+            assert {x: p for (f, x), p in folds.items() if f == k} == want
+
+
+def test_promotion_and_comparison_with_the_baseline(spark):
+    m = spark.createDataFrame([("m", 1, 0.05), ("m", 2, 0.0499), ("m", 3, None)], "model string, version int, delta_f1 double")
+    got = {r.version: (r.promoted, r.reason) for r in rg.promotion(m).collect()}
+    assert got[1] == (True, "promoted: F1 beats the baseline by 0.0500, at least 0.0500") and not got[2][0] and not got[3][0]
+    a = spark.createDataFrame([("x", 0.6, 0.5), ("y", 0.6, 0.3)], "k string, f1 double, pr_auc double")
+    b = spark.createDataFrame([("x", 0.5, 0.4), ("y", 0.5, 0.4)], "k string, f1 double, pr_auc double")
+    assert {r.k: r.better for r in rg.against_baseline(a, b, ["k"]).collect()} == {"x": True, "y": False}
+
+
+def test_reports(spark):
+    held = spark.createDataFrame([("p", "A", "x", 700.0), ("p", "B", "y", 300.0)], "portfolio string, symbol string, sector string, mv double")
+    navs = spark.createDataFrame([("p", 1000.0, 250.0)], "portfolio string, mv double, cash double")
+    got = {(r.section, r.name): round(r.value, 9) for r in al.report(held, navs, ["symbol", "sector"]).collect()}
+    assert got == {("symbol", "A"): 0.7, ("symbol", "B"): 0.3, ("sector", "x"): 0.7, ("sector", "y"): 0.3, ("cash", "holdings_pct"): 0.8, ("cash", "cash_pct"): 0.2, ("concentration", "largest"): 0.7, ("concentration", "top_n"): 1.0, ("concentration", "hhi"): 0.58}
+    v = values(spark, [100, 120, 90, 110, 130], "value")
+    bench = spark.createDataFrame([(D(2024, 1, 1) + dt.timedelta(i), x) for i, x in enumerate((0.0, 0.1, -0.2, 0.15, 0.2))], "date date, b double")
+    one = rk.report(v, bench, ["portfolio"]).first()
+    assert (one.max_drawdown, one.days, one.window_end.day) == (-0.25, 3, 5) and one.beta > 0 and one.cvar == pytest.approx(0.25)
+    assert rk.report(v, bench, ["portfolio"], start="2024-01-04").count() == 0
+    with pytest.raises(ValueError):
+        rk.in_window(v, ["portfolio"], "2024-02-01", "2024-02-01")
+    total = spark.createDataFrame([("p", 0.5)], "portfolio string, total double")
+    r = v.withColumn("r", F.lit(0.01))
+    c = al.compare(r, bench, ["portfolio"], headline=total).first()
+    assert c.cum_portfolio == 0.5 and c.cum_excess == pytest.approx(0.5 - c.cum_benchmark)
+
+
+def test_attribution_reconciles(spark):
+    day = D(2024, 1, 1)
+    marked = spark.createDataFrame([("p", s, day + dt.timedelta(k), mv) for k, row in enumerate(((60.0, 40.0), (66.0, 38.0))) for s, mv in zip("AB", row, strict=True)], "portfolio string, symbol string, date date, mv double")
+    closes = spark.createDataFrame([(s, day + dt.timedelta(k), c) for k, row in enumerate(((6.0, 4.0), (6.6, 3.8))) for s, c in zip("AB", row, strict=True)], "symbol string, date date, close double")
+    windows = spark.createDataFrame([("p", day, day + dt.timedelta(1))], "portfolio string, start date, `end` date")
+    got = {r.symbol: r for r in al.attribution(marked, closes, windows, spark.createDataFrame([("A", "x"), ("B", "x")], "symbol string, sector string")).collect()}
+    assert got["A"].contribution == pytest.approx(0.06) and got["B"].contribution == pytest.approx(-0.02)
+    assert got["A"].total == pytest.approx(0.04) == pytest.approx(got["B"].actual) and got["A"].sector_contribution == pytest.approx(0.04)
+
+
 def test_forecast_and_backtest(spark):
     flat = spark.createDataFrame([("s", D(2024, 1, 1) + dt.timedelta(i), 1000.0) for i in range(300)], "k string, date date, value double")
     got = fc.drift_forecast(flat, ["k"], 5).orderBy(F.desc("h")).first()
     assert got.point == 1000 and got.high_95 - got.low_95 < 50
     assert fc.backtest_summary(fc.backtest(flat, ["k"], 30), ["k"]).first().mae == 0
+    assert fc.backtest(flat, ["k"], 199).count() == 0 and fc.backtest(flat, ["k"], 198).count() > 0  # more than 100 + 199 + 1 rows are needed
 
 
 def test_path_drawdowns(spark):
