@@ -17,7 +17,6 @@ from tallyfold.sources.shared import shared_dir, staged  # noqa: F401
 cloudpickle.register_pickle_by_value(sys.modules["tallyfold.llm"])
 
 EDGES = 1 << 19  # edges shrunk in one piece
-SPOKES = 4096  # of a node's edges, joined in one part
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
@@ -91,7 +90,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     `root` is the smallest node reachable; nodes that are their own root are left out. Each task first
     shrinks its edges to a forest; then large-star and small-star steps alternate, each one a grouped
     minimum and a join, until the edges stop changing. Every round is written to the shared folder. A
-    node's edges are joined with its one minimum, in parts of SPOKES, so a hub's edges are shared out.
+    node's edges are joined with its one minimum; adaptive execution splits a hub's side where it is large.
     """
     e = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
     e = staged(e.mapInArrow(_forest_of_task, "a long, b long").distinct(), name)
@@ -108,12 +107,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 
 def _least(edges: DataFrame) -> DataFrame:
     """u, v, m: each edge with the smallest neighbour of u."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-    parts = least.select("u", "m", F.explode(F.expr(f"sequence(0L, (n - 1) div {SPOKES})")).alias("part"))
-    heavy = least.where(F.col("n") > SPOKES).select("u", F.expr(f"(n - 1) div {SPOKES} + 1").alias("parts"))
-    # At most one hub for each SPOKES edges: few rows, which the optimizer broadcasts by their size.
-    dealt = edges.join(heavy, "u", "left").select("u", "v", F.expr("pmod(xxhash64(v), coalesce(parts, 1L))").alias("part"))
-    return dealt.join(parts, ["u", "part"]).select("u", "v", "m")
+    return edges.join(edges.groupBy("u").agg(F.min("v").alias("m")), "u")
 
 
 def to_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
