@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.llm import chat, decontam, htmlwrap, knn, langid, license, neardup, packing, quality, tokenbin
+from tallyfold.llm import chat, decontam, htmlwrap, knn, langid, license, merkle, neardup, packing, quality, tokenbin
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -73,10 +73,22 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_voronoi_knn, op3_chat_prefix_targets, op4_template_decontamination, op5_bbit_minhash, op6_license_scan, op7_language_id, op8_token_binary, op9_html_extraction, op10_quality_classifier)}
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    changed = merkle.leaf_hash(*[F.col(c) for c in merkle.COLUMNS[:-1]], merkle.lower_ascii(F.col("text")))
+    rows = merkle.manifest(docs, extra={"tampered": F.when(fold(3) == 0, changed)})
+    rows = merkle.verify(rows, F.coalesce("tampered", "leaf"))
+    return rows.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root", "verified")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_voronoi_knn, op3_chat_prefix_targets, op4_template_decontamination, op5_bbit_minhash, op6_license_scan, op7_language_id, op8_token_binary, op9_html_extraction, op10_quality_classifier, op12_merkle_manifest)}
 
 _ESCAPED = r"regexp_replace({}, '([<\[])(\\*)(\||/?s>|/?INST\]|<SYS>>|</SYS>>)', '\1\\\2\3', 'g')"
 
+# Unsigned crc32 of a text of one-byte characters.
+_CRC = """xor(list_reduce(list_prepend(4294967295, list_transform(string_split({0}, ''), lambda x: cast(ascii(x) as bigint))), lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, z: case when a & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end)), 4294967295)"""
+_LEAF = "sha256(" + " || ".join(f"coalesce(strlen(cast({c} as varchar)) || ':' || {c}, '-')" for c in ("doc_id", "source", "lang", "n_chars", "{0}")) + ")"
+
 ORACLES: dict[str, str] = {
     "op2_voronoi_knn": """
 with v as (
@@ -115,4 +127,31 @@ e as (
 r as (select doc_id as n, doc_id as m from documents union select r.n, e.b from r join e on r.m = e.a),
 c as (select n, min(m) as m from r group by n)
 select s.doc_id, cast(len(s.s) as bigint) as n_shingles, c.m as component_id, s.doc_id = c.m as kept from s join c on c.n = s.doc_id""",
+    "op12_merkle_manifest": f"""
+with recursive x as (
+  select doc_id, coalesce('g' || lang, '') as g, {_LEAF.format("text")} as leaf,
+    case when {_CRC.format("cast(doc_id as varchar)")} % 3 = 0 then {_LEAF.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} end as tampered
+  from documents),
+r as (select *, row_number() over (partition by g order by doc_id nulls first, leaf) - 1 as idx, count(*) over (partition by g) as n from x),
+t as (
+  select 0 as level, g, idx, n, leaf as digest from r
+  union all select level + 1, g, idx // 8, (n + 7) // 8, sha256(string_agg(digest, '' order by idx)) from t where n > 1 group by level, g, idx // 8, n),
+s as (select g, digest, row_number() over (order by g) - 1 as idx, count(*) over () as n from t where n = 1),
+u as (
+  select 0 as level, idx, n, digest from s
+  union all select level + 1, idx // 8, (n + 7) // 8, sha256(string_agg(digest, '' order by idx)) from u where n > 1 group by level, idx // 8, n),
+nodes as (select 0 as top, g, level, idx, n, digest from t union all select 1, '', level, idx, n, digest from u),
+sides as (
+  select a.top, a.g, a.level, a.idx, coalesce(string_agg(b.digest, '' order by b.idx) filter (b.idx < a.idx), '') as l, coalesce(string_agg(b.digest, '' order by b.idx) filter (b.idx > a.idx), '') as r
+  from nodes a left join nodes b on a.top = b.top and a.g = b.g and a.level = b.level and a.idx // 8 = b.idx // 8 and a.idx <> b.idx where a.n > 1 group by all),
+f as (
+  select row_number() over () as k, g, 0 as level, idx, n, coalesce(tampered, leaf) as cur, '' as seen, doc_id, leaf from r
+  union all select k, f.g, f.level + 1, f.idx // 8, (n + 7) // 8, sha256(s.l || cur || s.r), seen || s.l || s.r, doc_id, leaf
+  from f join sides s on s.top = 0 and s.g = f.g and s.level = f.level and s.idx = f.idx where n > 1),
+h as (
+  select k, s.digest as subroot, 0 as level, s.idx, s.n, cur, seen, doc_id, leaf from f join s on s.g = f.g where f.n = 1
+  union all select k, subroot, h.level + 1, h.idx // 8, (n + 7) // 8, sha256(s.l || cur || s.r), seen || s.l || s.r, doc_id, leaf
+  from h join sides s on s.top = 1 and s.level = h.level and s.idx = h.idx where n > 1)
+select doc_id, leaf, subroot, root, sha256(seen) as proof_sha256, cur as folded_root, cur = root as verified
+from h, (select digest as root from u where n = 1) where n = 1""",
 }
