@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.llm import chat, decontam, htmlwrap, knn, langid, license, merkle, neardup, packing, quality, tokenbin
+from tallyfold.llm import chat, decontam, htmlwrap, knn, langid, license, merkle, neardup, packing, partenum, quality, tokenbin
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -73,6 +73,10 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_partenum_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partenum.spelling_variants(_table(spark, sf_dir, "documents"), typo_every=199)
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     changed = merkle.leaf_hash(*[F.col(c) for c in merkle.COLUMNS[:-1]], merkle.lower_ascii(F.col("text")))
@@ -81,12 +85,13 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root", "verified")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_voronoi_knn, op3_chat_prefix_targets, op4_template_decontamination, op5_bbit_minhash, op6_license_scan, op7_language_id, op8_token_binary, op9_html_extraction, op10_quality_classifier, op12_merkle_manifest)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_voronoi_knn, op3_chat_prefix_targets, op4_template_decontamination, op5_bbit_minhash, op6_license_scan, op7_language_id, op8_token_binary, op9_html_extraction, op10_quality_classifier, op11_partenum_spelling, op12_merkle_manifest)}
 
 _ESCAPED = r"regexp_replace({}, '([<\[])(\\*)(\||/?s>|/?INST\]|<SYS>>|</SYS>>)', '\1\\\2\3', 'g')"
 
 # Unsigned crc32 of a text of one-byte characters.
 _CRC = """xor(list_reduce(list_prepend(4294967295, list_transform(string_split({0}, ''), lambda x: cast(ascii(x) as bigint))), lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, z: case when a & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end)), 4294967295)"""
+_CRC_BYTES = _CRC.replace("string_split({0}, ''), lambda x: cast(ascii(x) as bigint)", "range(1, 2 * strlen({0}), 2), lambda i: cast(16 * instr('123456789ABCDEF', substr(hex(encode({0})), i, 1)) + instr('123456789ABCDEF', substr(hex(encode({0})), i + 1, 1)) as bigint)")
 _LEAF = "sha256(" + " || ".join(f"coalesce(strlen(cast({c} as varchar)) || ':' || {c}, '-')" for c in ("doc_id", "source", "lang", "n_chars", "{0}")) + ")"
 
 ORACLES: dict[str, str] = {
@@ -127,6 +132,22 @@ e as (
 r as (select doc_id as n, doc_id as m from documents union select r.n, e.b from r join e on r.m = e.a),
 c as (select n, min(m) as m from r group by n)
 select s.doc_id, cast(len(s.s) as bigint) as n_shingles, c.m as component_id, s.doc_id = c.m as kept from s join c on c.n = s.doc_id""",
+    "op11_partenum_spelling": f"""
+with recursive t as (
+  select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\\x{{00C0}}-\\x{{00FF}}]+')) as run from documents),
+r as (select run, {_CRC_BYTES.format("doc_id || ':' || run")} as h, count(*) as n from t group by doc_id, run),
+v as (select case when h % 199 = 0 then substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) else run end as word, sum(n) as n from r group by 1),
+w as (select word, cast(n as bigint) as n from v where n >= 5 and length(word) >= 6),
+d as (select word, unnest(range(1, length(word) + 1)) as i from w),
+e as (select word, i, substr(word, 1, i - 1) || substr(word, i + 1) as rest from d),
+p as (
+  select a.word, b.word as other from e a join e b on a.i = b.i and a.rest = b.rest and a.word <> b.word
+  union select e.word, w.word from e join w on e.rest = w.word
+  union select w.word, e.word from e join w on e.rest = w.word),
+b as (select p.word, count(*) as n_near, max(w.n) as m, arg_min(p.other, row(-w.n, p.other)) as other from p join w on w.word = p.other group by p.word),
+f as (select w.word, w.n, coalesce(n_near, 0) as n_near, case when m >= 5 * w.n then other end as form, case when m >= 5 * w.n then m end as form_n from w left join b on b.word = w.word),
+c as (select word, word as root, form as next from f union all select c.word, f.word, f.form from c join f on f.word = c.next)
+select f.word, form, root, n, n_near, form_n from f join c on c.word = f.word and c.next is null""",
     "op12_merkle_manifest": f"""
 with recursive x as (
   select doc_id, coalesce('g' || lang, '') as g, {_LEAF.format("text")} as leaf,
