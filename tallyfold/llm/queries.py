@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.llm import chat, decontam, htmlwrap, knn, langid, license, merkle, neardup, packing, partenum, quality, tokenbin
+from tallyfold.llm import chat, decontam, hpylm, htmlwrap, knn, langid, license, merkle, neardup, packing, partenum, quality, tokenbin
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -85,7 +85,12 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root", "verified")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_voronoi_knn, op3_chat_prefix_targets, op4_template_decontamination, op5_bbit_minhash, op6_license_scan, op7_language_id, op8_token_binary, op9_html_extraction, op10_quality_classifier, op11_partenum_spelling, op12_merkle_manifest)}
+def op13_pitman_yor_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = hpylm.score(_table(spark, sf_dir, "documents"), fold(7) != 2)
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_voronoi_knn, op3_chat_prefix_targets, op4_template_decontamination, op5_bbit_minhash, op6_license_scan, op7_language_id, op8_token_binary, op9_html_extraction, op10_quality_classifier, op11_partenum_spelling, op12_merkle_manifest, op13_pitman_yor_scoring)}
 
 _ESCAPED = r"regexp_replace({}, '([<\[])(\\*)(\||/?s>|/?INST\]|<SYS>>|</SYS>>)', '\1\\\2\3', 'g')"
 
