@@ -34,11 +34,6 @@ def sortino(r: str, rf: float, mar: float = 0.0) -> Column:
     return ratio(F.avg(r) * DAYS - rf, downside_vol(r, mar))
 
 
-def historical_var(r: str, confidence: float = 0.95) -> Column:
-    """Exact percentile, linear between ranks."""
-    return -F.percentile(F.col(r), F.lit(1 - confidence))
-
-
 def parametric_var(r: str, confidence: float = 0.95) -> Column:
     """R8."""
     return -(F.avg(r) + NormalDist().inv_cdf(1 - confidence) * F.stddev_samp(r))

@@ -8,7 +8,9 @@ from statistics import NormalDist
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyfold.functions.stats import by, historical_var, ratio
+from tallyfold.functions.stats import by, ratio
+from tallyfold.operators.scan import percentiles
+from tallyfold.sources.shared import staged
 
 
 def drift_forecast(series: DataFrame, keys: list[str], horizon: int, value: str = "value", levels: tuple[float, ...] = (0.8, 0.95), drift: bool = True) -> DataFrame:
@@ -74,8 +76,11 @@ def terminal_values(paths: DataFrame, keys: list[str]) -> DataFrame:
 def path_summary(paths: DataFrame, keys: list[str], confidence: float = 0.95) -> DataFrame:
     """Bands of terminal values, chances of loss and of a 10 % gain, VaR and shortfall."""
     t = terminal_values(paths, keys).withColumn("ret", ratio(F.col("v"), F.col("s0")) - 1)
-    band = lambda q: F.percentile("v", F.lit(q))
-    a = t.groupBy(*keys).agg(*[band(q / 100).alias(f"p{q}") for q in (5, 25, 50, 75, 95)], F.avg((F.col("v") < F.col("s0")).cast("double")).alias("p_loss"), F.avg((F.col("v") > F.col("s0") * 1.1).cast("double")).alias("p_gain_10"), historical_var("ret", confidence).alias("var"))
+    t = staged(t, "terminal")
+    bands = percentiles(t, keys, "v", {f"p{q}": q / 100 for q in (5, 25, 50, 75, 95)})
+    var = percentiles(t, keys, "ret", {"var": 1 - confidence}).withColumn("var", -F.col("var"))
+    a = t.groupBy(*keys).agg(F.avg((F.col("v") < F.col("s0")).cast("double")).alias("p_loss"), F.avg((F.col("v") > F.col("s0") * 1.1).cast("double")).alias("p_gain_10"))
+    a = bands.join(a, keys).join(var, keys)
     short = t.join(a.select(*keys, "var"), keys).groupBy(*keys).agg((-F.avg(F.when(F.col("ret") <= -F.col("var"), F.col("ret")))).alias("shortfall"))
     return a.join(short, keys)
 
@@ -85,4 +90,6 @@ def path_drawdowns(paths: DataFrame, keys: list[str]) -> DataFrame:
     w = by(*keys, "path_id", order="step").rowsBetween(Window.unboundedPreceding, 0)
     d = paths.withColumn("peak", F.max("value").over(w)).withColumn("dd", ratio(F.col("value") - F.col("peak"), F.col("peak")))
     each = d.groupBy(*keys, "path_id").agg(F.min("dd").alias("dd"))
-    return each.groupBy(*keys).agg(F.avg("dd").alias("mean_dd"), F.percentile("dd", F.lit(0.5)).alias("median_dd"), F.percentile("dd", F.lit(0.05)).alias("p5_dd"), F.min("dd").alias("worst_dd"))
+    each = staged(each, "falls")
+    g = each.groupBy(*keys).agg(F.avg("dd").alias("mean_dd"), F.min("dd").alias("worst_dd"))
+    return g.join(percentiles(each, keys, "dd", {"median_dd": 0.5, "p5_dd": 0.05}), keys).select(*keys, "mean_dd", "median_dd", "p5_dd", "worst_dd")

@@ -12,18 +12,19 @@ from pyspark.sql import functions as F
 from tallyfold.operators.temporal import carry
 
 EPS = 1e-9
+FALL = 230.0  # natural logarithm of 1e100: how far a product of factors may fall within a block
 KEY = ["portfolio", "symbol"]
 
 
 def mark_oversold(trades: DataFrame, keys: list[str] = KEY, order: tuple[str, ...] = ("date", "row_idx")) -> DataFrame:
     """V8: adds `rejected`: sells of more than is held at that point; a rejected sell changes nothing.
 
-    Until a position's running quantity first falls below zero nothing is rejected, which windows find. Only
-    from there on is it walked trade by trade, as the fold is not linear: rows come dealt by position and
-    sorted (Spark spills), and stream through one state. No position is held in memory whole.
+    Until a position's running quantity first falls below zero nothing is rejected, which a window finds; rows
+    before that stay in the JVM. Only from there on is a position walked trade by trade, as the fold is not
+    linear: those rows are dealt by position and sorted, and stream through one state.
     """
     names = trades.columns
-    at = {n: i for i, n in enumerate([*names, "__run", "__low"])}
+    at = {n: i for i, n in enumerate([*names, "__run"])}
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     signed = F.when(F.col("kind") == "BUY", F.col("qty")).when(F.col("kind") == "SELL", -F.col("qty")).otherwise(0.0)
 
@@ -31,9 +32,8 @@ def mark_oversold(trades: DataFrame, keys: list[str] = KEY, order: tuple[str, ..
         held, last = 0.0, None
         for b in batches:
             out = np.zeros(b.num_rows, bool)
-            rows = np.flatnonzero(b.column(at["__low"]).to_numpy(zero_copy_only=False) < -EPS)
-            part = b.take(pa.array(rows))
-            for i, k, kind, q, run in zip(rows, zip(*(part.column(at[c]).to_pylist() for c in keys), strict=True), *(part.column(at[c]).to_pylist() for c in ("kind", "qty", "__run")), strict=True):
+            columns = [b.column(at[c]).to_pylist() for c in (*keys, "kind", "qty", "__run")]
+            for i, (*k, kind, q, run) in enumerate(zip(*columns, strict=True)):
                 if k != last:  # the sell at which the position first falls below zero
                     held, last = run + q, k
                 bad = kind == "SELL" and q > held + EPS
@@ -42,10 +42,12 @@ def mark_oversold(trades: DataFrame, keys: list[str] = KEY, order: tuple[str, ..
                 elif kind == "SELL" and not bad:
                     held -= q
                 out[i] = bad
-            yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(out)], names=[*names, "rejected"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out)], names=[*names, "rejected"])
 
-    dealt = trades.withColumn("__run", F.sum(signed).over(w)).withColumn("__low", F.min("__run").over(w))
-    return dealt.mapInArrow(walk, ", ".join(f"`{n}` {t}" for n, t in trades.dtypes) + ", rejected boolean")
+    low = trades.withColumn("__run", F.sum(signed).over(w)).withColumn("__low", F.min("__run").over(w))
+    fine = low.where(F.coalesce(F.col("__low") >= -EPS, F.lit(True))).select(*names, F.lit(False).alias("rejected"))
+    below = low.where(F.col("__low") < -EPS).select(*names, "__run").repartition(*keys).sortWithinPartitions(*keys, *order)
+    return fine.unionByName(below.mapInArrow(walk, ", ".join(f"`{n}` {t}" for n, t in trades.dtypes) + ", rejected boolean"))
 
 
 def accepted(trades: DataFrame, keys: list[str] = KEY) -> DataFrame:
@@ -64,8 +66,11 @@ def moves(ledger: DataFrame, keys: list[str] = KEY) -> DataFrame:
 def positions(day_moves: DataFrame, keys: list[str] = KEY) -> DataFrame:
     """H2, H3: qty and weighted-average remaining cost after each day with moves.
 
-    The recurrence cost = cost * factor + bought is solved by windows: a full exit (factor 0) starts a segment,
-    and within it cost = A * sum(bought / A) with A the running product of factors.
+    Each day is an affine map, cost -> cost * factor + bought, and a prefix of them is one again. A full exit
+    (factor 0) starts a segment. A segment falls into blocks, each of them as long as the product of its
+    factors, A, stays above 1e-100: within a block cost = A * (carried + sum(bought / A)), so nothing is
+    divided by a product that vanishes, however many partial sells there are. What a block carries on is its
+    last cost; of the block before it, under 1e-100 of that is left, which no double can tell from nothing.
     """
     w = Window.partitionBy(*keys).orderBy("date")
     run = w.rowsBetween(Window.unboundedPreceding, 0)
@@ -74,10 +79,13 @@ def positions(day_moves: DataFrame, keys: list[str] = KEY) -> DataFrame:
     m = m.withColumn("factor", F.when(F.col("q0") - F.col("s0") <= EPS, 0.0).otherwise(1 - F.col("s0") / F.when(F.col("q0") > 0, F.col("q0"))))
     m = m.withColumn("bought", F.when(F.col("buy_qty") > 0, F.col("buy_cost") * (1 - (F.col("sell_qty") - F.col("s0")) / F.when(F.col("buy_qty") > 0, F.col("buy_qty")))).otherwise(0.0))
     m = m.withColumn("segment", F.sum((F.col("factor") == 0).cast("int")).over(run))
-    in_segment = Window.partitionBy(*keys, "segment").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    m = m.withColumn("a", F.product(F.when(F.col("factor") == 0, 1.0).otherwise(F.col("factor"))).over(in_segment))
-    m = m.withColumn("cost", F.col("a") * F.sum(F.col("bought") / F.col("a")).over(in_segment))
-    return m.select(*keys, "date", "qty", "cost")
+    m = m.withColumn("block", F.floor(F.sum(F.when(F.col("factor") > 0, -F.ln("factor")).otherwise(0.0)).over(run) / FALL))
+    in_block = Window.partitionBy(*keys, "segment", "block").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    m = m.withColumn("a", F.product(F.when(F.col("factor") == 0, 1.0).otherwise(F.col("factor"))).over(in_block))
+    m = m.withColumn("cost", F.col("a") * F.sum(F.col("bought") / F.col("a")).over(in_block))
+    m = m.withColumn("before", F.when(F.lag("segment").over(w) == F.col("segment"), F.lag("cost").over(w)))
+    carried = F.coalesce(F.first("before").over(in_block), F.lit(0.0))
+    return m.select(*keys, "date", "qty", (F.col("cost") + F.col("a") * carried).alias("cost"))
 
 
 def daily_cube(held: DataFrame, until, keys: list[str] = KEY) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyfold.functions.stats import DAYS, by, full, ratio
+from tallyfold.operators.scan import percentiles, prefix
 from tallyfold.sources.shared import shared_dir
 
 FEATURES = ["ret_1", "ret_5", "ret_21", "vol_10", "vol_21", "vol_63", "mom_10", "mom_21", "ma_20", "ma_50", "price_ma_20", "price_ma_50", "volume_z_21", "drawdown_60"]
@@ -63,7 +64,8 @@ def folds(rows: DataFrame, k: int = 5) -> DataFrame:
 
 def thresholds(feats: DataFrame, cutoff: DataFrame, q: float = 0.75, key: str = "symbol") -> DataFrame:
     """Percentile of trailing volatility up to the cutoff date, per symbol."""
-    return feats.join(F.broadcast(cutoff), F.col("date") <= F.col("cutoff")).groupBy(key).agg(F.percentile("vol_21", F.lit(q)).alias("threshold"))
+    known = feats.select(key, "vol_21", "date").join(F.broadcast(cutoff), F.col("date") <= F.col("cutoff"))
+    return percentiles(known, [key], "vol_21", {"threshold": q})
 
 
 def cutoff_date(rows: DataFrame, train: float = 0.7) -> DataFrame:
@@ -87,7 +89,8 @@ def dataset(prices: DataFrame, train: float = 0.7) -> DataFrame:
 def binary_metrics(rows: DataFrame, keys: list[str], label: str = "label", predicted: str = "predicted", score: str | None = None) -> DataFrame:
     """Precision, recall, F1 (0 on zero division); with `score` also ROC-AUC and average precision.
 
-    Scores are first counted by value, so windows run over distinct scores; null AUCs with one class.
+    Scores are first counted by value, so ties are one row; running counts go over ranges of scores, so a
+    split's scores are shared out over tasks. Null AUCs with one class.
     """
     tp, pp, ap = (F.sum((c).cast("int")) for c in ((F.col(label) == 1) & (F.col(predicted) == 1), F.col(predicted) == 1, F.col(label) == 1))
     m = rows.groupBy(*keys).agg(tp.alias("tp"), pp.alias("pp"), ap.alias("pos"), F.count("*").alias("n"))
@@ -97,8 +100,7 @@ def binary_metrics(rows: DataFrame, keys: list[str], label: str = "label", predi
     if score is None:
         return m.select(*keys, "precision", "recall", "f1")
     s = rows.groupBy(*keys, score).agg(F.sum(label).alias("p"), F.count("*").alias("c"))
-    w = Window.partitionBy(*keys).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    s = s.withColumn("cp", F.sum("p").over(w)).withColumn("cc", F.sum("c").over(w))
+    s = prefix(s, keys, [F.desc(score)], {"cp": "p", "cc": "c"}, name="scores")
     neg = F.col("c") - F.col("p")
     a = s.groupBy(*keys).agg(F.sum(neg * (F.col("cp") - F.col("p") / 2)).alias("wins"), F.sum(F.col("p") * F.col("cp") / F.col("cc")).alias("ap"))
     j = m.join(a, keys) if keys else m.crossJoin(a)
