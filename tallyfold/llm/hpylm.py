@@ -21,6 +21,8 @@ are counted over all training texts; g grows with their size, and nothing whole
 
 from __future__ import annotations
 
+import uuid
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -31,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.llm.common import staged, to_bytes, whole_groups
+from tallyfold.llm.common import shared_dir, to_bytes, whole_groups
 
 CHUNK = 2_000_000  # tokens whose distinct pairs are asked for together; a longer text is one chunk
 BLOCK_CHARS = 8_000_000  # of text for each block of pairs
@@ -62,8 +64,8 @@ def _batch(schema: pa.Schema, rows: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist(rows, schema)
 
 
-_ENCODED = pa.schema([("chunk", pa.int64()), ("block", pa.int32())] + [(n, pa.binary()) for n in ("ids", "sizes", "at", "flags", "ws", "per_w", "us", "ui", "n")])
-_ENCODED_SQL = "chunk long, block int, ids binary, sizes binary, at binary, flags binary, ws binary, per_w binary, us binary, ui binary, n binary"
+_ENCODED = pa.schema([("kind", pa.string()), ("chunk", pa.int64()), ("block", pa.int32())] + [(n, pa.binary()) for n in ("ids", "sizes", "at", "flags", "ws", "per_w", "us", "ui", "n")])
+_ENCODED_SQL = "kind string, chunk long, block int, ids binary, sizes binary, at binary, flags binary, ws binary, per_w binary, us binary, ui binary, n binary"
 
 
 def encode(docs: DataFrame, learn: Column, g: int, id_col: str, text_col: str) -> DataFrame:
@@ -76,25 +78,30 @@ def encode(docs: DataFrame, learn: Column, g: int, id_col: str, text_col: str) -
 
     def encode_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = TaskContext.get().partitionId() << 24
-        ids, learned, sizes, words = [], [], [], []
+        known, ids, learned, cur, held = numbers(), [], [], [], 0
         for b in batches:
             for doc_id, text, train in zip(b.column(0).to_pylist(), to_bytes(b.column(1)), b.column(2).to_pylist(), strict=True):
                 found = text.lower().split()
-                words += found
-                words.append(END)
+                found.append(END)
+                cur.append(np.fromiter(map(known.__getitem__, found), np.int32, len(found)))
                 ids.append(doc_id)
                 learned.append(train)
-                sizes.append(len(found) + 1)
-                if len(words) >= CHUNK:
-                    yield from asked(chunk, ids, learned, sizes, words)
+                held += len(found)
+                if held >= CHUNK:
+                    yield from asked(chunk, ids, learned, cur, known)
                     chunk += 1
-                    ids, learned, sizes, words = [], [], [], []
+                    known, ids, learned, cur, held = numbers(), [], [], [], 0
         if ids:
-            yield from asked(chunk, ids, learned, sizes, words)
+            yield from asked(chunk, ids, learned, cur, known)
 
-    def asked(chunk: int, ids: list, learned: list, sizes: list[int], words: list[bytes]) -> Iterator[pa.RecordBatch]:
-        known = {w: k for k, w in enumerate(dict.fromkeys(words))}
-        cur = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+    def numbers() -> defaultdict:
+        """Numbers words in the order in which they are first asked for."""
+        known: defaultdict = defaultdict()
+        known.default_factory = known.__len__
+        return known
+
+    def asked(chunk: int, ids: list, learned: list, texts: list[np.ndarray], known: defaultdict) -> Iterator[pa.RecordBatch]:
+        sizes, cur = [len(t) for t in texts], np.concatenate(texts)
         h = np.array([xxhash.xxh3_64_intdigest(w) for w in known], np.uint64) & _MASK
         order = np.argsort(h)
         rank = np.empty(len(h), np.int64)
@@ -110,16 +117,17 @@ def encode(docs: DataFrame, learn: Column, g: int, id_col: str, text_col: str) -
         code, at = np.unique(code, return_inverse=True)
         train = np.repeat(np.array(learned, bool), sizes)
         n = np.bincount(at[train], minlength=len(code))
+        del block, cur, prev
         u, code = code % len(h), code // len(h)
         w, block = code % len(h), code // len(h)
         flags = np.array([(1 if t else 0) + (2 if i is None else 0) for t, i in zip(learned, ids, strict=True)], np.uint8)
-        yield _batch(_ENCODED, [{"chunk": chunk, "block": -1, "ids": pack(np.array([i or 0 for i in ids], np.int64)), "sizes": pack(np.array(sizes, np.uint32)), "at": pack(at.astype(np.uint32)), "flags": pack(flags)}])
+        yield _batch(_ENCODED, [{"kind": "texts", "chunk": chunk, "block": -1, "ids": pack(np.array([i or 0 for i in ids], np.int64)), "sizes": pack(np.array(sizes, np.uint32)), "at": pack(at.astype(np.uint32)), "flags": pack(flags)}])
         starts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
         rows = []
         for lo, hi in zip(starts, [*starts[1:], len(block)], strict=True):
             own_w, per_w = np.unique(w[lo:hi], return_counts=True)
             own_u, ui = np.unique(u[lo:hi], return_inverse=True)
-            rows.append({"chunk": chunk, "block": int(block[lo]), "ws": pack(h[own_w], True), "per_w": pack(per_w.astype(np.uint32)), "us": pack(h[own_u], True), "ui": pack(ui.astype(np.uint32)), "n": pack(n[lo:hi].astype(np.uint32))})
+            rows.append({"kind": "asked", "chunk": chunk, "block": int(block[lo]), "ws": pack(h[own_w], True), "per_w": pack(per_w.astype(np.uint32)), "us": pack(h[own_u], True), "ui": pack(ui.astype(np.uint32)), "n": pack(n[lo:hi].astype(np.uint32))})
         yield _batch(_ENCODED, rows)
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
@@ -265,15 +273,30 @@ def totalled(told: DataFrame, g: int, top: Callable[[np.ndarray, int], np.ndarra
     return _dealt(told, "slice", 2 * g).mapInArrow(total, _SLICE_SQL)
 
 
-def _stage(df: DataFrame, name: str) -> DataFrame:
-    """As staged, and the shuffle files that the write leaves go with it; the table is what later steps read."""
-    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = conf.get(key, None)
-    conf.set(key, "true")
-    try:
-        return staged(df, name)
-    finally:
-        conf.set(key, before) if before is not None else conf.unset(key)
+class Table:
+    """A table written into the shared folder, with a folder for each value of `by`, until it is dropped.
+
+    The shuffle files that the write leaves go with it, as later steps read the table.
+    """
+
+    def __init__(self, df: DataFrame, name: str, by: str | None = None):
+        self.spark, self.schema, self.by = df.sparkSession, df.schema, by
+        self.path = f"{shared_dir(self.spark)}/tallyfold/{name}-{uuid.uuid4().hex}"
+        conf, key = self.spark.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        before = conf.get(key, None)
+        conf.set(key, "true")
+        try:
+            (df.write.partitionBy(by) if by else df.write).parquet(self.path)
+        finally:
+            conf.set(key, before) if before is not None else conf.unset(key)
+
+    def read(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self.path)
+
+    def drop(self, value: str | None = None) -> None:
+        """Leaves no rows, or none of one folder; nothing that is still to run may need them."""
+        empty = self.spark.createDataFrame([], self.schema if value is None else "gone int")
+        empty.write.mode("overwrite").parquet(self.path if value is None else f"{self.path}/{self.by}={value}")
 
 
 class Totals:
@@ -307,24 +330,30 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     spark: SparkSession = docs.sparkSession
     chars = docs.agg(F.coalesce(F.sum(F.length(F.col(text_col).cast("string"))), F.lit(0))).first()[0]
     g = max(1, round((chars / BLOCK_CHARS) ** 0.5))
-    encoded = _stage(encode(docs, learn, g, id_col, text_col), "lm-chunks")
-    asked = encoded.where("block >= 0").select("chunk", "block", "ws", "per_w", "us", "ui", "n")
-    told = _stage(counted(asked, g), "lm-counts")
+    chunks = Table(encode(docs, learn, g, id_col, text_col), "lm-chunks", by="kind")
+    asked = chunks.read().where("kind = 'asked'").select("chunk", "block", "ws", "per_w", "us", "ui", "n")
+    counts = Table(counted(asked, g), "lm-counts")
+    told = counts.read()
     of_dishes = told.where("kind = 'seats'").agg(F.sum("n1"), F.sum("n2")).first()
     discount = _discount(of_dishes[0] or 0, of_dishes[1] or 0)
     # At first each dish has a table: those of one customer stay so, and the others begin with one.
-    state, samples = told, []
-    slices = _stage(totalled(_seated(told, told.where("kind = 'seats'"), g), g, lambda t, k: np.minimum(t, 1)), "lm-slices")
-    sums = Totals(slices)
-    top_discount = sums.discount
+    slices = Table(totalled(_seated(told, told, g), g, lambda t, k: np.minimum(t, 1)), "lm-slices")
+    sums = Totals(slices.read())
+    top_discount, samples = sums.discount, []
     for sweep in range(burn + kept):
-        state = _stage(_sweep(told, slices, sums, g, discount, top_discount, seed + 1000 * sweep), "lm-seats")
-        slices = _stage(totalled(_seated(told, state, g), g, _parent_seats(sums.v, sums.top, top_discount, seed + 1000 * sweep)), "lm-slices")
-        sums = Totals(slices)
+        state = Table(_sweep(told, slices.read(), sums, g, discount, top_discount, seed + 1000 * sweep), "lm-seats")
+        if sweep <= burn:
+            slices.drop()
+        slices = Table(totalled(_seated(told, state.read(), g), g, _parent_seats(sums.v, sums.top, top_discount, seed + 1000 * sweep)), "lm-slices")
+        sums = Totals(slices.read())
         if sweep >= burn:
-            samples.append((state, slices, sums))
-    answers = _stage(_answers(asked, samples, g, discount, top_discount), "lm-answers")
-    return _by_document(encoded, answers, sums, id_col)
+            samples.append((state.read(), slices.read(), sums))
+        else:
+            state.drop()
+    counts.drop()
+    answers = Table(_answers(asked, samples, g, discount, top_discount), "lm-answers")
+    chunks.drop("asked")
+    return _by_document(chunks.read().where("kind = 'texts'"), answers.read(), sums, max(1, chars // (6 * CHUNK)), id_col)
 
 
 def _seated(told: DataFrame, state: DataFrame, g: int) -> DataFrame:
@@ -418,7 +447,7 @@ def _answers(asked: DataFrame, samples: list, g: int, d: float, top_d: float) ->
     return _dealt(rows, "block", g * g, "kind", "chunk").mapInArrow(answer, "chunk long, block int, p binary, per_w binary, c binary")
 
 
-def _by_document(encoded: DataFrame, answers: DataFrame, sums: Totals, id_col: str) -> DataFrame:
+def _by_document(texts: DataFrame, answers: DataFrame, sums: Totals, parts: int, id_col: str) -> DataFrame:
     n, v = sums.n, sums.v
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -441,6 +470,6 @@ def _by_document(encoded: DataFrame, answers: DataFrame, sums: Totals, id_col: s
                 )
 
     none = lambda *names: [F.lit(None).cast("binary").alias(x) for x in names]
-    docs = encoded.where("block = -1").select("chunk", "block", "ids", "sizes", "at", "flags", *none("p", "per_w", "c"))
+    docs = texts.select("chunk", "block", "ids", "sizes", "at", "flags", *none("p", "per_w", "c"))
     met = docs.union(answers.select("chunk", "block", *none("ids", "sizes", "at", "flags"), "p", "per_w", "c"))
-    return met.repartition("chunk").sortWithinPartitions("chunk", "block").mapInArrow(add, f"`{id_col}` long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
+    return _dealt(met, "chunk", parts, "block").mapInArrow(add, f"`{id_col}` long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
