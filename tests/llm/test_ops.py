@@ -221,22 +221,24 @@ def plain_tokens(text, names):
     return out
 
 
-def plain_contamination(text, item, window=8, shortest=5, coverage=0.5, least=13):
+def plain_contamination(text, item, window=8, shortest=4, literals=4, coverage=0.5, least=13):
     covered, n_item = set(), 0
     for bn in (True, False):
         b = plain_tokens(item, bn)
-        if len(b) < shortest:
+        if not b:
             continue
         n_item = len(b)
         width = min(window, len(b))
         for dn in (True, False):
             d = plain_tokens(text, dn)
+            if len(b) < shortest and len(d) != len(b):
+                continue
             for i in range(len(b) - width + 1):
                 for j in range(len(d) - width + 1):
                     x, y = b[i : i + width], d[j : j + width]
                     if all(p[0] == q[0] and (p[0] or p[1] == q[1]) for p, q in zip(x, y, strict=True)):
                         changed = {(p[1], q[1]) for p, q in zip(x, y, strict=True) if p[0] and p[1] != q[1]}
-                        if len({p for p, _ in changed}) == len(changed):
+                        if len({p for p, _ in changed}) == len(changed) and (not changed or sum(not p[0] for p in x) >= literals):
                             covered.update(range(i, i + width))
     return n_item and (len(covered) / n_item >= coverage or len(covered) >= least)
 
@@ -276,6 +278,21 @@ def test_decontamination_matches_brute_force(spark):
     assert {(len(texts) - k, len(items) - 1) for k in (1, 2, 3)} <= got
 
 
+def test_decontamination_needs_words_in_a_template(spark):
+    items = [" ".join(str(n) for n in range(12, 54, 3)), "what is photosynthesis exactly", "Yes, indeed", "Anna Bob Carl Dora Emil Fritz Gerd Hans Ida Jan Kai Leo"]
+    texts = ["Sales by month were " + " ".join(str(n) for n in range(900, 1000, 7)) + " in total", "so what is photosynthesis exactly then", "yes indeed", "well yes indeed it is", "list: " + items[0], "with Kim Lea Max Nina Olaf Paul Quinn Rosa Sven Tom Ulf Vera and", None]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.n_changed for r in decontam.contaminated(docs(spark, texts), bench).collect()}
+    assert got == {(1, 1): 0, (2, 2): 0, (4, 0): 0}
+
+
+def test_decontamination_of_number_tables_stays_small(spark):
+    rnd = random.Random(4)
+    numbers = lambda n: " ".join(str(rnd.randint(0, 10**6)) for _ in range(n))
+    bench = spark.createDataFrame([(i, numbers(60)) for i in range(20)], "item_id long, text string")
+    assert decontam.contaminated(docs(spark, [numbers(3000)]), bench).count() == 0
+
+
 def test_packing_keeps_every_token_and_every_constraint(spark):
     rnd = random.Random(6)
     texts = [" ".join(["w"] * rnd.choice([0, 1, 5, 40, 99, 100, 101, 350])) for _ in range(300)] + [None]
