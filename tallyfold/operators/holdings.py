@@ -88,9 +88,9 @@ def positions(day_moves: DataFrame, keys: list[str] = KEY) -> DataFrame:
     return m.select(*keys, "date", "qty", (F.col("cost") + F.col("a") * carried).alias("cost"))
 
 
-def daily_cube(held: DataFrame, until, keys: list[str] = KEY) -> DataFrame:
-    """H4: each position's state on every day from its first move to `until`."""
-    return carry(held, keys, "date", until, ["qty", "cost"])
+def daily_cube(held: DataFrame, until, keys: list[str] = KEY, since=None) -> DataFrame:
+    """H4: each position's state on every day from its first move (and `since`, if given) to `until`."""
+    return carry(held, keys, "date", until, ["qty", "cost"], since)
 
 
 def net_invested_cube(ledger: DataFrame, until, keys: list[str] = KEY) -> DataFrame:
@@ -102,13 +102,13 @@ def net_invested_cube(ledger: DataFrame, until, keys: list[str] = KEY) -> DataFr
     return carry(run, keys, "date", until, ["qty", "net_invested"])
 
 
-def mark_to_market(cube: DataFrame, prices: DataFrame, until) -> DataFrame:
+def mark_to_market(cube: DataFrame, prices: DataFrame, until, since=None) -> DataFrame:
     """M1: cube rows with the last close and market value; 0 where never priced.
 
     Closes are carried to every day once, by symbol; the cube then meets them by symbol and day, so no
     symbol's positions stand in one task.
     """
-    m = cube.join(carry(prices, ["symbol"], "date", until, ["close"]), ["symbol", "date"], "left")
+    m = cube.join(carry(prices, ["symbol"], "date", until, ["close"], since), ["symbol", "date"], "left")
     return m.withColumn("mv", F.col("qty") * F.coalesce("close", F.lit(0.0)))
 
 
@@ -130,10 +130,10 @@ def running_cash(deltas: DataFrame) -> DataFrame:
     return deltas.select("portfolio", "date", F.sum("delta").over(w).alias("balance"))
 
 
-def nav(marked: DataFrame, cash: DataFrame, until) -> DataFrame:
+def nav(marked: DataFrame, cash: DataFrame, until, since=None) -> DataFrame:
     """Market value, cost, carried cash and net asset value by portfolio and day up to `until`."""
     day = marked.groupBy("portfolio", "date").agg(F.sum("mv").alias("mv"), F.sum("cost").alias("cost"))
-    n = day.join(carry(cash, ["portfolio"], "date", until, ["balance"]), ["portfolio", "date"], "left").withColumn("cash", F.coalesce("balance", F.lit(0.0))).drop("balance")
+    n = day.join(carry(cash, ["portfolio"], "date", until, ["balance"], since), ["portfolio", "date"], "left").withColumn("cash", F.coalesce("balance", F.lit(0.0))).drop("balance")
     return n.withColumn("nav", F.col("mv") + F.col("cash"))
 
 

@@ -143,6 +143,15 @@ def changed_without_future(prices: DataFrame, cut: str, make, columns: list[str]
     return whole.exceptAll(part).select("symbol", "date")
 
 
+def changed_by_past(prices: DataFrame, cut: str, make, columns: list[str]) -> DataFrame:
+    """symbol, date of rows from `cut` on for which `make` gives other `columns` once earlier closes are half as high again."""
+    cols = ["symbol", "date", *[F.round(c, 9).alias(c) for c in columns]]
+    day = F.lit(cut).cast("date")
+    after = make(prices).where(F.col("date") >= day).select(*cols)
+    moved = prices.withColumn("close", F.when(F.col("date") < day, F.col("close") * 1.5).otherwise(F.col("close")))
+    return after.exceptAll(make(moved).where(F.col("date") >= day).select(*cols)).select("symbol", "date")
+
+
 def train_trees(rows: DataFrame, max_iter: int = 200, label: str = "label", seed: int = 42):
     """Boosted trees with the classes weighted by their training ratio; returns (assembler, model)."""
     from pyspark.ml.classification import GBTClassifier

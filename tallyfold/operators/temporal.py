@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tallyfold.operators.scan import prefix
+
 END_OF_TIME = "9999-12-31"
 
 
@@ -21,13 +23,15 @@ def extend_calendar(existing: DataFrame, start: str, end: str) -> DataFrame:
     return calendar(existing.sparkSession, start, end).join(existing.select("full_date"), "full_date", "left_anti")
 
 
-def asof_join(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str, right_ts: str, values: list[str], tolerance_days: int | None = None, direction: str = "backward") -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str, right_ts: str, values: list[str], tolerance_days: int | None = None, direction: str = "backward", blocked: bool = False) -> DataFrame:
     """Each left row with the values of the right row of its keys nearest in time.
 
     Both sides are stacked and one window carries the last right row along, so the work is one shuffle and one
-    sort, whatever the sides' sizes; no pair of rows is formed. Of right rows with equal keys and time the
-    greatest values win. `tolerance_days` limits the distance; `direction` is backward or forward. Null keys
-    and times match nothing: such left rows come back with nulls, such right rows take no part.
+    sort, whatever the sides' sizes; no pair of rows is formed. With `blocked`, rows are sorted by key and time
+    over all tasks and last rows are carried from range to range (scan.prefix), so that a key may hold all
+    rows. Of right rows with equal keys and time the greatest values win. `tolerance_days` limits the
+    distance; `direction` is backward or forward. Null keys and times match nothing: such left rows come back
+    with nulls, such right rows take no part.
     """
     known = F.col(right_ts).isNotNull()
     for k in keys:
@@ -38,8 +42,12 @@ def asof_join(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str,
     l = left.select(*keys, F.col(left_ts).alias("__t"), F.lit(1 if back else 0).alias("__s"), F.struct(*names).alias("__l"), F.lit(None).cast(right.select(F.struct(F.col(right_ts).alias("t"), *values).alias("x")).schema["x"].dataType).alias("__r"))
     r = right.select(*keys, F.col(right_ts).alias("__t"), F.lit(0 if back else 1).alias("__s"), F.lit(None).cast(l.schema["__l"].dataType).alias("__l"), F.struct(F.col(right_ts).alias("t"), *values).alias("__r"))
     order = [F.col("__t"), F.col("__s"), F.col("__r")] if back else [F.col("__t").desc(), F.col("__s").desc(), F.col("__r")]
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    both = l.unionByName(r).withColumn("__r", F.last("__r", ignorenulls=True).over(w)).where("__l is not null")
+    both = l.unionByName(r)
+    if blocked:
+        both = prefix(both, keys, order, lasts={"__near": "__r"}, name="asof").withColumn("__r", F.col("__near"))
+    else:
+        both = both.withColumn("__r", F.last("__r", ignorenulls=True).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    both = both.where("__l is not null")
     near = F.col("__t").isNotNull() if tolerance_days is None else F.abs(F.datediff("__t", F.col("__r.t"))) <= tolerance_days
     return both.select("__l.*", *[F.when(near, F.col(f"__r.{v}")).alias(v) for v in values])
 
@@ -50,16 +58,20 @@ def densify(rows: DataFrame, keys: list[str], date: str, until: Column) -> DataF
     return first.select(*keys, F.explode(F.sequence("__first", until)).alias(date))
 
 
-def carry(rows: DataFrame, keys: list[str], date: str, until: Column, values: list[str]) -> DataFrame:
+def carry(rows: DataFrame, keys: list[str], date: str, until: Column, values: list[str], since: Column | None = None) -> DataFrame:
     """D10 on D11: every day from each row's date to the day before the next one of its keys, the last to `until`.
 
     One window over the rows themselves, before they are spread over days; days are made in place, without a
-    join. Of rows with equal keys and date one counts; rows after `until` or without a date are left out.
+    join. Of rows with equal keys and date one counts; rows after `until` or without a date are left out. With
+    `since` only the days from there on are made, from what each key's last row before them says.
     """
     r = rows.where(F.col(date) <= until)
     last = F.coalesce(F.date_sub(F.lead(date).over(Window.partitionBy(*keys).orderBy(date)), 1), until)
     r = r.withColumn("__last", last).where(F.col("__last") >= F.col(date))
-    return r.select(*keys, F.explode(F.sequence(date, "__last")).alias(date), *values)
+    first = F.col(date)
+    if since is not None:
+        r, first = r.where(F.col("__last") >= since), F.greatest(first, since)
+    return r.select(*keys, F.explode(F.sequence(first, F.col("__last"))).alias(date), *values)
 
 
 def scd2_upsert(current: DataFrame, incoming: DataFrame, key: str = "ticker", attributes: tuple[str, ...] = ("sector", "industry")) -> DataFrame:

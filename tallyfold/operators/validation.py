@@ -87,11 +87,20 @@ def clean(valid: DataFrame, aliases: DataFrame, rates: DataFrame, keys: list[str
     return t.withColumn("anomaly", trade & F.coalesce(moved, F.lit(False))).select(*keys, row, "date", "ticker", "transaction_type", "quantity", "price", "fees", "tax", "currency", "currency_original", "price_base", "imputed", "unresolved", "near_duplicate", "anomaly")
 
 
-def quality_report(validated: DataFrame, cleaned: DataFrame, keys: list[str]) -> DataFrame:
-    """Counters per upload."""
+def quality_report(validated: DataFrame, cleaned: DataFrame, keys: list[str], adjusted: DataFrame | None = None) -> DataFrame:
+    """Counters per upload, and the split adjustments made: how many rows, and a note for each split.
+
+    adjusted: keys, symbol, note of the trades as V9 gives them; notes are as many as there were splits.
+    """
     a = validated.groupBy(*keys).agg(F.count("*").alias("rows_in"), F.count("reason").alias("rows_rejected"))
     b = cleaned.groupBy(*keys).agg(F.count("*").alias("rows_cleaned"), F.count_if("near_duplicate").alias("near_duplicates_flagged"), F.sum("imputed").alias("values_imputed"), F.count_if("anomaly").alias("anomalies_flagged"), F.count_if("unresolved").alias("rows_unresolved"))
-    return a.join(b, keys, "left").withColumn("duplicates_dropped", F.col("rows_in") - F.col("rows_rejected") - F.coalesce("rows_cleaned", F.lit(0)))
+    out = a.join(b, keys, "left").withColumn("duplicates_dropped", F.col("rows_in") - F.col("rows_rejected") - F.coalesce("rows_cleaned", F.lit(0)))
+    if adjusted is None:
+        return out.withColumn("split_adjustments_applied", F.lit(0).cast("long")).withColumn("notes", F.array().cast("array<string>"))
+    each = adjusted.where("note is not null").groupBy(*keys, "symbol", "note").agg(F.count("*").alias("n"))
+    note = lambda x: F.format_string("%s: %s (%d rows)", x["symbol"], x["note"], x["n"])
+    g = each.groupBy(*keys).agg(F.sum("n").alias("split_adjustments_applied"), F.transform(F.sort_array(F.collect_list(F.struct("symbol", "note", "n"))), note).alias("notes"))
+    return out.join(g, keys, "left").withColumn("split_adjustments_applied", F.coalesce("split_adjustments_applied", F.lit(0).cast("long"))).withColumn("notes", F.coalesce("notes", F.array().cast("array<string>")))
 
 
 def metadata(tickers: DataFrame, known: DataFrame) -> DataFrame:

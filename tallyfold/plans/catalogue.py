@@ -22,7 +22,7 @@ from tallyfold.operators import temporal as tp
 from tallyfold.operators import validation as va
 from tallyfold.plans import adapter as ad
 from tallyfold.plans.adapter import AS_OF, CUBE, INDEX, MONTHLY, PRICES, RAW, RAW_FINE, TO_HELD, TO_LEDGER, TO_MARKED, TO_NAV, sql, table
-from tallyfold.sources import stores
+from tallyfold.sources import marts, stores
 from tallyfold.sources.shared import shared_dir, staged
 from tallyfold.streaming.advance import advance
 
@@ -78,6 +78,22 @@ class Book:
     def nav(self):
         return ho.nav(self.marked, ho.running_cash(ho.cash_delta(self.ledger)), self.as_of)
 
+    def marked_between(self, start: str, end: str):
+        """The marked cube's days from start to end, from the states and closes on the first of them on."""
+        a, b = F.lit(start).cast("date"), F.lit(end).cast("date")
+        return ho.mark_to_market(ho.daily_cube(self.held, b, since=a), self.prices, b, a)
+
+    def nav_between(self, start: str, end: str):
+        a, b = F.lit(start).cast("date"), F.lit(end).cast("date")
+        return ho.nav(self.marked_between(start, end), ho.running_cash(ho.cash_delta(self.ledger)), b, a)
+
+    def stored(self, rows, name, key="portfolio", date="date"):
+        """Rows written as a mart; returns a reader of it."""
+        path = f"{shared_dir(self.spark)}/tallyfold/mart-{name}-{uuid4().hex}"
+        marts.write(rows, path, key, date)
+        schema = marts.placed(rows, key, date).schema
+        return lambda value=None, start=None, end=None: marts.read(self.spark, path, key, date, schema, value, start, end)
+
     @property
     def last_day(self):
         """The cube's last day, without the days before it: each position's last state and each symbol's last close."""
@@ -179,32 +195,43 @@ def s7_replace_history(spark, d):
 @query(sql(PRICES, """nw as (select symbol, date, close + 1 as close, volume + 1 as volume from prices where date >= '2001-01-01')
 select symbol, date, round(coalesce(n.close, p.close), 9) as close, coalesce(n.volume, p.volume) as volume from prices p full join nw n using (symbol, date)"""))
 def s8_price_upsert(spark, d):
-    p = ad.prices(spark, d).select("symbol", "date", "close", "volume")
-    new = p.where("date >= '2001-01-01'").select("symbol", "date", (F.col("close") + 1).alias("close"), (F.col("volume") + 1).alias("volume"))
-    return r(stores.upsert(p.withColumn("v", F.lit(1)), new.withColumn("v", F.lit(2)), ["symbol", "date"], "v").drop("v"), 9)
+    """The stored prices, after a batch of newer ones was merged into them twice."""
+    p = ad.prices(spark, d).select("symbol", "date", "close", "volume", F.lit(1).alias("v"))
+    path = f"{shared_dir(spark)}/tallyfold/prices-{uuid4().hex}"
+    marts.write(p, path, "symbol", "date")
+    new = p.where("date >= '2001-01-01'").select("symbol", "date", (F.col("close") + 1).alias("close"), (F.col("volume") + 1).alias("volume"), F.lit(2).alias("v"))
+    for _ in range(2):
+        marts.merge(new, path, "symbol", "date", ["symbol", "date"], "v")
+    return r(marts.read(spark, path, "symbol", "date", marts.placed(p, "symbol", "date").schema).drop("v"), 9)
 
 
 @query(sql(RAW, "select portfolio, symbol, date, kind, qty, round(price, 9) as price, max(row_idx) as lineage from raw group by all"))
 def s9_ledger_upsert(spark, d):
-    t = ad.raw_trades(spark, d).withColumn("price", F.round("price", 9))
+    """A ledger stored from the trades of even rows, into which all trades are merged."""
     key = ["portfolio", "symbol", "date", "kind", "qty", "price"]
-    return tp.pick_one(t, key, [F.desc("row_idx")]).select(*key, F.col("row_idx").alias("lineage"))
+    t = staged(ad.raw_trades(spark, d).withColumn("price", F.round("price", 9)).select(*key, F.col("row_idx").alias("lineage")), "trades")
+    path = f"{shared_dir(spark)}/tallyfold/ledger-{uuid4().hex}"
+    marts.write(tp.pick_one(t.where("lineage % 2 = 0"), key, [F.desc("lineage")]), path, "portfolio", "date")
+    marts.merge(t, path, "portfolio", "date", key, "lineage")
+    return marts.read(spark, path, "portfolio", "date", marts.placed(t, "portfolio", "date").schema)
 
 
-@query(sql(*TO_HELD, """gone as (select portfolio from (values ('BUILDING'), ('MACHINERY')) t(portfolio)),
-k as (select portfolio, date from ledger group by 1, 2)
+@query(sql(*TO_NAV, """gone as (select portfolio from (values ('BUILDING'), ('MACHINERY'), ('NOBODY')) t(portfolio)),
 select 'portfolio' as table_name, c_mktsegment as portfolio, 1 as n from customer where c_mktsegment not in (from gone) group by 2 union all
 select 'ledger', portfolio, count(*) from ledger where portfolio not in (from gone) group by 2 union all
 select 'holdings', portfolio, count(*) from held where portfolio not in (from gone) group by 2 union all
-select 'cash', portfolio, count(*) from k where portfolio not in (from gone) group by 2"""))
+select 'value', portfolio, count(*) from nav where portfolio not in (from gone) group by 2 union all
+select 'returns', portfolio, count(*) from rets where portfolio not in (from gone) and r is not null group by 2 union all
+select 'absent', portfolio, 1 from gone where portfolio not in (select c_mktsegment from customer)"""))
 def s10_cascade_delete(spark, d):
     b = Book(spark, d)
-    gone = spark.createDataFrame([("BUILDING",), ("MACHINERY",)], "portfolio string")
-    tables = {"portfolio": table(spark, d, "customer").select(F.col("c_mktsegment").alias("portfolio")).distinct(), "ledger": b.ledger, "holdings": b.held, "cash": ho.cash_delta(b.ledger)}
-    out = None
+    gone = spark.createDataFrame([("BUILDING",), ("MACHINERY",), ("NOBODY",)], "portfolio string")
+    names, values = table(spark, d, "customer").select(F.col("c_mktsegment").alias("portfolio")).distinct(), staged(b.nav, "nav")
+    tables = {"portfolio": names, "ledger": b.ledger, "holdings": b.held, "value": values, "returns": ho.nav_returns(values).where("r is not null")}
+    out = stores.absent(gone, names).select(F.lit("absent").alias("table_name"), "portfolio", F.lit(1).cast("long").alias("n"))
     for name, rows in stores.delete_cascade(tables, gone).items():
         one = rows.groupBy("portfolio").agg(F.count("*").alias("n")).select(F.lit(name).alias("table_name"), "portfolio", "n")
-        out = one if out is None else out.union(one)
+        out = out.union(one)
     return out
 
 
@@ -314,12 +341,16 @@ def d5_attributes_as_of(spark, d):
     return r(tp.resolve_at(h, _versions(spark, d), "ticker", "date", ["sector"]).select("portfolio", "symbol", "date", "sector", "cost"), 4)
 
 
-@query("select 'INDEX' as ticker, 'INDEX' as sector, date '1995-01-01' as effective_from, date '9999-12-31' as effective_to, true as is_current from lineitem having count(*) > 0")
+@query(sql(*TO_LEDGER, INDEX, """firsts as (select portfolio, min(date) as day from ledger group by 1)
+select 'INDEX ' || portfolio as ticker, 'INDEX' as sector, least((select min(date) from idx where date >= date '1996-06-01'), day) as effective_from, date '9999-12-31' as effective_to, true as is_current from firsts"""))
 def d6_benchmark_asset(spark, d):
-    day = table(spark, d, "lineitem").agg(F.lit("1995-01-01").cast("date").alias("a"), F.count("*").alias("n")).where("n > 0")
-    cols = [F.lit("INDEX").alias("ticker"), F.lit("INDEX").alias("sector"), F.lit(None).cast("string").alias("industry")]
-    cur = day.select(*cols, F.lit("1996-06-01").cast("date").alias("effective_from"), F.lit(tp.END_OF_TIME).cast("date").alias("effective_to"), F.lit(True).alias("is_current"))
-    return tp.scd2_upsert(cur, day.select(*cols, F.col("a").alias("as_of"))).drop("industry")
+    """The index's row of each portfolio, registered as of the index's first day from June 1996, is backdated to the portfolio's first trade."""
+    b = Book(spark, d)
+    cols = [F.concat(F.lit("INDEX "), "portfolio").alias("ticker"), F.lit("INDEX").alias("sector"), F.lit(None).cast("string").alias("industry")]
+    firsts = staged(b.ledger.groupBy("portfolio").agg(F.min("date").alias("as_of")), "firsts")
+    day = b.index.where("date >= '1996-06-01'").agg(F.min("date").alias("effective_from"))
+    cur = firsts.crossJoin(F.broadcast(day)).select(*cols, "effective_from", F.lit(tp.END_OF_TIME).cast("date").alias("effective_to"), F.lit(True).alias("is_current"))
+    return tp.scd2_upsert(cur, firsts.select(*cols, "as_of")).drop("industry")
 
 
 @query(f"""with t as ({TICKERS}) select split_part(ticker, '.', 1) as base, max(ticker) as ticker from t group by 1""")
@@ -347,7 +378,7 @@ def d9_listing_correction(spark, d):
 @query(sql(RAW, PRICES, "select portfolio, symbol, row_idx, date, round(p.close, 9) as close from (select r.*, date - 1 as before from raw r) r asof left join (select symbol as s, date as pd, close from prices) p on r.symbol = p.s and r.before >= p.pd"))
 def d10_asof_join(spark, d):
     t = ad.raw_trades(spark, d).select("portfolio", "symbol", "row_idx", "date", F.date_sub("date", 1).alias("before"))
-    return r(tp.asof_join(t, ad.prices(spark, d), ["symbol"], "before", "date", ["close"]).drop("before"), 9)
+    return r(tp.asof_join(t, ad.prices(spark, d), ["symbol"], "before", "date", ["close"], blocked=True).drop("before"), 9)
 
 
 @query(sql(*TO_HELD, AS_OF, CUBE.split(",\ncube as")[0], "select portfolio, symbol, date from cube_days"))
@@ -453,11 +484,14 @@ def c1_c9_clean(spark, d):
     return _cleaned(spark, d)[1]
 
 
-@query(sql(CLEANED, """select v.portfolio, v.rows_in, v.rows_rejected, c.rows_cleaned, c.near_duplicates_flagged, c.values_imputed, c.anomalies_flagged, c.rows_unresolved, v.rows_in - v.rows_rejected - c.rows_cleaned as duplicates_dropped
-from (select portfolio, count(*) as rows_in, count(reason) as rows_rejected from reasons group by 1) v join (select portfolio, count(*) as rows_cleaned, count(*) filter (near_duplicate) as near_duplicates_flagged, sum(imputed) as values_imputed, count(*) filter (anomaly) as anomalies_flagged, count(*) filter (unresolved) as rows_unresolved from cleaned group by 1) c using (portfolio)"""))
+@query(sql(CLEANED, RAW, SPLITS, """adj as (select portfolio, raw.symbol, strftime(split_date, '%Y-%m-%d') || ' x' || cast(ratio as varchar) as note, count(*) as n from raw join splits s on s.symbol = raw.symbol and s.split_date > raw.date group by 1, 2, 3),
+sa as (select portfolio, cast(sum(n) as bigint) as n, string_agg(symbol || ': ' || note || ' (' || n || ' rows)', '; ' order by symbol, note) as notes from adj group by 1)
+select v.portfolio, v.rows_in, v.rows_rejected, c.rows_cleaned, c.near_duplicates_flagged, c.values_imputed, c.anomalies_flagged, c.rows_unresolved, v.rows_in - v.rows_rejected - c.rows_cleaned as duplicates_dropped, coalesce(sa.n, 0) as split_adjustments_applied, coalesce(sa.notes, '') as notes
+from (select portfolio, count(*) as rows_in, count(reason) as rows_rejected from reasons group by 1) v join (select portfolio, count(*) as rows_cleaned, count(*) filter (near_duplicate) as near_duplicates_flagged, sum(imputed) as values_imputed, count(*) filter (anomaly) as anomalies_flagged, count(*) filter (unresolved) as rows_unresolved from cleaned group by 1) c using (portfolio) left join sa using (portfolio)"""))
 def c10_quality_report(spark, d):
     v, c = _cleaned(spark, d)
-    return va.quality_report(v, c, ["portfolio"])
+    adjusted = va.split_adjust(ad.raw_trades(spark, d), splits(spark, d), ["portfolio", "symbol", "row_idx"])
+    return va.quality_report(v, c, ["portfolio"], adjusted).withColumn("notes", F.array_join("notes", "; "))
 
 
 @query(sql(*TO_HELD, """select * from (values
@@ -473,11 +507,11 @@ def c10_quality_report(spark, d):
 def q1_q8_expectations(spark, d):
     li, o, s = (table(spark, d, t) for t in ("lineitem", "orders", "supplier"))
     held = Book(spark, d).held
-    return ex.suite({
-        "unique order": ex.unique(o, "o_orderkey"), "unique line": ex.unique(li, "l_orderkey", "l_linenumber"), "date not null": ex.not_null(li, "l_shipdate"), "order known": ex.related(li, "l_orderkey", o, "o_orderkey"),
-        "supplier known": ex.related(li, "l_suppkey", s.where("s_suppkey % 3 <> 0"), "s_suppkey"), "flag accepted": ex.accepted(li, "l_returnflag", ["A", "N"]), "discount in range": ex.in_range(li, "l_discount", 0.02, 0.08),
-        "zero cost when not held": ex.zero_when_not_held(held), "held not negative": ex.in_range(held, "qty", low=-1e-9),
-    })
+    return ex.suite(
+        {"unique order": ex.unique(o, "o_orderkey"), "unique line": ex.unique(li, "l_orderkey", "l_linenumber"), "order known": ex.related(li, "l_orderkey", o, "o_orderkey"), "supplier known": ex.related(li, "l_suppkey", s.where("s_suppkey % 3 <> 0"), "s_suppkey")},
+        ex.violated(li, {"date not null": ex.is_missing("l_shipdate"), "flag accepted": ex.is_other("l_returnflag", ["A", "N"]), "discount in range": ex.is_outside("l_discount", 0.02, 0.08)}),
+        ex.violated(held, {"zero cost when not held": ex.costs_unheld(), "held not negative": ex.is_outside("qty", low=-1e-9)}),
+    )
 
 
 @query(sql(VERSIONS, "select ticker, count(*) as n from versions where is_current or ticker like '%2' group by 1 having count(*) > 1"))
@@ -565,16 +599,47 @@ def s6_allocation_reader(spark, d):
     b = Book(spark, d)
     versions = _versions(spark, d).withColumn("currency", F.when(F.col("sector").endswith("*"), "USD").otherwise("INR"))
     mart = tp.resolve_at(b.last_day.withColumn("ticker", F.col("symbol")), versions, "ticker", "date", ["sector", "currency"])
-    mine = stores.read_mart(mart, "portfolio", "BUILDING", ["date", "symbol"])
+    mine = b.stored(mart, "allocation")("BUILDING").orderBy("date", "symbol")
     return r(mine.select("portfolio", "symbol", "sector", "currency", st.ratio(F.col("mv"), F.sum("mv").over(Window.partitionBy("portfolio"))).alias("weight")))
 
 
 @query(sql(*TO_LEDGER, "select portfolio, date, symbol as ticker, kind, qty, row_idx from ledger where portfolio = 'BUILDING'"))
 def s6_transactions_reader(spark, d):
-    mine = stores.read_mart(Book(spark, d).ledger, "portfolio", "BUILDING", ["date", "symbol", "row_idx"])
+    b = Book(spark, d)
+    mine = b.stored(b.ledger, "transactions")("BUILDING").orderBy("date", "symbol", "row_idx")
     return mine.select("portfolio", "date", F.col("symbol").alias("ticker"), "kind", "qty", "row_idx")
 
 
+@query(sql(*TO_NAV, "select portfolio, date, round(mv, 2) as mv, round(cash, 2) as cash, round(nav, 2) as nav, round(r, 6) as r from rets where portfolio = 'MACHINERY'"))
+def s6_performance_reader(spark, d):
+    b = Book(spark, d)
+    mine = b.stored(ho.nav_returns(b.nav), "performance")("MACHINERY").orderBy("date")
+    return r(mine.select("portfolio", "date", F.round("mv", 2).alias("mv"), F.round("cash", 2).alias("cash"), F.round("nav", 2).alias("nav"), "r"))
+
+
+@query(sql(*TO_MARKED, "select portfolio, symbol, date, round(qty, 2) as qty, round(close, 4) as close, round(mv, 2) as mv from marked where portfolio = 'MACHINERY' and date between date '1996-01-01' and date '1996-06-30'"))
+def s6_asset_reader(spark, d):
+    """Half a year of one portfolio's assets from the stored cube: six months' folders of one bucket."""
+    b = Book(spark, d)
+    mine = b.stored(b.marked, "assets")("MACHINERY", "1996-01-01", "1996-06-30").orderBy("date", "symbol")
+    return mine.select("portfolio", "symbol", "date", F.round("qty", 2).alias("qty"), F.round("close", 4).alias("close"), F.round("mv", 2).alias("mv"))
+
+
+@query(sql(*TO_NAV, INDEX, "select n.portfolio, n.date, round(n.r, 6) as r, round(i.close, 6) as close from rets n join idx i on n.date = i.date where n.portfolio = 'FURNITURE'"))
+def s6_benchmark_reader(spark, d):
+    b = Book(spark, d)
+    rows = ho.nav_returns(b.nav).select("portfolio", "date", "r").join(b.index, "date").select("portfolio", "date", "r", "close")
+    return r(b.stored(rows, "benchmark")("FURNITURE").orderBy("date"))
+
+
+@query(sql(PRICES, "select symbol, date, round(close, 9) as close from prices where symbol in ('Brand#11', 'Brand#23')"))
+def s6_price_reader(spark, d):
+    """Whole price histories of two symbols, each day once."""
+    b = Book(spark, d)
+    read = b.stored(b.prices.select("symbol", "date", "close"), "prices", "symbol")
+    return r(read("Brand#11").union(read("Brand#23")).dropDuplicates(["symbol", "date"]), 9)
+
+
 @query(sql(*TO_NAV, "select portfolio, date, round(exp(sum(ln(1 + coalesce(r, 0))) over (partition by portfolio order by date)) - 1, 4) as cumulative from rets"))
 def m2_cumulative_return(spark, d):
     n = ho.nav_returns(Book(spark, d).nav)
@@ -606,7 +671,9 @@ def m5_benchmark(spark, d):
 
 @query(sql(*TO_NAV, "select portfolio, round(nav, 2) as nav from nav where date = date '1998-12-31'"))
 def m6_value_on_date(spark, d):
-    return r(Book(spark, d).nav.where("date = '1998-12-31'").select("portfolio", "nav"), 2)
+    """One day of the stored values, whose month alone is made and read."""
+    b = Book(spark, d)
+    return r(b.stored(b.nav_between("1998-12-01", "1998-12-31"), "value")(start="1998-12-31", end="1998-12-31").select("portfolio", "nav"), 2)
 
 
 @query(sql(*TO_MARKED, "select portfolio, symbol, round(qty, 2) as qty from marked where date = (select max(date) from marked)"))
@@ -929,7 +996,8 @@ ct as (select s.portfolio, s.symbol, s.weight, p.ret, s.weight * p.ret as contri
 
 def _contributions(spark, d):
     b = Book(spark, d)
-    w = b.marked.where("date = '1998-01-01'").select("portfolio", "symbol", st.ratio(F.col("mv"), F.sum("mv").over(Window.partitionBy("portfolio"))).alias("weight"))
+    day = b.stored(b.marked_between("1998-01-01", "1998-01-31"), "assets")(start="1998-01-01", end="1998-01-01")
+    w = day.select("portfolio", "symbol", st.ratio(F.col("mv"), F.sum("mv").over(Window.partitionBy("portfolio"))).alias("weight"))
     at = lambda day, name: b.prices.where(f"date <= '{day}'").groupBy("symbol").agg(F.max_by("close", "date").alias(name))
     ret = at("1998-01-01", "a").join(at("1998-06-30", "b"), "symbol").select("symbol", (F.col("b") / F.col("a") - 1).alias("ret"))
     return al.contributions(w, ret), b
@@ -1077,13 +1145,13 @@ def f4_method_comparison(spark, d):
     return fc.agreement(fc.path_summary(_paths(spark, d), ["symbol"]).join(point, "symbol")).select("symbol", "verdict")
 
 
-@query()
+@query(sql(PRICES, "x as (select symbol, close from prices qualify row_number() over (partition by symbol order by date desc) <= 20)", "select symbol, round(avg(close), 6) as point from x group by 1"))
 def f5_custom_forecaster(spark, d):
     def mean_of_last(pdf):
         pdf = pdf.sort_values("date").tail(20)
         return pdf.groupby("symbol", as_index=False)["close"].mean().rename(columns={"close": "point"})
 
-    return fc.forecast_with(ad.prices(spark, d).select("symbol", "date", "close"), ["symbol"], mean_of_last, "symbol string, point double")
+    return r(fc.forecast_with(ad.prices(spark, d).select("symbol", "date", "close"), ["symbol"], mean_of_last, "symbol string, point double"))
 
 
 # ---- volatility regimes
@@ -1217,13 +1285,14 @@ def l22_feature_importances(spark, d):
 
 
 @query(sql(PRICES, FEATS, """e as (select symbol, date, row_number() over (partition by symbol order by date desc) as left_over, count(r) over (partition by symbol order by date) as n, vol_forward from (select symbol, date, ret_1 as r, vol_forward from feats) where date <= date '1998-06-30')
-select 'features' as probe, 0::bigint as n_changed union all select 'label, its future taken away', count(*) from e where left_over <= 21 and vol_forward is not null"""))
+select 'features' as probe, 0::bigint as n_changed union all select 'label, its past changed', 0 union all select 'label, its future taken away', count(*) from e where left_over <= 21 and vol_forward is not null"""))
 def l23_leakage_probe(spark, d):
-    """No feature changes when the future is taken away; as a control, the label of each symbol's last 21 days does."""
+    """No feature changes when the future is taken away, and no label when the past is changed; as a control, the labels of each symbol's last 21 days do when their future is taken away."""
     p, cut = ad.prices(spark, d), "1998-06-30"
     label = lambda x: rg.forward_vol(rg.features(x))
     count = lambda rows, name: rows.agg(F.count("*").alias("n_changed")).select(F.lit(name).alias("probe"), "n_changed")
-    return count(rg.leakage(p, cut), "features").union(count(rg.changed_without_future(p, cut, label, ["vol_forward"]), "label, its future taken away"))
+    past = count(rg.changed_by_past(p, cut, label, ["vol_forward"]), "label, its past changed")
+    return count(rg.leakage(p, cut), "features").union(past).union(count(rg.changed_without_future(p, cut, label, ["vol_forward"]), "label, its future taken away"))
 
 
 @query(sql(PRICES, """select cast(sum(cast(('0x' || substr(md5(concat_ws('|', symbol, strftime(date, '%Y-%m-%d'), cast(cast(round(close, 9) as decimal(20,9)) as varchar), cast(volume as varchar))), 1, 12)) as hugeint)) as varchar) as version,

@@ -5,17 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyfold.operators.temporal import pick_one
 from tallyfold.operators.validation import COLUMNS
 
 
 def read_ledger_csv(spark: SparkSession, path: str, portfolio: str) -> DataFrame:
     """All columns as text, blanks kept, rows in file order; a missing column is an error that names it."""
-    header = spark.read.option("header", True).csv(path).columns
+    header = spark.read.options(header=True, multiLine=True, escape='"').csv(path).columns
     if missing := [c for c in COLUMNS if c not in header]:
         raise ValueError(f"missing columns: {', '.join(missing)}")
     schema = ", ".join(f"`{c}` string" for c in header)
-    df = spark.read.option("header", True).schema(schema).csv(path).na.fill("", COLUMNS)
+    df = spark.read.options(header=True, multiLine=True, escape='"').schema(schema).csv(path).na.fill("", COLUMNS)
     return df.select(F.lit(portfolio).alias("portfolio"), F.monotonically_increasing_id().alias("row_idx"), *COLUMNS)
 
 
@@ -41,22 +40,11 @@ def read_price_cache(spark: SparkSession, path: str, symbols: list[str] | None =
     return rows if symbols is None else rows.where(F.col("symbol").isin(symbols))
 
 
-def read_mart(mart: DataFrame, key: str, value: str, order: list[str]) -> DataFrame:
-    """One key's rows of a mart, in order; the filter reaches the mart's scan."""
-    return mart.where(F.col(key) == value).orderBy(*order)
-
-
 def replace_history(ledger: DataFrame, path: str) -> None:
     """An upload replaces its portfolios' whole history; portfolios it does not name, and so an empty upload, change nothing."""
     ledger.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("portfolio").parquet(path)
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: list[str], version: str) -> DataFrame:
-    """Of rows with equal keys the one with the latest version; of equal versions the new one."""
-    both = old.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)))
-    return pick_one(both, keys, [F.desc(version), F.desc("__new")]).drop("__new")
-
-
 def delete_portfolios(rows: DataFrame, gone: DataFrame) -> DataFrame:
     """S10, of one table."""
     return rows.join(gone.select("portfolio").distinct(), "portfolio", "left_anti")
@@ -67,6 +55,11 @@ def delete_cascade(tables: dict[str, DataFrame], gone: DataFrame) -> dict[str, D
     return {name: delete_portfolios(rows, gone) for name, rows in tables.items()}
 
 
+def absent(gone: DataFrame, portfolios: DataFrame) -> DataFrame:
+    """The names to delete that no portfolio has."""
+    return gone.select("portfolio").distinct().join(portfolios.select("portfolio"), "portfolio", "left_anti")
+
+
 def register(existing: DataFrame, names: DataFrame) -> DataFrame:
     """Ids for new names, from the largest id on, in name order. Registration batches are small by nature."""
     top = existing.agg(F.coalesce(F.max("portfolio_id"), F.lit(0)).alias("top"))
