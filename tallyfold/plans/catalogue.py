@@ -24,7 +24,7 @@ from tallyfold.plans import adapter as ad
 from tallyfold.plans.adapter import AS_OF, CUBE, INDEX, MONTHLY, PRICES, RAW, RAW_FINE, TO_HELD, TO_LEDGER, TO_MARKED, TO_NAV, sql, table
 from tallyfold.sources import marts, stores
 from tallyfold.sources.shared import shared_dir, staged
-from tallyfold.streaming.advance import advance
+from tallyfold.streaming.advance import outcomes, run, states
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -1329,15 +1329,30 @@ def l27_model_status(spark, d):
     return rg.promotion(_run_metrics(spark, d)).groupBy("model").agg(F.coalesce(F.max(ok), F.max("version")).alias("version"))
 
 
-@query(sql(RAW, ad.WALK.split(",\nledger as")[0], "select portfolio || ' ' || symbol as position, count(*) filter (not rejected) as applied, count(*) filter (rejected) as oversold, round(last(held order by row_idx), 2) as qty from walk join raw using (portfolio, symbol, row_idx) group by 1"))
+@query(sql(RAW, """arrived as materialized (
+  select portfolio || ' ' || symbol as position, row_idx, kind, qty, price, case when row_idx % 7 = 0 then 3 when date < date '1995-01-01' then 0 when date < date '1998-01-01' then 1 else 2 end as arrival from raw),
+seq as materialized (select *, row_number() over (partition by position order by arrival, row_idx) as rn from arrived),
+st as (
+  select position, rn, arrival, 0::double as q, 0::double as c, 0::bigint as last, 0::bigint as base, '' as outcome from (select position, 0 as rn, -1 as arrival from seq group by 1)
+  union all
+  select n.position, n.rn, n.arrival,
+    case when n.row_idx < n.base or (n.kind = 'SELL' and n.qty > n.q + 1e-9) then n.q when n.kind = 'BUY' then n.q + n.qty else n.q - n.qty end,
+    case when n.row_idx < n.base or (n.kind = 'SELL' and n.qty > n.q + 1e-9) then n.c when n.kind = 'BUY' then n.c + n.qty * n.price when n.q - n.qty <= 1e-9 then 0 else n.c * (1 - n.qty / n.q) end,
+    case when n.row_idx < n.base or (n.kind = 'SELL' and n.qty > n.q + 1e-9) then n.last else n.row_idx end, n.base,
+    case when n.row_idx < n.base then 'late' when n.kind = 'SELL' and n.qty > n.q + 1e-9 then 'oversold' else 'applied' end
+  from (select q.*, s.q, s.c, s.last, case when q.arrival <> s.arrival then s.last else s.base end as base from st s join seq q on q.position = s.position and q.rn = s.rn + 1) n)
+select position, count(*) filter (outcome = 'applied') as applied, count(*) filter (outcome = 'oversold') as oversold, count(*) filter (outcome = 'late') as late, round(last(q order by rn), 2) as qty, round(last(c order by rn), 1) as cost from st group by 1"""))
 def st1_stream_positions(spark, d):
-    """All trades as a stream of files, applied to their positions' states in one available-now run."""
+    """All trades in four arrivals, one for each trigger: three spans of years, then every seventh trade, mostly late."""
     path = f"{shared_dir(spark)}/tallyfold/stream-{uuid4().hex}"
     t = ad.raw_trades(spark, d)
     at = F.timestamp_micros(F.unix_micros(F.col("date").cast("timestamp")) + F.col("row_idx"))
-    t.select(F.concat_ws(" ", "portfolio", "symbol").alias("position"), F.col("row_idx").cast("long").alias("event_id"), at.alias("ts"), "kind", "qty", "price").write.parquet(f"{path}/in")
-    source = spark.readStream.schema("position string, event_id long, ts timestamp, kind string, qty double, price double").parquet(f"{path}/in")
-    run = advance(source).writeStream.format("parquet").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start(f"{path}/out")
-    run.awaitTermination()
-    out = spark.read.parquet(f"{path}/out").groupBy("position").agg(F.count_if(F.col("outcome") == "applied").alias("applied"), F.count_if(F.col("outcome") == "oversold").alias("oversold"), F.max_by("qty", "event_id").alias("qty"))
-    return r(out, 2)
+    arrival = F.when(F.col("row_idx") % 7 == 0, 3).when(F.col("date") < "1995-01-01", 0).when(F.col("date") < "1998-01-01", 1).otherwise(2)
+    rows = staged(t.select(F.concat_ws(" ", "portfolio", "symbol").alias("position"), F.col("row_idx").cast("long").alias("event_id"), at.alias("ts"), "kind", "qty", "price", arrival.alias("arrival")), "events")
+    for k in range(4):  # each arrival is a run of its own, as new files come in
+        rows.where(F.col("arrival") == k).drop("arrival").write.mode("append").parquet(f"{path}/in")
+        source = spark.readStream.schema(rows.drop("arrival").schema).parquet(f"{path}/in")
+        run(source, path).awaitTermination()
+    n = outcomes(spark, path).groupBy("position").agg(*[F.count_if(F.col("outcome") == o).alias(o) for o in ("applied", "oversold", "late")])
+    s = states(spark, path).select("position", F.round("qty", 2).alias("qty"), F.round("cost", 1).alias("cost"))
+    return n.join(s, "position")
