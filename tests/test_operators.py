@@ -1,6 +1,7 @@
 """Hand-computed cases of the operators."""
 
 import datetime as dt
+import math
 import random
 
 import pytest
@@ -14,9 +15,10 @@ from tallyfold.operators import holdings as ho
 from tallyfold.operators import performance as pf
 from tallyfold.operators import regime as rg
 from tallyfold.operators import risk as rk
+from tallyfold.operators import scan as sc
 from tallyfold.operators import temporal as tp
 from tallyfold.operators import validation as va
-from tallyfold.sources import stores
+from tallyfold.sources import marts, stores
 
 D = dt.date
 LEDGER = "portfolio string, symbol string, date date, kind string, qty double, price double, fees double, tax double, row_idx long"
@@ -139,7 +141,7 @@ def test_drawdown_episode(spark):
 
 def test_risk_figures(spark):
     x = values(spark, [-0.05, -0.03, -0.01, 0.02, 0.04], "r")
-    assert x.groupBy("portfolio").agg(st.historical_var("r", 0.75).alias("v")).first().v == pytest.approx(0.03)
+    assert rk.historical_var(x, ["portfolio"], 0.75).first().var_hist == pytest.approx(0.03)
     assert rk.conditional_var(x, ["portfolio"], 0.75).first().cvar == pytest.approx(0.04)
     up = values(spark, [0.01, 0.02, 0.01], "r")
     assert rk.summary(up, ["portfolio"]).first().sortino is None
@@ -255,19 +257,20 @@ def test_ledger_files(spark, tmp_path):
 
 
 def test_stream_equals_batch(spark, tmp_path):
-    from tallyfold.streaming.advance import advance
+    from tallyfold.streaming.advance import advance, outcomes, run, states
 
     rnd = random.Random(3)
     rows = [(rnd.choice("AB"), i, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=i), rnd.choice(["BUY", "SELL"]), float(rnd.randint(1, 9)), float(rnd.randint(1, 20))) for i in range(120)]
     schema = "position string, event_id long, ts timestamp, kind string, qty double, price double"
-    src, out = str(tmp_path / "in"), str(tmp_path / "out")
-    for part in (rows[:60], rows[60:], [("A", 999, dt.datetime(2023, 1, 1), "BUY", 1.0, 1.0)]):
-        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(src)
-        q = advance(spark.readStream.schema(schema).parquet(src)).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start(out)
-        q.awaitTermination()
-    got = spark.read.parquet(out).collect()
-    assert sum(r.outcome == "late" for r in got) == 1
-    state, over = {}, 0
+    src, path = str(tmp_path / "in"), str(tmp_path / "run")
+    mixed = rnd.sample(rows[:60], 60)
+    for part in (mixed[:20] + mixed[20:], rows[60:], [("A", 999, dt.datetime(2023, 1, 1), "BUY", 1.0, 1.0), ("C", 1000, dt.datetime(2023, 1, 1), "SELL", 1.0, 1.0)]):
+        spark.createDataFrame(part, schema).write.mode("append").parquet(src)
+        run(spark.readStream.schema(schema).parquet(src), path).awaitTermination()
+    got = outcomes(spark, path).collect()
+    assert len(got) == 122 and [(r.position, r.event_id) for r in got if r.outcome == "late"] == [("A", 999)]
+    assert spark.read.parquet(path + "/out").where("outcome = 'oversold'").count() == sum(r.outcome == "oversold" for r in got)
+    state, over = {}, 1  # C sells what it does not have
     for p, _, _, kind, q, x in rows:
         have, cost = state.get(p, (0.0, 0.0))
         if kind == "SELL" and q > have:
@@ -275,9 +278,176 @@ def test_stream_equals_batch(spark, tmp_path):
         else:
             state[p] = (have + q, cost + q * x) if kind == "BUY" else (have - q, cost * (1 - q / have))
     assert sum(r.outcome == "oversold" for r in got) == over
+    held = {r.position: r for r in states(spark, path).collect()}
     for p, (have, cost) in state.items():
         last = max((r for r in got if r.position == p and r.outcome == "applied"), key=lambda r: r.event_id)
-        assert last.qty == pytest.approx(have) and last.cost == pytest.approx(cost, abs=1e-6)
+        assert last.qty == held[p].qty == pytest.approx(have) and last.cost == held[p].cost == pytest.approx(cost, abs=1e-6)
+    # a batch that is run again from the states before it gives the same states
+    before, batch = states(spark, path, 0), spark.createDataFrame(rows[60:], schema)
+    again = {r.position: (r.qty, r.cost, r.last) for r in advance(before, batch)[1].collect()}
+    assert again == {r.position: (r.qty, r.cost, r.last) for r in states(spark, path, 1).collect()}
+
+
+def test_weighted_cost_over_thousands_of_partial_sells(spark):
+    day = lambda k: D(2000, 1, 1) + dt.timedelta(k)
+    rows = [("p", "half", day(0), 10.0, 1000.0, 0.0)] + [("p", "half", day(k), 5.0, 500.0, 5.0) for k in range(1, 2500)]
+    rnd, want, q, c = random.Random(3), [], 0.0, 0.0
+    for k in range(6000):
+        sell = q * rnd.choice([0.0, 0.25, 0.875, 0.984375]) if rnd.random() < 0.85 else 0.0
+        if rnd.random() < 0.01:
+            sell = q
+        buy = float(rnd.choice([1, 50])) if q - sell < 1e-4 or rnd.random() < 0.4 else 0.0
+        paid = buy * rnd.uniform(1, 200)
+        rows.append(("p", "random", day(k), buy, paid, sell))
+        c = c * (0 if q - sell <= ho.EPS else 1 - sell / q) + paid
+        q += buy - sell
+        want.append((q, c))
+    df = spark.createDataFrame(rows, "portfolio string, symbol string, date date, buy_qty double, buy_cost double, sell_qty double")
+    got = ho.positions(df).orderBy("symbol", "date").collect()
+    assert all(r.cost == pytest.approx(1000) for r in got if r.symbol == "half")
+    walked = [(r.qty, r.cost) for r in got if r.symbol == "random"]
+    assert len(walked) == 6000
+    assert all(a[1] == pytest.approx(b[1], rel=1e-5, abs=1e-4) and a[0] == pytest.approx(b[0], abs=1e-6) for a, b in zip(walked, want, strict=True))
+
+
+def test_prefix_equals_a_window_and_percentiles_numpy(spark):
+    import numpy as np
+    from pyspark.sql import Window
+
+    rnd = random.Random(8)
+    rows = [(rnd.choice(["hot"] * 8 + ["a", None]), i, rnd.choice([None, rnd.random(), 0.5, 0.0])) for i in range(3000)] + [("none", 1, None)]
+    df = spark.createDataFrame(rows, "k string, i int, v double")
+    w = Window.partitionBy("k").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    plain = df.withColumn("s", F.sum("v").over(w)).withColumn("l", F.last("v", ignorenulls=True).over(w))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # a key in many ranges, as in large tables
+    try:
+        got = sc.prefix(df, ["k"], [F.col("i")], {"s": "v"}, {"l": "v"})
+        key = lambda r: (str(r.k), r.i)
+        for x, y in zip(sorted(got.collect(), key=key), sorted(plain.collect(), key=key), strict=True):
+            assert (x.k, x.i, x.v, x.l) == (y.k, y.i, y.v, y.l) and x.s == (y.s if y.s is None else pytest.approx(y.s))
+        by = {r.k: r for r in sc.percentiles(df, ["k"], "v", {"low": 0.05, "mid": 0.5, "top": 1.0}).collect()}
+        assert set(by) == {"hot", "a", None}
+        for k, r in by.items():
+            xs = [v for kk, _, v in rows if kk == k and v is not None]
+            assert [r.low, r.mid, r.top] == pytest.approx(list(np.percentile(xs, [5, 50, 100])))
+        whole = sc.percentiles(df, [], "v", {"q": 0.3}).first().q
+        assert whole == pytest.approx(np.percentile([v for *_, v in rows if v is not None], 30))
+        assert sc.percentiles(df.where("false"), ["k"], "v", {"q": 0.3}).count() == 0
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_asof_join_in_ranges_equals_the_window(spark):
+    rnd = random.Random(9)
+    left = spark.createDataFrame([(rnd.choice(["hot"] * 9 + ["b", None]), D(2020, 1, 1) + dt.timedelta(rnd.randint(0, 900)), i) for i in range(1500)], "k string, d date, i int")
+    right = spark.createDataFrame([(rnd.choice(["hot", "hot", "b"]), D(2020, 1, 1) + dt.timedelta(rnd.randint(0, 900)), float(i)) for i in range(60)], "k string, t date, x double")
+    for options in ({}, {"direction": "forward"}, {"tolerance_days": 5}):
+        a = tp.asof_join(left, right, ["k"], "d", "t", ["x"], **options)
+        b = tp.asof_join(left, right, ["k"], "d", "t", ["x"], blocked=True, **options)
+        assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+
+
+def test_correlations_by_blocks_of_assets(spark, monkeypatch):
+    import numpy as np
+    import pandas as pd
+
+    monkeypatch.setattr(rk, "BLOCK_ASSETS", 3)
+    monkeypatch.setattr(rk, "SPANS", 5)
+    gen = np.random.default_rng(5)
+    wide = pd.DataFrame(gen.normal(size=(90, 11)) + 100, columns=[f"s{i}" for i in range(11)])
+    wide["s1"] = wide["s0"] * 2 + 1
+    wide["s2"] = 7.0  # no variance
+    wide = wide.mask(gen.random(wide.shape) < 0.2)
+    long = [(s, D(2024, 1, 1) + dt.timedelta(int(i)), float(wide.at[i, s])) for s in wide for i in wide.index if not np.isnan(wide.at[i, s])]
+    got = {(r.a, r.b): (r.corr, r.n) for r in rk.correlations(spark.createDataFrame(long, "symbol string, date date, r double"), [], "symbol").collect()}
+    want = wide.corr()
+    assert len(got) == 66
+    for (a, b), (corr, n) in got.items():
+        assert a <= b and n == (wide[a].notna() & wide[b].notna()).sum()
+        assert corr is None or np.isnan(corr) if np.isnan(want.at[a, b]) else corr == pytest.approx(want.at[a, b], abs=1e-9)
+
+
+def test_marts_are_read_and_refreshed_by_folder(spark, tmp_path):
+    path = str(tmp_path / "mart")
+    days = spark.sql("select explode(sequence(date'2024-01-01', date'2024-06-30')) as date").withColumn("portfolio", F.explode(F.array(*[F.lit(p) for p in "ABCDEFG"]))).withColumn("v", F.lit(1.0))
+    marts.write(days, path, "portfolio", "date")
+    schema = marts.placed(days, "portfolio", "date").schema
+    files = lambda df: df.select(F.input_file_name()).distinct().count()
+    one = marts.read(spark, path, "portfolio", "date", schema, "C", "2024-03-10", "2024-03-20")
+    assert one.count() == 11 and files(one) == 1
+    plan = spark._jvm.PythonSQLUtils.explainString(one._jdf.queryExecution(), "formatted")
+    assert "PartitionFilters: [isnotnull(month" in plan or "PartitionFilters: [isnotnull(bucket" in plan
+    day = marts.read(spark, path, "portfolio", "date", schema, start="2024-05-05", end="2024-05-05")
+    assert day.count() == 7 and files(day) <= marts.BUCKETS
+    marts.write(days.where("date >= '2024-06-01'").withColumn("v", F.lit(2.0)), path, "portfolio", "date")
+    assert [tuple(r) for r in marts.read(spark, path, "portfolio", "date", schema).groupBy("v").count().orderBy("v").collect()] == [(1.0, 152 * 7), (2.0, 30 * 7)]
+
+
+def test_merge_rewrites_touched_folders_only(spark, tmp_path):
+    import os
+
+    path = str(tmp_path / "prices")
+    row = "symbol string, date date, close double, v int"
+    old = spark.createDataFrame([(s, D(2024, m, d), 1.0, 1) for s in "AB" for m in (1, 2, 3) for d in (1, 2)], row)
+    marts.write(old, path, "symbol", "date")
+    stamp = lambda: {os.path.join(a, f): os.stat(os.path.join(a, f)).st_mtime_ns for a, _, fs in os.walk(path) for f in fs if f.endswith(".parquet")}
+    before = stamp()
+    batch = spark.createDataFrame([("A", D(2024, 2, 1), 5.0, 2), ("A", D(2024, 2, 2), 9.0, 0), ("A", D(2024, 2, 3), 6.0, 2), ("A", D(2024, 2, 3), 4.0, 1), ("A", D(2024, 1, 1), 1.0, 1)], row)
+    key = ["symbol", "date"]
+    assert marts.merge(batch, path, "symbol", "date", key, "v") == 1
+    after = stamp()
+    assert {f.split("month=")[1][:7] for f, _ in set(before.items()) ^ set(after.items())} == {"2024-02"} and set(before) & set(after)
+    rows = {(r.symbol, r.date.isoformat()): r.close for r in spark.read.parquet(path).collect()}
+    assert rows[("A", "2024-02-01")] == 5.0 and rows[("A", "2024-02-02")] == 1.0 and rows[("A", "2024-02-03")] == 6.0 and len(rows) == 13
+    assert marts.merge(batch, path, "symbol", "date", key, "v") == 0 and stamp() == after
+    broken = spark.createDataFrame([("B", D(2024, 3, 1), 8.0, 2)], row).withColumn("close", F.expr("if(close > 7, raise_error('torn'), close)").cast("double"))
+    with pytest.raises(Exception, match="torn"):
+        marts.merge(broken, path, "symbol", "date", key, "v")
+    assert stamp() == after
+
+
+def test_cash_and_flows_of_dividends_deposits_withdrawals(spark):
+    rows = [("p", "A", D(2024, 1, 1), "BUY", 2.0, 10.0, 1.0, 0.0, 1), ("p", "A", D(2024, 1, 2), "DIVIDEND", 0.0, 3.0, 0.0, 0.0, 2), ("p", "A", D(2024, 1, 2), "DEPOSIT", 0.0, 50.0, 0.0, 0.0, 3), ("p", "A", D(2024, 1, 3), "WITHDRAWAL", 0.0, 20.0, 0.0, 0.0, 4), ("p", "A", D(2024, 1, 3), "SELL", 1.0, 12.0, 0.5, 0.25, 5)]
+    t = spark.createDataFrame(rows, LEDGER)
+    deltas = {r.date.day: r.delta for r in ho.cash_delta(t).collect()}
+    assert deltas == {1: 0.0, 2: 53.0, 3: pytest.approx(-20 + 11.25)}
+    assert {r.date.day: r.balance for r in ho.running_cash(ho.cash_delta(t)).collect()}[3] == pytest.approx(44.25)
+    flows = {r.date.day: r.cf for r in pf.investor_flows(t, spark.createDataFrame([("p", D(2024, 1, 5), 14.0)], "portfolio string, date date, mv double")).collect()}
+    assert flows == {1: -21.0, 2: 3.0, 3: pytest.approx(11.25), 5: 14.0}
+
+
+def test_quality_report_counts_split_adjustments(spark):
+    valid = spark.createDataFrame([("p", None), ("p", "bad"), ("q", None)], "portfolio string, reason string")
+    clean = spark.createDataFrame([("p", False, 1, False, False), ("q", True, 0, True, False)], "portfolio string, near_duplicate boolean, imputed int, anomaly boolean, unresolved boolean")
+    notes = spark.createDataFrame([("p", "A", "2024-01-01 x2.0"), ("p", "A", "2024-01-01 x2.0"), ("p", "B", None)], "portfolio string, symbol string, note string")
+    got = {r.portfolio: r for r in va.quality_report(valid, clean, ["portfolio"], notes).collect()}
+    assert (got["p"].split_adjustments_applied, got["p"].notes) == (2, ["A: 2024-01-01 x2.0 (2 rows)"]) and (got["q"].split_adjustments_applied, got["q"].notes) == (0, [])
+
+
+def test_labels_do_not_move_with_the_past(spark):
+    rnd = random.Random(2)
+    p = spark.createDataFrame([("A", D(2024, 1, 1) + dt.timedelta(i), 100 + rnd.random() * 9, 5) for i in range(200)], "symbol string, date date, close double, volume long")
+    label = lambda x: rg.forward_vol(rg.features(x))
+    assert rg.changed_by_past(p, "2024-04-01", label, ["vol_forward"]).count() == 0
+    assert rg.changed_by_past(p, "2024-04-01", rg.features, ["vol_21"]).count() > 0
+
+
+def test_trees_learn_planted_regimes(spark):
+    """Calm stretches and a wild fifth alternate; the volatility of the last days tells the label of the next."""
+    rnd, level, rows = random.Random(6), 0.0, []
+    for i in range(1500):
+        level = 0.95 * level + rnd.gauss(0, 0.05 if (i // 100) % 5 == 4 else 0.005)
+        rows.append(("A", D(2020, 1, 1) + dt.timedelta(i), 100 * math.exp(level), 1000 + i % 7))
+    x = rg.dataset(spark.createDataFrame(rows, "symbol string, date date, close double, volume long"))
+    x = spark.createDataFrame(x.collect(), x.schema)
+    made, model = rg.train_trees(x.where("date < '2022-11-01'"), max_iter=15)
+    from pyspark.ml.functions import vector_to_array
+
+    out = model.transform(made.transform(x.where("date >= '2022-11-01'"))).withColumn("predicted", F.col("prediction").cast("int")).withColumn("score", vector_to_array("probability")[1])
+    m = rg.binary_metrics(out, [], score="score").first()
+    assert m.roc_auc > 0.8 and m.f1 > 0.6
+    weight = dict(zip(rg.FEATURES, model.featureImportances.toArray(), strict=True))
+    assert sum(v for k, v in weight.items() if k.startswith("vol_")) > 0.5
 
 
 def test_tree_queries_train_the_whole_model(spark, monkeypatch):
