@@ -1,10 +1,11 @@
 """Licence scan by a positional rare-token index of licence templates.
 
-Postings map a word to the (template, place) pairs that hold it. A file's licence words are taken in order
-of their inverse document frequency in the corpus, rarest first; each place of such a word votes, through
-the word's postings, for the starts at which a template would have it there. Votes are intersected by
-relative position: a start is verified if the template's own rarest mandatory word voted for it. Then the
-template's other words are met at their places, and its mandatory phrases must stand there.
+Postings map a word to the (template, place) pairs that hold it. A file's own licence words are looked up
+rarest first (by inverse document frequency in the corpus), until each template has met its VOTERS of them.
+Each place of such a word votes, through the word's postings, for the starts at which a template would have it
+there. Votes are intersected by relative position: a start stands if two different words agree on it and hold
+half of the weight of all that voted for the template. There the template's other words are met at their
+places, and its mandatory key phrases must stand.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from tallyfold.llm.common import to_bytes
 # Phrases whose every place is reported, with their labels.
 BASE_PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
+VOTERS = 6  # rarest words of a file that vote for a template
+LEAST_VOTES = 0.5  # of the weight of a template's voters that must agree on a start
 LEAST_SHARE = 0.4  # of a template's weight that must stand at its places
 NEAR = (4, 8)  # words before and after a template's place in which its mandatory phrases may stand
 
@@ -63,6 +66,30 @@ TEMPLATES: dict[str, tuple[str, tuple[str, ...]]] = {
     "agpl": ("licensed under the gnu affero general public license", ("affero general public license",)),
     "mpl-2.0": ("this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at", ("mozilla public license",)),
     "epl-2.0": ("this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at", ("eclipse public license",)),
+    "lgpl-notice": (
+        "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu lesser general public license for more details",
+        ("gnu lesser general public license", "this library is free software"),
+    ),
+    "agpl-notice": (
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu affero general public license for more details",
+        ("gnu affero general public license", "this program is free software"),
+    ),
+    "cc-by-4.0-notice": (
+        "this work is licensed under the creative commons attribution 4 0 international license to view a copy of this license visit http creativecommons org licenses by 4 0 or send a letter to creative commons po box 1866 mountain view ca 94042 usa",
+        ("creative commons attribution 4 0",),
+    ),
+    "cc-by-sa-4.0-notice": (
+        "this work is licensed under the creative commons attribution sharealike 4 0 international license to view a copy of this license visit http creativecommons org licenses by sa 4 0 or send a letter to creative commons po box 1866 mountain view ca 94042 usa",
+        ("creative commons attribution sharealike 4 0",),
+    ),
+    "cc0-deed": (
+        "the person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law including all related and neighboring rights to the extent allowed by law you can copy modify distribute and perform the work even for commercial purposes all without asking permission",
+        ("public domain", "associated a work with this deed"),
+    ),
+    "bsl-1.0-text": (
+        "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following the copyright notices in the software and this entire statement including the above license grant this restriction and the following disclaimer must be included in all copies of the software in whole or in part and all derivative works of the software unless such copies or derivative works are solely in the form of machine executable object code generated by a source language processor",
+        ("person or organization obtaining a copy", "machine executable object code"),
+    ),
     "bsl-1.0": ("distributed under the boost software license version 1 0", ("boost software license",)),
     "unlicense": (
         "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
@@ -85,11 +112,9 @@ def words(text: bytes) -> list[bytes]:
 
 
 class Index:
-    """Postings word -> (template, place) of the rare words, with the words' inverse document frequencies.
+    """Postings word -> (template, place), with the words' inverse document frequencies.
 
-    Base phrases are templates too, all of whose words are mandatory. A template's anchor is its mandatory
-    word of highest IDF; only words at least as rare as the least rare anchor are looked up, since a start
-    counts only with its template's anchor.
+    Base phrases are templates too; every place of theirs is found through their rarest word's postings.
     """
 
     def __init__(self, templates: dict, frequencies: dict[str, int], documents: int):
@@ -100,44 +125,50 @@ class Index:
         vocabulary = sorted({w for t in self.texts for w in t} | {w for ps in self.phrases for p in ps for w in p})
         self.idf = {w: math.log((1 + documents) / (1 + frequencies.get(w.decode(), 0))) + 1 for w in vocabulary}
         self.weight = [sum(self.idf[w] for w in t) for t in self.texts]
-        # Words that are mandatory and stand in the template; the rarest is the anchor.
-        needed = [sorted({w for p in ps for w in p if w in set(t)}) for t, ps in zip(self.texts, self.phrases, strict=True)]
-        self.anchors = [max(need, key=lambda w: self.idf[w]) for need in needed]
-        least = min(self.idf[a] for a in self.anchors)
-        self.postings: dict[bytes, list[tuple[int, int]]] = {}
+        self.anchors = {k: max(sorted(set(t)), key=lambda w: self.idf[w]) for k, t in enumerate(self.texts[: self.n_base])}
+        self.postings: dict[bytes, dict[int, list[int]]] = {}
         for k, text in enumerate(self.texts):
             for i, w in enumerate(text):
-                if self.idf[w] >= least:
-                    self.postings.setdefault(w, []).append((k, i))
+                self.postings.setdefault(w, {}).setdefault(k, []).append(i)
         self.order = {w: n for n, w in enumerate(sorted(self.postings, key=lambda w: (-self.idf[w], w)))}
         self.lookup = frozenset(self.postings)
-        self.rare = frozenset(self.anchors)
-
-    def starts(self, found: list[bytes]) -> dict[tuple[int, int], float]:
-        """(template, start) pairs that the template's anchor voted for, with the weight of all votes."""
-        if self.rare.isdisjoint(found):
-            return {}
-        places: dict[bytes, list[int]] = {}
+        # A text without one of a template's key words cannot hold its phrases.
+        self.keys = [frozenset(w for p in ps for w in p) for ps in self.phrases]
+
+    def starts(self, found: list[bytes]) -> list[tuple[int, int]]:
+        """(template, start) pairs that enough of the file's rarest words of the template agree on."""
+        here = self.lookup.intersection(found)
+        wanted = {k for k in range(len(self.texts)) if self.keys[k] <= here}
+        if not wanted:
+            return []
+        base = [k for k in wanted if k < self.n_base]
+        met: dict[int, list[bytes]] = {k: [] for k in wanted if k >= self.n_base}
+        open_ = set(met)
+        for w in sorted(here, key=self.order.__getitem__):  # rarest first
+            for k in self.postings[w].keys() & open_:
+                met[k].append(w)
+                if len(met[k]) == VOTERS:
+                    open_.discard(k)
+            if not open_:
+                break
+        places: dict[bytes, list[int]] = {w: [] for w in [self.anchors[k] for k in base] + [w for voters in met.values() for w in voters]}
         for i, w in enumerate(found):
-            if w in self.lookup:
-                places.setdefault(w, []).append(i)
-        votes: dict[tuple[int, int], float] = {}
-        anchored: set[tuple[int, int]] = set()
-        for w in sorted(places, key=self.order.__getitem__):  # rarest first
-            weight = self.idf[w]
-            for k, at in self.postings[w]:
-                is_anchor = self.anchors[k] == w
-                for i in places[w]:
-                    key = (k, i - at)
-                    votes[key] = votes.get(key, 0.0) + weight
-                    if is_anchor:
-                        anchored.add(key)
-        return {key: votes[key] for key in anchored}
+            if w in places:
+                places[w].append(i)
+        out = [(k, i - at) for k in base for at in self.postings[self.anchors[k]][k] for i in places[self.anchors[k]]]
+        for k, voters in met.items():
+            votes: dict[int, list[float]] = {}
+            for w in voters:
+                for start in {i - at for at in self.postings[w][k] for i in places[w]}:
+                    votes.setdefault(start, []).append(self.idf[w])
+            least = LEAST_VOTES * sum(self.idf[w] for w in voters) - 1e-9
+            out += [(k, start) for start, ws in votes.items() if len(ws) >= 2 and sum(ws) >= least]
+        return out
 
     def scan(self, found: list[bytes]) -> tuple[list[int], set[str], float]:
         """Starts of the base phrases, all labels, and the best share of a template's weight."""
         places, labels, best = [], set(), 0.0
-        for (k, start), _ in self.starts(found).items():
+        for k, start in self.starts(found):
             text = self.texts[k]
             if k < self.n_base:
                 if start >= 0 and found[start : start + len(text)] == text:
@@ -178,9 +209,9 @@ def scan(docs: DataFrame, templates: dict | None = None, id_col: str = "doc_id",
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for every row of `docs`.
 
     Words are runs of digits, letters and non-ASCII bytes, A-Z lower-cased. Base phrases are found at
-    every place where their words stand in a row. A template counts at a start where its anchor (its
-    mandatory word of highest IDF) stands in place, its words in place hold 40 % of its IDF weight, and all
-    its mandatory phrases stand there or a few words off. score: the largest such share; 0.5 for base
+    every place where their words stand in a row. For a template the file's six rarest words of it vote; it
+    counts at a start on which two of them or more, with half of their weight, agree, where its words in place
+    hold 40 % of its IDF weight, and all its mandatory phrases stand there or a few words off. score: the largest such share; 0.5 for base
     phrases alone; 0 without a label; equal shares score alike. Texts are read whole; null texts count as
     empty; repeated rows and null ids come back as they are; an empty table gives no rows; other columns
     are ignored.

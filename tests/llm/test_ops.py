@@ -357,13 +357,14 @@ def plain_licences(texts):
         labels, best = {p[1] for p in places}, 0.5 if places else 0.0
         for name, (text, phrases) in license.TEMPLATES.items():
             text, phrases = text.encode().split(), [p.encode().split() for p in phrases]
-            anchor = max(sorted({x for p in phrases for x in p if x in text}), key=idf)
+            voters = sorted(set(text) & set(w), key=lambda x: (-idf(x), x))[: license.VOTERS]
             weight = sum(idf(x) for x in text)
             for start in range(-len(text), len(w)):
                 here = [j for j, x in enumerate(text) if 0 <= start + j < len(w) and w[start + j] == x]
                 share = sum(idf(text[j]) for j in here) / weight
                 near = w[max(0, start - 4) : max(0, start + len(text) + 8)]
-                if share >= 0.4 and any(text[j] == anchor for j in here) and all(any(near[j : j + len(p)] == p for j in range(len(near))) for p in phrases):
+                agree = [idf(x) for x in voters if any(text[j] == x for j in here)]
+                if share >= 0.4 and len(agree) >= 2 and sum(agree) >= 0.5 * sum(map(idf, voters)) - 1e-9 and all(any(near[j : j + len(p)] == p for j in range(len(near))) for p in phrases):
                     labels.add(name)
                     best = max(best, share)
         out.append((len(w), places, ",".join(sorted(labels)), best))
@@ -392,6 +393,20 @@ def test_license_scan_matches_brute_force(spark, odd):
     assert license.scan(df.where("false")).count() == 0
 
 
+def test_licence_labels_rest_on_votes_that_agree():
+    index = license.Index(license.TEMPLATES, {}, 10)
+    text = license.words(b"x " + license.TEMPLATES["mit-text"][0].encode())
+    assert "mit-text" in index.scan(text)[1]
+    alone = license.Index(license.TEMPLATES, {}, 10)  # each template keeps the postings of its rarest word only
+    for k, words in enumerate(alone.texts):
+        for w in sorted(set(words), key=alone.order.__getitem__)[1:]:
+            alone.postings[w].pop(k, None)
+    assert "mit-text" not in alone.scan(text)[1]
+    shuffled = list(text)
+    random.Random(1).shuffle(shuffled)
+    assert index.starts(shuffled) == [] or not index.scan(shuffled)[1]
+
+
 def test_language_and_quality_on_held_out_rows(spark):
     d = "/root/testdata/sf0.001"
     got = queries.op7_language_id(spark, d).join(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang", "n_chars"), "doc_id").where("held_out and n_chars > 60").toPandas()
