@@ -20,6 +20,11 @@ def fold(parts: int, key: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(parts))
 
 
+def held_out(parts: int, remainder: int) -> Column:
+    """Whether a row is not learned from: that remainder, or no id."""
+    return F.coalesce(fold(parts) == remainder, F.lit(True)).alias("held_out")
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -54,7 +59,7 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     prototypes = langid.fit(docs.where(fold(4) != 2))
-    return langid.predict(docs, prototypes).select("doc_id", (fold(4) == 2).alias("held_out"), "lang_pred", "score")
+    return langid.predict(docs, prototypes).select("doc_id", held_out(4, 2), "lang_pred", "score")
 
 
 def op8_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +75,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     weights = quality.fit(docs, labels.where(fold(3) != 1))
     scored = quality.score(docs, weights)
-    return scored.select("doc_id", (fold(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return scored.select("doc_id", held_out(3, 1), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op11_partenum_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
