@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from tallyfold.llm.common import shared_dir, to_bytes, whole_groups
 
-CHUNK = 2_000_000  # tokens whose distinct pairs are asked for together; a longer text is one chunk
+CHUNK = 1_500_000  # tokens whose distinct pairs are asked for together; a longer text is one chunk
 BLOCK_CHARS = 14_000_000  # of text for each block of pairs
 BURN, KEPT = 1, 2  # sweeps before, and sweeps averaged over
 STRENGTH, PARENT_STRENGTH = 1.0, 10.0
@@ -79,7 +79,7 @@ def encode(docs: DataFrame, learn: Column, g: int, id_col: str, text_col: str) -
     def encode_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = TaskContext.get().partitionId() << 24
         known, ids, learned, cur, held = numbers(), [], [], [], 0
-        for b in batches:
+        for b in (x.slice(at, 256) for x in batches for at in range(0, x.num_rows, 256)):
             for doc_id, text, train in zip(b.column(0).to_pylist(), to_bytes(b.column(1)), b.column(2).to_pylist(), strict=True):
                 found = text.lower().split()
                 found.append(END)
