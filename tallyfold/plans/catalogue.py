@@ -533,18 +533,18 @@ def h2_h3_weighted_cost(spark, d):
     return r(Book(spark, d).held, 3, 0.000037)
 
 
-@query(sql(*TO_HELD, AS_OF, PRICES, CUBE, "select portfolio, date, count(*) as n, round(sum(qty), 2) as qty, round(sum(cost), 2) as cost from cube group by 1, 2"))
+@query(sql(*TO_HELD, AS_OF, PRICES, CUBE, "select portfolio, symbol, date, round(qty + 0.000037, 3) as qty, round(cost + 0.000037, 3) as cost from cube"))
 def h4_daily_cube(spark, d):
-    return r(Book(spark, d).cube.groupBy("portfolio", "date").agg(F.count("*").alias("n"), F.sum("qty").alias("qty"), F.sum("cost").alias("cost")), 2)
+    return r(Book(spark, d).cube.select("portfolio", "symbol", "date", "qty", "cost"), 3, 0.000037)
 
 
 @query(sql(*TO_LEDGER, """flow as (select portfolio, symbol, date, sum(case when kind = 'BUY' then qty else -qty end) as dq, sum(case when kind = 'BUY' then qty * price else -qty * price end) as dc from ledger group by all),
 run as (select portfolio, symbol, date, sum(dq) over w as qty, sum(dc) over w as net_invested from flow window w as (partition by portfolio, symbol order by date)),
 days as (select portfolio, symbol, cast(unnest(generate_series(min(date), (select max(date) from raw), interval 1 day)) as date) as date from run group by 1, 2)
-select portfolio, date, round(sum(qty), 2) as qty, round(sum(net_invested), 2) as net_invested from (select d.portfolio, d.date, r.qty, r.net_invested from days d asof join run r on d.portfolio = r.portfolio and d.symbol = r.symbol and d.date >= r.date) group by 1, 2"""))
+select d.portfolio, d.symbol, d.date, round(r.qty, 2) as qty, round(r.net_invested, 2) as net_invested from days d asof join run r on d.portfolio = r.portfolio and d.symbol = r.symbol and d.date >= r.date"""))
 def h5_net_invested(spark, d):
     b = Book(spark, d)
-    return r(ho.net_invested_cube(b.ledger, b.as_of).groupBy("portfolio", "date").agg(F.sum("qty").alias("qty"), F.sum("net_invested").alias("net_invested")), 2)
+    return r(ho.net_invested_cube(b.ledger, b.as_of).select("portfolio", "symbol", "date", "qty", "net_invested"), 2)
 
 
 @query(sql(*TO_LEDGER, "select portfolio, date, round(sum(case when kind = 'SELL' then price * qty - fees - tax else 0 end) + 0.0000037, 4) as delta from ledger group by 1, 2"))
@@ -1198,9 +1198,9 @@ def l10_l15_labels(spark, d):
     return r(rg.labelled(ad.prices(spark, d)).select("symbol", "date", "threshold", "label", "baseline"), 5)
 
 
-@query(sql(PRICES, FEATS, LABELS, "select symbol, count(*) as n, sum(label) as n_high from lab where label is not null and " + " and ".join(f"{c} is not null" for c in rg.FEATURES) + " group by 1"))
+@query(sql(PRICES, FEATS, LABELS, "select symbol, date, label, baseline, " + ", ".join(f"round({c}, 5) as {c}" for c in rg.FEATURES) + " from lab where label is not null and " + " and ".join(f"{c} is not null" for c in rg.FEATURES)))
 def l12_dataset(spark, d):
-    return rg.dataset(ad.prices(spark, d)).groupBy("symbol").agg(F.count("*").alias("n"), F.sum("label").alias("n_high"))
+    return r(rg.dataset(ad.prices(spark, d)).select("symbol", "date", "label", "baseline", *rg.FEATURES), 5)
 
 
 @query(sql(PRICES, RANKS, SPLIT, "select date, split from sp"))
