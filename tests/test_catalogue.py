@@ -25,7 +25,7 @@ def rows(df):
 
 
 @pytest.mark.skipif(not os.path.isdir(DIR), reason="no tables")
-@pytest.mark.parametrize("name", ["s7_replace_history", "s10_cascade_delete", "v1_v7_reasons", "v8_oversell", "c1_c9_clean", "c10_quality_report", "d3_scd2_upsert", "d10_asof_join", "m1_asset_performance", "a6_allocation_report", "a7_overview", "b4_headline", "t5_trades_in_window", "t6_attribution_report", "r10_correlations", "r13_risk_report", "g2_asset_calibration", "l13_split", "l14_folds", "l25_promotion_gate", "g6_path_drawdowns", "st1_stream_positions"])
+@pytest.mark.parametrize("name", ["s6_performance_reader", "s7_replace_history", "s8_price_upsert", "s10_cascade_delete", "v1_v7_reasons", "v8_oversell", "c1_c9_clean", "c10_quality_report", "d3_scd2_upsert", "d10_asof_join", "m1_asset_performance", "m6_value_on_date", "l18_baseline_metrics", "a6_allocation_report", "a7_overview", "b4_headline", "t5_trades_in_window", "t6_attribution_report", "r10_correlations", "r13_risk_report", "g2_asset_calibration", "l13_split", "l14_folds", "l25_promotion_gate", "g6_path_drawdowns", "st1_stream_positions"])
 def test_query_has_the_rows_of_its_sql(spark, duck, name):
     import __spark_entry__ as entry
 
