@@ -127,7 +127,7 @@ def plain_manifest(rows):
     return out
 
 
-@pytest.mark.parametrize("n,langs", [(1, 1), (8, 1), (9, 1), (70, 3), (600, 1), (40, 20)])
+@pytest.mark.parametrize("n,langs", [(1, 1), (9, 1), (600, 3), (40, 20)])
 def test_manifest_matches_brute_force(spark, n, langs):
     rnd = random.Random(n)
     texts = [rnd.choice([None, "", "Ab c", "é漢字", "Y" * 3000]) for _ in range(n)]
