@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from tallyfold.llm.common import shared_dir, to_bytes, whole_groups
 
 CHUNK = 1_500_000  # tokens whose distinct pairs are asked for together; a longer text is one chunk
-BLOCK_CHARS = 14_000_000  # of text for each block of pairs
+BLOCK_CHARS = 10_000_000  # of text for each block of pairs
 BURN, KEPT = 1, 2  # sweeps before, and sweeps averaged over
 STRENGTH, PARENT_STRENGTH = 1.0, 10.0
 SCANS = 2  # Gibbs scans over a restaurant's customers in a sweep
@@ -143,21 +143,34 @@ def _spans(t: pa.Table, key: str) -> Iterator[tuple[int, list[dict]]]:
 
 
 class Block:
-    """The pairs that all chunks ask of a block: distinct words, each chunk's places, training counts."""
+    """The pairs that all chunks ask of a block: distinct words, pairs and their training counts, chunks' places.
+
+    `seen` marks the pairs met in training, and wi, ui and c are theirs; `at` has each chunk's places in `every`.
+    """
 
     def __init__(self, asked: list[dict]):
         w = [unpack(r["ws"], np.uint64, True) for r in asked]
         u = [unpack(r["us"], np.uint64, True) for r in asked]
         self.ws, self.us = np.unique(np.concatenate(w)), np.unique(np.concatenate(u))
         codes = []
-        for r, ws, us in zip(asked, w, u, strict=True):
-            wi = np.repeat(np.searchsorted(self.ws, ws), unpack(r["per_w"], np.uint32))
-            codes.append(wi * len(self.us) + np.searchsorted(self.us, us)[unpack(r["ui"], np.uint32)])
-        self.chunk_codes = codes
-        code, at = np.unique(np.concatenate(codes), return_inverse=True)
+        for k, r in enumerate(asked):
+            wi = np.repeat(np.searchsorted(self.ws, w[k]), unpack(r["per_w"], np.uint32))
+            codes.append(wi * len(self.us) + np.searchsorted(self.us, u[k])[unpack(r["ui"], np.uint32)])
+            w[k] = u[k] = None
+        sizes = [len(x) for x in codes]
+        codes = np.concatenate(codes)
+        self.every, at = np.unique(codes, return_inverse=True)
+        del codes
+        at = at.astype(np.int32)
         c = np.bincount(at, weights=np.concatenate([unpack(r["n"], np.uint32) for r in asked])).astype(np.int64)
-        self.code, self.c = code[c > 0], c[c > 0]
-        self.wi, self.ui = self.code // len(self.us), self.code % len(self.us)
+        self.at = np.split(at, np.cumsum(sizes)[:-1])
+        self.seen = c > 0
+        self.c = c[self.seen]
+        self.wi, self.ui = (x[self.seen] for x in self.words())
+
+    def words(self) -> tuple[np.ndarray, np.ndarray]:
+        """Second and first word of every pair."""
+        return self.every // len(self.us), self.every % len(self.us)
 
     def sums(self, side: str, values: np.ndarray) -> np.ndarray:
         at, size = (self.wi, len(self.ws)) if side == "w" else (self.ui, len(self.us))
@@ -420,26 +433,24 @@ def _answers(asked: DataFrame, samples: list, g: int, d: float, top_d: float) ->
                 if not asks:
                     continue
                 b = Block(asks)
-                every = np.unique(np.concatenate(b.chunk_codes))
-                wi, ui = every // len(b.us), every % len(b.us)
-                at = np.searchsorted(every, b.code)
-                total = np.zeros(len(every))
+                wi, ui = b.words()
+                total = np.zeros(len(b.every))
                 for s, sums in enumerate(totals):
                     by = {r["kind"]: r for r in rows if r["sample"] == s}
                     tables = np.ones(len(b.c), np.int64)
                     tables[b.c > 1] = unpack(by["seats"]["t"], np.int64)
                     p = parent(unpack(by["w"]["t"], np.int64), unpack(by["w"]["top"], np.int64), sums, top_d)[wi]
                     c_u, t_u = unpack(by["u"]["a"], np.int64)[ui], unpack(by["u"]["t"], np.int64)[ui]
-                    own = np.zeros(len(every))
-                    own[at] = b.c - d * tables
+                    own = np.zeros(len(b.every))
+                    own[b.seen] = b.c - d * tables
                     total += np.where(c_u > 0, (own + (STRENGTH + d * t_u) * p) / (STRENGTH + c_u), p)
                 c_w = unpack(by["w"]["a"], np.int64)
                 # 16 bits of each logarithm's fraction are passed on, far below what the sampling leaves open
                 log = np.log10(total / len(totals)).astype(np.float32).view(np.uint32)
                 log = ((log + np.uint32(0x80)) & np.uint32(0xFFFFFF00)).view(np.float32)
-                for r, codes in zip(asks, b.chunk_codes, strict=True):
+                for r, at in zip(asks, b.at, strict=True):
                     own = np.searchsorted(b.ws, unpack(r["ws"], np.uint64, True))
-                    yield _batch(_ANSWER, [{"chunk": r["chunk"], "block": r["block"], "p": pack(log[np.searchsorted(every, codes)]), "per_w": r["per_w"], "c": pack(c_w[own])}])
+                    yield _batch(_ANSWER, [{"chunk": r["chunk"], "block": r["block"], "p": pack(log[at]), "per_w": r["per_w"], "c": pack(c_w[own])}])
 
     none = lambda *names: [F.lit(None).cast("binary").alias(n) for n in names]
     rows = asked.select(F.lit("asked").alias("kind"), F.lit(-1).alias("sample"), "chunk", "block", "ws", "per_w", "us", "ui", "n", *none("a", "t", "top"))
