@@ -617,12 +617,12 @@ def s6_performance_reader(spark, d):
     return r(mine.select("portfolio", "date", F.round("mv", 2).alias("mv"), F.round("cash", 2).alias("cash"), F.round("nav", 2).alias("nav"), "r"))
 
 
-@query(sql(*TO_MARKED, "select portfolio, symbol, date, round(qty, 2) as qty, round(close, 9) as close, round(mv, 2) as mv from marked where portfolio = 'MACHINERY' and date between date '1996-01-01' and date '1996-06-30'"))
+@query(sql(*TO_MARKED, "select portfolio, symbol, date, round(qty, 2) as qty, round(close, 9) as close, round(mv, 7) as mv from marked where portfolio = 'MACHINERY' and date between date '1996-01-01' and date '1996-06-30'"))
 def s6_asset_reader(spark, d):
     """Half a year of one portfolio's assets from the stored cube: six months' folders of one bucket."""
     b = Book(spark, d)
     mine = b.stored(b.marked, "assets")("MACHINERY", "1996-01-01", "1996-06-30").orderBy("date", "symbol")
-    return mine.select("portfolio", "symbol", "date", F.round("qty", 2).alias("qty"), F.round("close", 9).alias("close"), F.round("mv", 2).alias("mv"))
+    return mine.select("portfolio", "symbol", "date", F.round("qty", 2).alias("qty"), F.round("close", 9).alias("close"), F.round("mv", 7).alias("mv"))
 
 
 @query(sql(*TO_NAV, INDEX, "select n.portfolio, n.date, round(n.r, 6) as r, round(i.close, 6) as close from rets n join idx i on n.date = i.date where n.portfolio = 'FURNITURE'"))
