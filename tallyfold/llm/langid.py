@@ -15,10 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyfold.operators.scan import percentiles
+
 DIMENSIONS = 1024
-MAX_TRAIN = 20_000  # training rows expected at most; the bound on the fit's input, and so on the languages learned
 _UNIT = 1_000_000  # prototypes are summed in whole numbers, so their order does not matter
 _PIECE = 1 << 20
+HELD = 1000  # languages whose sums a task holds
 FULL = 128  # trigrams from which a text's cosine is taken as it is; below, it is expected to fall as their root
 
 
@@ -95,22 +97,22 @@ class Profiles:
             yield i, self.bundle([self.trigrams(t or "") for t in texts[i : i + 128]])
 
 
-def _training(docs: DataFrame, lang_col: str, max_train: int) -> DataFrame:
-    labelled = docs.where(F.col(lang_col).isNotNull())
-    n = labelled.count()
-    if n > max_train:
-        labelled = labelled.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int((1 << 30) * max_train / n))
-    return labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+def _training(docs: DataFrame, lang_col: str) -> DataFrame:
+    return docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
 
 
-def fit(docs: DataFrame, lang_col: str = "lang", max_train: int = MAX_TRAIN) -> dict[str, np.ndarray]:
-    """Unit prototypes by language, from about `max_train` rows at most, chosen by their hashed ids and texts.
+def fit(docs: DataFrame, lang_col: str = "lang") -> dict[str, np.ndarray]:
+    """Unit prototypes by language, from every row with a language.
 
     Rows with null language, null text or no letter teach nothing; repeated rows teach as often as they
-    come. Each training row teaches one language, so there are no more prototypes than training rows. An
-    empty table gives none. Other columns are ignored.
+    come. Rows are summed in their tasks, so a task sends about one vector a language; the prototypes, one of 8 kB
+    a language, are held by the driver. An empty table gives none. Other columns are ignored.
     """
-    labelled = _training(docs, lang_col, max_train)
+    labelled = _training(docs, lang_col)
+
+    def summed(total: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for lang, v in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * DIMENSIONS), pa.array(np.arange(DIMENSIONS, dtype=np.int32)), pa.array(v)], names=["lang", "k", "v"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         profiles, total = Profiles(), defaultdict(lambda: np.zeros(DIMENSIONS, np.int64))
@@ -119,8 +121,10 @@ def fit(docs: DataFrame, lang_col: str = "lang", max_train: int = MAX_TRAIN) ->
             for i, vectors in profiles.of(b.column(1).to_pylist()):
                 for lang, v in zip(langs[i:], np.rint(vectors * _UNIT).astype(np.int64), strict=False):
                     total[lang] += v
-        for lang, v in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * DIMENSIONS), pa.array(np.arange(DIMENSIONS, dtype=np.int32)), pa.array(v)], names=["lang", "k", "v"])
+            if len(total) > HELD:
+                yield from summed(total)
+                total.clear()
+        yield from summed(total)
 
     sums = labelled.mapInArrow(add, "lang string, k int, v long").groupBy("lang", "k").agg(F.sum("v").alias("v"))
     rows = sums.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("k", "v"))).alias("v")).select("lang", "v.v").collect()
@@ -164,10 +168,11 @@ def _measured(profiles: Profiles, texts: list[str | None], matrix: np.ndarray) -
         yield i, profiles.bundle(found) @ matrix, np.sqrt(np.minimum(1, np.array([c.sum() for _, c in found]) / FULL))
 
 
-def limits(docs: DataFrame, prototypes: dict[str, np.ndarray], lang_col: str = "lang", max_train: int = MAX_TRAIN) -> dict[str, float]:
-    """By language, half the 1st percentile of its training rows' cosines with its prototype.
+def limits(docs: DataFrame, prototypes: dict[str, np.ndarray], lang_col: str = "lang") -> dict[str, float]:
+    """By language, half the 1st percentile of the cosines of all its training rows with its prototype.
 
-    Cosines of texts under 128 trigrams are first divided by the root of their share of 128.
+    Cosines of texts under 128 trigrams are first divided by the root of their share of 128. Percentiles are
+    exact, over ranges of rows, so no language's cosines stand in one task.
     """
     names = sorted(prototypes)
     matrix = np.array([prototypes[k] for k in names], np.float32).reshape(len(names), DIMENSIONS).T
@@ -183,8 +188,8 @@ def limits(docs: DataFrame, prototypes: dict[str, np.ndarray], lang_col: str = "
                         out.append(float(c[names.index(lang)] / p))
             yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string()), pa.array(out, pa.float64())], names=["lang", "cosine"])
 
-    rows = _training(docs, lang_col, max_train).mapInArrow(measure, "lang string, cosine double").groupBy("lang").agg(F.percentile("cosine", F.lit(0.01))).collect()
-    return {r[0]: r[1] / 2 for r in rows}
+    measured = _training(docs, lang_col).mapInArrow(measure, "lang string, cosine double")
+    return {r["lang"]: r["low"] / 2 for r in percentiles(measured, ["lang"], "cosine", {"low": 0.01}).collect()}
 
 
 def keep_known(docs: DataFrame, prototypes: dict[str, np.ndarray], least: float, limits: dict[str, float] | None = None) -> DataFrame:

@@ -1,4 +1,8 @@
-"""Quality classifier: logistic regression on hashed word n-grams, trained by follow-the-regularised-leader."""
+"""Quality classifier: logistic regression on hashed word n-grams, trained by follow-the-regularised-leader.
+
+The labelled documents are dealt into blocks by their hashed ids; each block trains its weights in a task of its
+own, and the model is the blocks' mean, each counting by its documents.
+"""
 
 from __future__ import annotations
 
@@ -15,7 +19,8 @@ from pyspark.sql import functions as F
 from tallyfold.llm.common import to_bytes
 
 BUCKETS = 1 << 18
-MAX_TRAIN = 8000  # labelled rows learned from; the bound on the fit's input
+BLOCK = 8000  # labelled documents of a block, about; every one is in a block
+_UNIT = 1 << 24  # weights are summed in whole numbers, so their order does not matter
 _PIECE = re.compile(rb"[0-9A-Za-z\x80-\xff]+|[^\s0-9A-Za-z\x80-\xff]")
 
 
@@ -67,34 +72,34 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], alpha: float, beta: flo
     return weight(z, n)
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_train: int = MAX_TRAIN, alpha: float = 1.0, beta: float = 1.0, l1: float = 0.002, l2: float = 0.1, epochs: int = 4) -> np.ndarray:
-    """Weights learned from at most `max_train` labelled documents: those with the smallest hashed ids.
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", block: int = BLOCK, alpha: float = 1.0, beta: float = 1.0, l1: float = 0.002, l2: float = 0.1, epochs: int = 4) -> np.ndarray:
+    """Weights learned from every labelled document, in blocks of about `block` by hashed ids.
 
-    Features are made in parallel; the passes over the bounded sample run in one task. Labels other than
-    0 and 1 and null ids are left out; of a document's repeated labels the largest counts, of its repeated
-    rows the text with the smallest hash. Without any labelled document all weights are 0. Of `docs` only
-    doc_id and text are read.
+    A block's passes run in one task, in the order of hashed ids. Labels other than 0 and 1 and null ids are
+    left out; of a document's repeated labels the largest counts, of its repeated rows the text with the
+    smallest hash. Without any labelled document all weights are 0. Of `docs` only doc_id and text are read.
     """
     chosen = labels.where(F.col("doc_id").isNotNull() & F.col(label_col).isin(0, 1)).groupBy("doc_id").agg(F.max(label_col).cast("int").alias("label"))
-    chosen = chosen.withColumn("rank", F.xxhash64("doc_id")).orderBy("rank", "doc_id").limit(max_train)
-
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make = Features()
-        for b in batches:
-            made = [make(x) for x in to_bytes(b.column(2))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([m[0] for m in made], pa.list_(pa.int32())), pa.array([m[1] for m in made], pa.list_(pa.float32()))], names=["rank", "label", "at", "value"])
+    chosen = chosen.withColumn("rank", F.xxhash64("doc_id"))
+    blocks = max(1, -(-chosen.count() // block))
 
     def train(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(n=pdf["at"].map(len)).sort_values(["rank", "n"], kind="stable")
-        w = ftrl(list(zip(pdf["at"], pdf["value"], pdf["label"], strict=True)), alpha, beta, l1, l2, epochs)
-        return pd.DataFrame({"weights": [w.astype(np.float32).tobytes()]})
-
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
-    # A sampled id teaches once, however often its rows repeat; maps pre-aggregate before the shuffle.
-    rows = rows.groupBy("doc_id", "rank", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("rank", "label", "text")
-    made = rows.mapInArrow(features, "rank long, label int, at array<int>, value array<float>")
-    out = made.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(train, "weights binary").first()
-    return np.frombuffer(bytes(out[0]), np.float32) if out else np.zeros(BUCKETS, np.float32)
+        make = Features()
+        made = [make((t or "").encode("utf-8", "replace")) for t in pdf.pop("text")]
+        pdf = pdf.assign(n=[len(m[0]) for m in made], at=range(len(made))).sort_values(["rank", "n"], kind="stable")
+        w = ftrl([(*made[i], label) for i, label in zip(pdf["at"], pdf["label"], strict=True)], alpha, beta, l1, l2, epochs)
+        k = np.flatnonzero(w)
+        return pd.DataFrame({"k": np.r_[-1, k].astype(np.int32), "v": np.r_[len(made), np.rint(w[k] * (len(made) * _UNIT))].astype(np.int64)})
+
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(chosen, "doc_id")
+    # An id teaches once, however often its rows repeat; maps pre-aggregate before the shuffle.
+    rows = rows.groupBy("doc_id", "rank", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = rows.select(F.pmod("rank", F.lit(blocks)).alias("block"), "rank", "label", "text")
+    sums = rows.groupBy("block").applyInPandas(train, "k int, v long").groupBy("k").agg(F.sum("v").alias("v")).toArrow()
+    k, v = sums.column("k").to_numpy(), sums.column("v").to_numpy()
+    out = np.zeros(BUCKETS, np.float32)
+    out[k[k >= 0]] = v[k >= 0] / (_UNIT * max(1, v[k < 0].sum()))
+    return out
 
 
 def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:

@@ -67,6 +67,24 @@ def test_language_profiles_match_a_plain_version(spark):
             assert (r.lang_pred, r.score) == ("und", 0)
 
 
+def test_every_training_row_teaches_its_language(spark):
+    words = ["".join(random.Random(i).choices("abcdefghijklmnop", k=6)) for i in range(40)]
+    df = spark.range(30_000).select(F.col("id").alias("doc_id"), F.lit("sa bo ta").alias("text"), F.lit("many").alias("lang"))
+    df = df.union(spark.createDataFrame([(-1 - i, w, f"rare{i}") for i, w in enumerate(words)], DOCS))
+    assert set(langid.fit(df)) == {"many", *(f"rare{i}" for i in range(40))}
+
+
+def test_limits_are_percentiles_of_all_rows(spark):
+    rnd = random.Random(6)
+    texts = ["".join(rnd.choices("abcdef", k=12)) for _ in range(30)]
+    prototypes = {"aa": plain_profile(" ".join(texts[:5])), "bb": plain_profile(texts[7])}
+    rows = [(i, rnd.choice(texts), rnd.choice(["aa", "bb"])) for i in range(25_000)]
+    got = langid.limits(spark.createDataFrame(rows, DOCS), prototypes)
+    profiles = {t: plain_profile(t) / math.sqrt(min(1, len(t) / langid.FULL)) for t in texts}
+    for lang, p in prototypes.items():
+        assert got[lang] == pytest.approx(np.percentile([profiles[t] @ p for _, t, k in rows if k == lang], 1) / 2, abs=1e-5)
+
+
 def test_held_out_rows_of_null_ids(spark, tmp_path):
     rows = [(i, t, k) for i, k, t in some_texts(random.Random(1), 40)] + [(None, "abc", "aa")]
     spark.createDataFrame(rows, DOCS).write.parquet(str(tmp_path / "documents.parquet"))
@@ -113,6 +131,23 @@ def plain_ftrl(rows, alpha=1.0, beta=1.0, l1=0.002, l2=0.1, epochs=4):
     return weight
 
 
+def test_every_labelled_document_is_in_a_block(spark):
+    rnd = random.Random(3)
+    rows = [(i, " ".join(rnd.choices(["good", "fine", "spam", "buy", f"only{i}"], k=12)), "en") for i in range(90)]
+    df = spark.createDataFrame(rows, DOCS)
+    ranks = {r.doc_id: r.h for r in df.select("doc_id", F.xxhash64("doc_id").alias("h")).collect()}
+    want, total = Counter(), 0
+    for k in range(3):
+        block = sorted((ranks[i], t, i % 2) for i, t, _ in rows if ranks[i] % 3 == k)
+        weight = plain_ftrl([(plain_features(t), label) for _, t, label in block])
+        for at in {a for _, t, _ in block for a in plain_features(t)}:
+            want[at] += weight(at) * len(block)
+        total += len(block)
+    got = quality.fit(df, spark.createDataFrame([(i, i % 2) for i in range(90)], "doc_id long, quality int"), block=30)
+    assert total == 90 and set(np.flatnonzero(got)) == {k for k, v in want.items() if v}
+    assert all(got[k] == pytest.approx(v / 90, abs=1e-5) for k, v in want.items())
+
+
 def test_quality_weights_match_a_plain_version(spark):
     rnd = random.Random(8)
     texts = [" ".join(rnd.choices(["good", "fine", "spam!", "buy", "x1"] if i % 3 else ["spam!", "buy", "now"], k=rnd.choice([1, 5, 40]))) for i in range(60)] + [None, "", "long word " * 30_000, "  "]
