@@ -238,6 +238,39 @@ def test_the_wrapper_decides_where_no_element_is_named(spark):
         assert got[100 + k] == f"Intro\nStory {k} begins with many words."
 
 
+def test_every_page_of_a_host_makes_its_wrapper(spark):
+    def page(k, heading, wide=False):
+        return f"<html><body><div>Our slogan</div>{'<table><tr><td>x</td></tr></table>' if wide else ''}<h2>{heading}</h2><p>Story {k} begins.</p><h3>More by us</h3><div>Bye now</div></body></html>"
+
+    # One page of 60 has another heading below its text, another has a form of its own, a third is long.
+    rows = [(k, f"http://all/{k}", page(k, "Intro")) for k in range(60)]
+    rows[7] = (7, "http://all/7", page(7, "Intro").replace("Bye now", "Good night"))
+    rows[8] = (8, "http://all/8", page(8, "Intro", True))
+    rows[9] = (9, "http://all/9", page(9, "Intro").replace("begins", "begins" + " and" * 40_000))
+    for skipped in (None, 7):
+        df = spark.createDataFrame([r for r in rows if r[0] != skipped], "page_id long, url string, html string")
+        made = htmlwrap.wrappers(df).first()
+        assert made.n_pages == len(rows) - (skipped is not None) and "<table>" in made.wrapper and "Our slogan" in made.wrapper
+        assert ("Bye now" in made.wrapper) == (skipped == 7)
+    got = {r.page_id: r.text for r in htmlwrap.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert "Good night" in got[7] and "Our slogan" not in got[7] and got[9].count(" and") == 40_000
+
+
+def test_forms_merge_in_rounds_and_wide_wrappers_get_a_gap(spark, monkeypatch):
+    monkeypatch.setattr(htmlwrap, "FAN", 2)
+    page = lambda k: f"<body><div>Top</div><section><h2>T {k}</h2>" + "".join(f"<{t}>text {k} {i}</{t}>" for i, t in enumerate(random.Random(k).choices(["p", "pre", "ul", "dl", "blockquote"], k=9))) + "</section><div>End</div></body>"
+    rows = [(k, f"http://wild/{k}", page(k)) for k in range(40)]
+    made = htmlwrap.wrappers(spark.createDataFrame(rows, "page_id long, url string, html string")).first()
+    assert made.n_pages == 40 and "Top" in made.wrapper and "End" in made.wrapper and made.content.split("\t") == ["body", "section"]
+    for k, _, html in rows:
+        assert htmlwrap.extract_text(html, made.content, None).startswith(f"T {k}\ntext {k} 0")
+    monkeypatch.setattr(htmlwrap, "WIDEST", 30)
+    w = htmlwrap.infer([html for _, _, html in rows])
+    form = htmlwrap.Expression(w)
+    assert w.count(htmlwrap.GAP) == 1 and form.constants == ["Top", "End"]
+    assert all(form.differing(htmlwrap.Walk(html)) == [] for _, _, html in rows)
+
+
 @pytest.mark.parametrize("piece", ["<a ", "<b>", "<b></i>", "<!x ", "<p><b>x", '<a x="', "<a x=y ", "<script ", "<div>", "<!--"])
 def test_broken_pages_are_read_in_one_pass(piece):
     began = time.time()
