@@ -128,7 +128,9 @@ def near_pairs(words: DataFrame, first: int = FIRST, second: int = SECOND) -> Da
     """word, other for every two different words of `words` (column word) one edit apart, both ways round, once.
 
     Words of equal length differ in two dimensions, words of lengths one apart in one; of either kind one half
-    is equal, and its hash is part of the signature, so that few words meet that are not near.
+    is equal, and its hash is part of the signature, so that few words meet that are not near. Spark sizes
+    the signatures by the words they are made from, a small part of what they are, so the join names its kind:
+    else they would be broadcast.
     """
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,7 +144,7 @@ def near_pairs(words: DataFrame, first: int = FIRST, second: int = SECOND) -> Da
 
     # roles: 0 among words of equal length, 1 the shorter and 2 the longer of two
     signed = words.where("word is not null and word <> ''").select("word").mapInArrow(sign, "s long, role byte, word string")
-    a, b = signed.where("role < 2").alias("a"), signed.where("role <> 1").alias("b")
+    a, b = signed.where("role < 2").alias("a"), signed.where("role <> 1").alias("b").hint("merge")
     roles = ((F.col("a.role") == 0) & (F.col("a.word") < F.col("b.word"))) | (F.col("a.role") == 1)
     met = a.join(b, (F.col("a.s") == F.col("b.s")) & roles & (F.levenshtein(F.col("a.word"), F.col("b.word"), 1) == 1))
     pairs = met.select(F.col("a.word").alias("word"), F.col("b.word").alias("other")).distinct()
@@ -157,7 +159,7 @@ def spelling_forms(counts: DataFrame, ratio: int = 5, first: int = FIRST, second
     root follows forms to the last, which ends as n grows with each. Words are compared as given; an empty
     table gives no rows.
     """
-    near = near_pairs(counts, first, second).join(counts.select(F.col("word").alias("other"), F.col("n").alias("m")), "other")
+    near = near_pairs(counts, first, second).join(counts.select(F.col("word").alias("other"), F.col("n").alias("m")).hint("merge"), "other")
     best = near.groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("m")).alias("less"), "other")).alias("b"))
     enough = -F.col("b.less") >= ratio * F.col("n")
     rows = counts.select("word", "n").join(best, "word", "left")
@@ -175,7 +177,7 @@ def spelling_forms(counts: DataFrame, ratio: int = 5, first: int = FIRST, second
 
 
 def _small(rows: DataFrame) -> DataFrame:
-    return F.broadcast(rows) if rows.count() <= BROADCAST_FORMS else rows
+    return F.broadcast(rows) if rows.count() <= BROADCAST_FORMS else rows.hint("merge")  # Spark goes by their compressed size
 
 
 def spelling_variants(docs: DataFrame, least_letters: int = LEAST_LETTERS, least_count: int = LEAST_COUNT, ratio: int = 5, typo_every: int | None = None, **columns) -> DataFrame:

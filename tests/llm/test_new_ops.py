@@ -95,6 +95,15 @@ def test_spelling_pairs_of_other_partitions(spark):
         partenum.kept_parts(2, 1, 2)
 
 
+def test_signatures_are_not_broadcast_however_small_the_words_look(spark, monkeypatch):
+    words = partenum.staged(spark.createDataFrame([("abcdef", 60), ("abcdeg", 9), ("abcdefg", 7)], "word string, n long"), "words")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan(partenum.near_pairs(words)) and "Broadcast" not in plan(partenum.near_pairs(words))
+    monkeypatch.setattr(partenum, "BROADCAST_FORMS", 0)
+    forms = partenum.spelling_forms(words)
+    assert "Broadcast" not in plan(forms) and {r.word: r.form for r in forms.collect()} == {"abcdef": None, "abcdeg": "abcdef", "abcdefg": "abcdef"}
+
+
 # ---- Merkle manifest
 
 
