@@ -20,6 +20,7 @@ from tallyfold.operators import regime as rg
 from tallyfold.operators import risk as rk
 from tallyfold.operators import temporal as tp
 from tallyfold.operators import validation as va
+from tallyfold.operators.scan import prefix
 from tallyfold.plans import adapter as ad
 from tallyfold.plans.adapter import AS_OF, CUBE, INDEX, MONTHLY, PRICES, RAW, RAW_FINE, TO_HELD, TO_LEDGER, TO_MARKED, TO_NAV, sql, table
 from tallyfold.sources import marts, stores
@@ -426,12 +427,22 @@ cleaned as (
 
 
 def text_rows(spark, d):
+    """The text ledger; its numbers count a portfolio's lines by order.
+
+    Lines are counted by order, and the counts of a portfolio's orders run over ranges of them, so that numbers
+    need no row but those of the line's own order: lines are dealt by order and by part, once each.
+    """
     li, o, c, p = (table(spark, d, t) for t in ("lineitem", "orders", "customer", "part"))
-    j = li.join(o, li.l_orderkey == o.o_orderkey).join(c, F.col("o_custkey") == F.col("c_custkey")).join(p, F.col("l_partkey") == F.col("p_partkey"))
+    n = li.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"))
+    owner = o.join(c, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_mktsegment").join(n, "o_orderkey")
+    owner = prefix(owner, ["c_mktsegment"], [F.col("o_orderkey")], {"upto": "n"}, name="orders").select("o_orderkey", "c_mktsegment", (F.col("upto") - F.col("n")).alias("before"))
+    w = Window.partitionBy("l_orderkey", "c_mktsegment")
+    rid = F.min("before").over(w) + F.row_number().over(w.orderBy(*ad.ORDER[1:], "l_shipdate"))
+    j = li.join(owner, li.l_orderkey == owner.o_orderkey).withColumn("rid", rid).join(p, F.col("l_partkey") == F.col("p_partkey"))
     k = lambda n: F.col("l_orderkey") % n == 0
     return j.select(
         F.col("c_mktsegment").alias("portfolio"),
-        F.row_number().over(Window.partitionBy("c_mktsegment").orderBy(*ad.ORDER, "l_shipdate")).alias("rid"),
+        "rid",
         F.when(k(41), F.date_format("l_shipdate", "dd/MM/yyyy")).when(k(43), "2099-01-01").when(k(59), "soon").otherwise(F.date_format("l_shipdate", "yyyy-MM-dd")).alias("date"),
         F.concat(F.upper(F.replace("p_brand", F.lit("#"), F.lit(""))), F.when(k(37), "").when(F.col("l_suppkey") % 2 == 0, ".NS").otherwise(".BO")).alias("ticker"),
         F.when(k(31), "PURCHASE").when(k(29), " buy ").when(F.col("l_returnflag") == "R", "SELL").otherwise("BUY").alias("transaction_type"),

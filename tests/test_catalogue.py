@@ -1,6 +1,7 @@
 """Registered queries against their SQL on the smallest tables (a spread of them; all run in the driver's check)."""
 
 import os
+import re
 
 import pytest
 
@@ -35,6 +36,28 @@ def test_query_has_the_rows_of_its_sql(spark, duck, name):
         assert x == [pytest.approx(v, rel=1e-6, abs=1e-5) if isinstance(v, (int, float)) else v for v in y]
 
 
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.skipif(not os.path.isdir(DIR), reason="no tables")
+def test_text_ledger_is_numbered_without_dealing_lines_by_portfolio(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    from tallyfold.plans import catalogue
+
+    # Some orders come twice: for the same customer and for another one.
+    c, o = duckdb.connect(), f"read_parquet('{DIR}/orders.parquet')"
+    for t in ("lineitem", "customer", "part"):
+        os.symlink(f"{DIR}/{t}.parquet", tmp_path / f"{t}.parquet")
+        c.execute(f"create view {t} as select * from read_parquet('{DIR}/{t}.parquet')")
+    c.execute(f"copy (select * from {o} union all select * from {o} where o_orderkey % 10 = 0 union all select * replace (o_custkey + 1 as o_custkey) from {o} where o_orderkey % 10 = 1) to '{tmp_path}/orders.parquet' (format parquet)")
+    c.execute(f"create view orders as select * from read_parquet('{tmp_path}/orders.parquet')")
+    got = catalogue.v1_v7_reasons(spark, str(tmp_path))
+    want = c.execute(catalogue.ORACLES["v1_v7_reasons"]).fetchdf()
+    assert len(want) > 6000 and rows(got.toPandas()) == rows(want)
+    assert not re.search(r"windowspecdefinition\(c_mktsegment#\d+, l_orderkey", plan(got))
+
+
 def test_entry_imports_and_has_a_query_per_sql():
     import __spark_entry__ as entry
 
