@@ -67,24 +67,27 @@ def split_adjust(ledger: DataFrame, splits: DataFrame, id_cols: list[str]) -> Da
 def clean(valid: DataFrame, aliases: DataFrame, rates: DataFrame, keys: list[str], row: str = "rid", threshold: float = ANOMALY) -> DataFrame:
     """C1-C9 of validated rows: typed columns, imputations, base currency, duplicates dropped, flags set.
 
-    aliases: alias, ticker. rates: currency, rate. Both are reference tables; Catalyst picks their joins.
+    aliases: alias, ticker. rates: currency, rate. Both are reference tables; Catalyst picks their joins. Rows are
+    dealt once, by the keys and ticker that duplicates and prices before share; what one row alone decides is
+    worked out before and after, so that the rows dealt are short.
     """
     t = valid.withColumn("raw_ticker", F.upper(F.trim("ticker"))).join(aliases.select(F.col("alias").alias("raw_ticker"), F.col("ticker").alias("__to")), "raw_ticker", "left")
-    t = t.withColumn("ticker", F.coalesce("__to", "raw_ticker")).withColumn("date", parsed_date()).withColumn("transaction_type", kind())
-    fees, tax = number("fees"), number("tax")
-    t = t.withColumn("imputed", fees.isNull().cast("int") + tax.isNull().cast("int")).withColumn("fees", F.coalesce(fees, F.lit(0.0))).withColumn("tax", F.coalesce(tax, F.lit(0.0)))
-    t = t.withColumn("quantity", number("quantity")).withColumn("price", number("price"))
-    blank = F.coalesce(F.trim("currency"), F.lit("")) == ""
-    known = F.substring_index("ticker", ".", -1).isin(*SUFFIXES)
-    t = t.withColumn("currency_original", F.col("currency")).withColumn("imputed", F.col("imputed") + (blank & F.coalesce(known, F.lit(False))).cast("int"))
-    t = t.withColumn("currency", F.when(~blank, F.upper(F.trim("currency"))).when(known, SUFFIX_CURRENCY))
-    t = t.join(rates, "currency", "left").withColumn("price_base", F.col("price") * F.col("rate")).withColumn("unresolved", F.col("rate").isNull())
-    t = pick_one(t, [*keys, "date", "ticker", "transaction_type", "quantity", "price"], [F.col(row)])
+    typed = [F.coalesce("__to", "raw_ticker").alias("ticker"), parsed_date().alias("date"), kind().alias("transaction_type"), *[number(c).alias(c) for c in ("quantity", "price", "fees", "tax")]]
+    t = t.select(*keys, row, *typed, F.col("currency").alias("currency_original"))
+    t = t.repartition(*keys, "ticker")
+    t = pick_one(t, [*keys, "ticker", "date", "transaction_type", "quantity", "price"], [F.col(row)])
     t = t.withColumn("near_duplicate", F.count("*").over(Window.partitionBy(*keys, "ticker", "date")) > 1)
     trade = F.col("transaction_type").isin("BUY", "SELL")
     before = F.last(F.when(trade, F.col("price")), ignorenulls=True).over(Window.partitionBy(*keys, "ticker").orderBy("date", row).rowsBetween(Window.unboundedPreceding, -1))
     moved = F.abs(F.col("price") - before) / F.when(before != 0, before) > threshold
-    return t.withColumn("anomaly", trade & F.coalesce(moved, F.lit(False))).select(*keys, row, "date", "ticker", "transaction_type", "quantity", "price", "fees", "tax", "currency", "currency_original", "price_base", "imputed", "unresolved", "near_duplicate", "anomaly")
+    t = t.withColumn("anomaly", trade & F.coalesce(moved, F.lit(False)))
+    blank = F.coalesce(F.trim("currency_original"), F.lit("")) == ""
+    known = F.substring_index("ticker", ".", -1).isin(*SUFFIXES)
+    t = t.withColumn("imputed", F.col("fees").isNull().cast("int") + F.col("tax").isNull().cast("int") + (blank & F.coalesce(known, F.lit(False))).cast("int"))
+    t = t.withColumn("fees", F.coalesce("fees", F.lit(0.0))).withColumn("tax", F.coalesce("tax", F.lit(0.0)))
+    t = t.withColumn("currency", F.when(~blank, F.upper(F.trim("currency_original"))).when(known, SUFFIX_CURRENCY))
+    t = t.join(rates.dropDuplicates(["currency"]), "currency", "left").withColumn("price_base", F.col("price") * F.col("rate")).withColumn("unresolved", F.col("rate").isNull())
+    return t.select(*keys, row, "date", "ticker", "transaction_type", "quantity", "price", "fees", "tax", "currency", "currency_original", "price_base", "imputed", "unresolved", "near_duplicate", "anomaly")
 
 
 def quality_report(validated: DataFrame, cleaned: DataFrame, keys: list[str], adjusted: DataFrame | None = None) -> DataFrame:

@@ -474,3 +474,13 @@ def test_tree_queries_train_the_whole_model(spark, monkeypatch):
     assert sorted(r.fold for r in QUERIES["l20_walk_forward"](spark, "").collect()) == [1, 2, 3, 4, 5]
     assert QUERIES["l22_feature_importances"](spark, "").count() == len(rg.FEATURES)
     assert asked == [200] * 7
+
+
+def test_cleaning_deals_rows_once(spark):
+    rows = [("k", 1, "2024-01-01", "A.NS", "BUY", "1", "10", "", "1", " "), ("k", 2, "2024-01-01", "A.NS", "BUY", "1", "10", "0", "1", "USD"), ("k", 3, "2024-01-02", "A.NS", "SELL", "1", "12", "0", "x", "usd"), ("k", 4, "2024-01-02", "B.NS", "BUY", "2", "5", "0", "0", "XYZ"), ("k", 5, "2024-01-02", "A.NS", "BUY", "1", "12.5", "0", "0", "INR")]
+    valid = spark.createDataFrame(rows, "k string, rid long, date string, ticker string, transaction_type string, quantity string, price string, fees string, tax string, currency string")
+    rates = spark.createDataFrame([("INR", 1.0), ("USD", 80.0), ("USD", 80.0)], "currency string, rate double")
+    out = va.clean(valid, spark.createDataFrame([("B.NS", "C.NS")], "alias string, ticker string"), rates, ["k"])
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(k#") == 1
+    got = {r.rid: (r.ticker, r.currency, r.price_base, r.imputed, r.unresolved, r.near_duplicate, r.anomaly) for r in out.collect()}
+    assert got == {1: ("A.NS", "INR", 10.0, 2, False, False, False), 3: ("A.NS", "USD", 960.0, 1, False, True, True), 4: ("C.NS", "XYZ", None, 0, True, False, False), 5: ("A.NS", "INR", 12.5, 0, False, True, False)}
