@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyfold.operators.temporal import base_symbol, pick_one
+from tallyfold.sources.shared import staged
 
 # Fixed values.
 COLUMNS = ["date", "ticker", "transaction_type", "quantity", "price", "fees", "tax", "currency"]
@@ -52,15 +53,21 @@ def validate(raw: DataFrame, today: str) -> DataFrame:
     return raw.withColumn("reason", reason(today))
 
 
-def split_adjust(ledger: DataFrame, splits: DataFrame, id_cols: list[str]) -> DataFrame:
+def split_adjust(ledger: DataFrame, splits: DataFrame, id_cols: list[str] | None = None) -> DataFrame:
     """V9: quantities times, prices over, the product of later splits' ratios; the value stays.
 
-    A split that both listings report counts once.
+    A split that both listings report counts once. A symbol's splits cut time into spans with one factor each;
+    trades meet these few rows by symbol, so the ledger is read once and not dealt anew. `id_cols` is not needed
+    any more.
     """
-    once = splits.select("symbol", "split_date", "ratio").distinct()
-    hit = ledger.where(F.col("kind").isin("BUY", "SELL")).select(*id_cols, "symbol", "date").join(once, "symbol").where("split_date > date")
-    factor = hit.groupBy(*id_cols).agg(F.product("ratio").alias("factor"), F.array_join(F.array_sort(F.collect_list(F.format_string("%s x%s", F.date_format("split_date", "yyyy-MM-dd"), F.col("ratio").cast("string")))), "; ").alias("note"))
-    j = ledger.join(factor, id_cols, "left").withColumn("factor", F.coalesce("factor", F.lit(1.0)))
+    note = F.format_string("%s x%s", F.date_format("split_date", "yyyy-MM-dd"), F.col("ratio").cast("string"))
+    days = splits.select("symbol", "split_date", "ratio").distinct().groupBy("symbol", "split_date").agg(F.product("ratio").alias("ratio"), F.collect_list(note).alias("notes"))
+    w = Window.partitionBy("symbol").orderBy("split_date")
+    later = w.rowsBetween(0, Window.unboundedFollowing)
+    spans = days.select(F.col("symbol").alias("__symbol"), F.lag("split_date").over(w).alias("__since"), F.col("split_date").alias("__until"), F.product("ratio").over(later).alias("__factor"), F.array_join(F.array_sort(F.flatten(F.collect_list("notes").over(later))), "; ").alias("__note"))
+    within = (F.col("date") < F.col("__until")) & (F.col("__since").isNull() | (F.col("date") >= F.col("__since")))
+    j = ledger.join(staged(spans, "splits"), (F.col("symbol") == F.col("__symbol")) & within & F.col("kind").isin("BUY", "SELL"), "left")
+    j = j.select(*ledger.columns, F.coalesce("__factor", F.lit(1.0)).alias("factor"), F.col("__note").alias("note"))
     return j.withColumn("qty", F.col("qty") * F.col("factor")).withColumn("price", F.col("price") / F.col("factor"))
 
 

@@ -454,8 +454,10 @@ def text_rows(spark, d):
     )
 
 
-def _cleaned(spark, d):
+def _cleaned(spark, d, twice=False):
+    """Validated and cleaned rows; the former are written if they are read `twice`, so that lines are dealt once."""
     v = va.validate(text_rows(spark, d), "2002-01-01")
+    v = staged(v, "validated") if twice else v
     aliases = spark.createDataFrame([("BRAND11.NS", "BRAND12.NS")], "alias string, ticker string")
     rates = spark.createDataFrame(list(va.RATES.items()), "currency string, rate double")
     return v, va.clean(v.where("reason is null"), aliases, rates, ["portfolio"])
@@ -500,8 +502,8 @@ sa as (select portfolio, cast(sum(n) as bigint) as n, string_agg(symbol || ': '
 select v.portfolio, v.rows_in, v.rows_rejected, c.rows_cleaned, c.near_duplicates_flagged, c.values_imputed, c.anomalies_flagged, c.rows_unresolved, v.rows_in - v.rows_rejected - c.rows_cleaned as duplicates_dropped, coalesce(sa.n, 0) as split_adjustments_applied, coalesce(sa.notes, '') as notes
 from (select portfolio, count(*) as rows_in, count(reason) as rows_rejected from reasons group by 1) v join (select portfolio, count(*) as rows_cleaned, count(*) filter (near_duplicate) as near_duplicates_flagged, sum(imputed) as values_imputed, count(*) filter (anomaly) as anomalies_flagged, count(*) filter (unresolved) as rows_unresolved from cleaned group by 1) c using (portfolio) left join sa using (portfolio)"""))
 def c10_quality_report(spark, d):
-    v, c = _cleaned(spark, d)
-    adjusted = va.split_adjust(ad.raw_trades(spark, d), splits(spark, d), ["portfolio", "symbol", "row_idx"])
+    v, c = _cleaned(spark, d, twice=True)
+    adjusted = va.split_adjust(ad.raw_trades(spark, d), splits(spark, d))
     return va.quality_report(v, c, ["portfolio"], adjusted).withColumn("notes", F.array_join("notes", "; "))
 
 

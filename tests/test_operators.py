@@ -484,3 +484,16 @@ def test_cleaning_deals_rows_once(spark):
     assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(k#") == 1
     got = {r.rid: (r.ticker, r.currency, r.price_base, r.imputed, r.unresolved, r.near_duplicate, r.anomaly) for r in out.collect()}
     assert got == {1: ("A.NS", "INR", 10.0, 2, False, False, False), 3: ("A.NS", "USD", 960.0, 1, False, True, True), 4: ("C.NS", "XYZ", None, 0, True, False, False), 5: ("A.NS", "INR", 12.5, 0, False, True, False)}
+
+
+def test_split_adjustment_reads_the_ledger_once_and_deals_no_trades(spark):
+    rows = [(None if day == 9 else "p", s, D(2024, 1, day), k, 1.0, 60.0, day) for s in "AB" for day, k in ((1, "BUY"), (4, "DIVIDEND"), (5, "BUY"), (9, "SELL"), (10, "BUY"), (20, "SELL"))]
+    t = spark.createDataFrame(rows, "portfolio string, symbol string, date date, kind string, qty double, price double, row_idx long")
+    s = spark.createDataFrame([("A", D(2024, 1, 10), 2.0), ("A", D(2024, 1, 5), 3.0), ("A", D(2024, 1, 10), 2.0), ("A", D(2024, 1, 10), 5.0)], "symbol string, split_date date, ratio double")
+    out = va.split_adjust(t, s)
+    text = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in text and text.count("Scan ExistingRDD") == 1
+    got = {(r.symbol, r.date.day): (r.qty, r.price, r.note) for r in out.collect()}
+    two = "2024-01-10 x2.0; 2024-01-10 x5.0"
+    assert {d: v for (x, d), v in got.items() if x == "A"} == {1: (30.0, 2.0, f"2024-01-05 x3.0; {two}"), 4: (1.0, 60.0, None), 5: (10.0, 6.0, two), 9: (10.0, 6.0, two), 10: (1.0, 60.0, None), 20: (1.0, 60.0, None)}
+    assert all(v == (1.0, 60.0, None) for (x, _), v in got.items() if x == "B") and len(got) == 12
