@@ -497,3 +497,17 @@ def test_split_adjustment_reads_the_ledger_once_and_deals_no_trades(spark):
     two = "2024-01-10 x2.0; 2024-01-10 x5.0"
     assert {d: v for (x, d), v in got.items() if x == "A"} == {1: (30.0, 2.0, f"2024-01-05 x3.0; {two}"), 4: (1.0, 60.0, None), 5: (10.0, 6.0, two), 9: (10.0, 6.0, two), 10: (1.0, 60.0, None), 20: (1.0, 60.0, None)}
     assert all(v == (1.0, 60.0, None) for (x, _), v in got.items() if x == "B") and len(got) == 12
+
+
+def test_trades_are_dealt_once_by_position(spark):
+    t = ledger(spark, [("A", 1, "BUY", 5, 10), ("A", 1, "SELL", 2, 12), ("A", 2, "SELL", 9, 12), ("A", 3, "BUY", 1, 16), ("A", 4, "SELL", 4, 9), ("B", 1, "SELL", 1, 5), ("B", 2, "BUY", 2, 5), ("B", 3, "SELL", 2, 7)])
+    dealt = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(portfolio#")
+    marked = ho.mark_oversold(t)
+    assert dealt(marked) == 2  # the rows before a position falls below zero, and those after
+    assert sorted((r.symbol, r.date.day) for r in marked.where("rejected").collect()) == [("A", 2), ("B", 1)]
+    good = t.where("not (symbol = 'A' and day(date) = 2) and not (symbol = 'B' and day(date) = 1)")
+    got = ho.realized(good)
+    assert dealt(got) == 2  # by position and by portfolio
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    row = got.first()
+    assert row.realized_pnl == pytest.approx(2 * (12 - 10) + (4 * 9 - (3 * 10 + 16)) + 2 * (7 - 5)) and row.deployed == 50 + 16 + 10
