@@ -58,6 +58,14 @@ def test_text_ledger_is_numbered_without_dealing_lines_by_portfolio(spark, tmp_p
     assert not re.search(r"windowspecdefinition\(c_mktsegment#\d+, l_orderkey", plan(got))
 
 
+@pytest.mark.skipif(not os.path.isdir(DIR), reason="no tables")
+@pytest.mark.parametrize("name", ["a7_overview", "b4_headline"])
+def test_reports_read_closes_and_totals_that_are_written_once(spark, name):
+    from tallyfold.plans import catalogue
+
+    assert "l_linenumber" not in plan(catalogue.QUERIES[name](spark, DIR))
+
+
 def test_entry_imports_and_has_a_query_per_sql():
     import __spark_entry__ as entry
 
