@@ -271,6 +271,35 @@ def test_forms_merge_in_rounds_and_wide_wrappers_get_a_gap(spark, monkeypatch):
     assert all(form.differing(htmlwrap.Walk(html)) == [] for _, _, html in rows)
 
 
+def test_long_pages_are_aligned_whole(monkeypatch):
+    rnd = random.Random(3)
+    for _ in range(60):
+        a, b = (rnd.choices("abcdefgh"[: rnd.randint(1, 8)], k=rnd.randint(0, 40)) for _ in range(2))
+        most = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for k, y in enumerate(b):
+                most[i + 1][k + 1] = most[i][k] + 1 if x == y else max(most[i][k + 1], most[i + 1][k])
+        got = list(htmlwrap.common(a, b))
+        assert len(got) == most[-1][-1] and all(a[i] == b[k] for i, k in got) and got == sorted(got) and all(x[0] < y[0] and x[1] < y[1] for x, y in zip(got, got[1:], strict=False))
+        monkeypatch.setattr(htmlwrap, "ALIGNED", -1)
+        steps = list(htmlwrap._steps(a, b))  # at what both have once, so perhaps not the longest
+        assert [i for _, i, j, _, _ in steps for i in range(i, j)] == list(range(len(a))) and [k for _, _, _, k, n in steps for k in range(k, n)] == list(range(len(b)))
+        assert all((op == "equal") == (a[i:j] == b[k:n]) for op, i, j, k, n in steps)
+        monkeypatch.undo()
+
+    # Lists of many kinds of tags, no two alike, with fixed texts between two of them: 4,000 parts a page.
+    def page(k):
+        kinds = random.Random(k)
+        some = lambda: "".join(f"<{t}>text {k} {i}</{t}>" for i, t in enumerate(kinds.choices(["p", "pre", "dl", "blockquote", "h5"], k=700)))
+        return f"<body><div>Top</div>{some()}<div>Our slogan</div><div>By us</div>{some()}<div>End</div></body>"
+
+    began = time.time()
+    form = htmlwrap.Expression(htmlwrap.infer([page(k) for k in range(20)]))
+    assert form.constants == ["Top", "Our slogan", "By us", "End"] and time.time() - began < 60
+    got = htmlwrap.extract_text(page(2), "", form).split("\n")
+    assert len(got) == 1400 and all(x.startswith("text 2 ") for x in got)
+
+
 @pytest.mark.parametrize("piece", ["<a ", "<b>", "<b></i>", "<!x ", "<p><b>x", '<a x="', "<a x=y ", "<script ", "<div>", "<!--"])
 def test_broken_pages_are_read_in_one_pass(piece):
     began = time.time()
